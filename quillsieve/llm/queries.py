@@ -7,16 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsieve.llm import licenses
 from quillsieve.llm.common import table
+from quillsieve.llm.contamination import find_leaks
+from quillsieve.llm.lmscore import cross_entropy_difference
 from quillsieve.llm.pieces import encode_pieces
+from quillsieve.llm.quality import quality_rules
 from quillsieve.llm.repeats import remove_repeats
 from quillsieve.llm.simhash import simhash_components
+from quillsieve.llm.toxicity import held_out, toxicity_scores, train
+from quillsieve.llm.unigram import token_counts
+from quillsieve.llm.urls import UrlRule, url_verdicts
+
+URL_RULES = [
+    UrlRule("block", "com/en/"),
+    UrlRule("allow", "example.com/en/7"),
+    UrlRule("allow", "net/de/"),
+    UrlRule("block", "example.net/de/8"),
+    UrlRule("block", "org/es/"),
+]
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity_scores(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -46,9 +81,40 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.size("leaks").cast("long").alias("n_items"),
+        F.col("leaks.item_id").alias("item_ids"),
+        F.array_min("leaks.distance").alias("least_distance"),
+    )
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), piece_model(), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op6_suffix_array_dedup, op7_sentencepiece)}
+    found = (
+        op1_simhash_near_dedup,
+        op2_quality_rules,
+        op3_toxicity,
+        op4_url_filters,
+        op5_lm_scoring,
+        op6_suffix_array_dedup,
+        op7_sentencepiece,
+        op8_benchmark_decontamination,
+        op9_license_scans,
+        op10_token_counts,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_license_scans": licenses.oracle()}
