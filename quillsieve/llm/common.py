@@ -40,6 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept_columns(docs: DataFrame, keep: list[str] | None, made: tuple[str, ...]) -> list[str]:
+    """``keep``, or by default every column, without those that an operator makes anew under the same name."""
+    new = {n.lower() for n in made}
+    return [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+
+
+def quoted(names: list[str]) -> list[F.Column]:
+    return [F.col(f"`{n}`") for n in names]
+
+
 def text_bytes(column: str) -> F.Column:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

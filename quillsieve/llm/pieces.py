@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from array import array
 from collections.abc import Iterator
@@ -14,7 +15,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillsieve.llm.common import kept_columns, quoted
+
 SPACE = "▁"
+codecs.register_error("a_mark_each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 class PieceTable:
@@ -137,7 +141,7 @@ class PieceTable:
 
         def flush() -> None:
             if run:
-                out.append(run.decode("utf-8", "replace"))
+                out.append(run.decode("utf-8", "a_mark_each_byte"))
                 run.clear()
 
         for i in ids:
@@ -177,7 +181,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text", keep
     empty text; repeated rows, clashing names of other columns and texts of any length are
     fine. The work is per row, so nothing is shuffled and no key can be hot.
     """
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    rows = docs.select(*keep, F.col(text_col).alias("_q_text"))
-    schema = "".join(f"`{n}` {t}, " for n, t in rows.select(*keep).dtypes)
+    keep = kept_columns(docs, keep, ("ids", "decoded", text_col) if keep is None else ("ids", "decoded"))
+    rows = docs.select(*quoted(keep), F.col(text_col).alias("_q_text"))
+    schema = "".join(f"`{n}` {t}, " for n, t in rows.dtypes if n != "_q_text")
     return rows.mapInArrow(lambda b: _coded(b, model_file), f"{schema}ids array<int>, decoded string")

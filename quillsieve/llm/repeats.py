@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import complete_runs, materialised, text_bytes
+from quillsieve.llm.common import complete_runs, kept_columns, materialised, quoted, text_bytes
 
 _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -276,7 +276,7 @@ def remove_repeats(
     document: strings that start at the same position of both are neither earlier.
     ``threshold`` must be under 250, so that a context's length fits a byte.
     """
-    keep = [id_col] if keep is None else keep
+    keep = kept_columns(docs, [id_col] if keep is None else keep, ("kept", "spans"))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     twice = docs.groupBy(ident.alias("i")).count().where("count > 1").limit(1).count()
     tie = F.xxhash64(F.col(text_col)) if twice else F.lit(0).cast("long")
@@ -296,8 +296,8 @@ def remove_repeats(
     ranges = second.where("b >= 0").unionByName(third).select("id", "tie", (F.col("a").cast("long") * (1 << 32) + F.col("b")).alias("r"))
     found = ranges.groupBy("id", "tie").agg(F.collect_list("r").alias("_q_found"))
     found = found.withColumnsRenamed({"id": "_q_id", "tie": "_q_tie"})
-    whole = docs.select(*keep, ident.alias("_q_i"), tie.alias("_q_t"), text_bytes(text_col).alias("_q_raw"))
+    whole = docs.select(*quoted(keep), ident.alias("_q_i"), tie.alias("_q_t"), text_bytes(text_col).alias("_q_raw"))
     whole = whole.join(found.hint("shuffle_hash"), (F.col("_q_i") == F.col("_q_id")) & (F.col("_q_t") == F.col("_q_tie")), "left")
-    whole = whole.select(*keep, "_q_raw", "_q_found")
-    schema = ", ".join(f"`{n}` {t}" for n, t in whole.select(*keep).dtypes)
+    whole = whole.select(*quoted(keep), "_q_raw", "_q_found")
+    schema = ", ".join(f"`{n}` {t}" for n, t in whole.dtypes if not n.startswith("_q_"))
     return whole.mapInArrow(_remaining, f"{schema}, kept binary, spans array<struct<start:long,end:long>>")

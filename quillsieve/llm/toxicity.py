@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillsieve.llm.common import kept_columns, quoted
+
 # Terms that name groups neutrally, by kind and language; a term is swapped for others of its row.
 IDENTITY_TERMS = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
@@ -35,7 +37,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+    """The different words of a text and, as ``abcd*``, the beginnings of its longer words, which endings do not hide."""
+    words = set(_WORD.findall(text.lower())) if text else set()
+    return words | {w[:4] + "*" for w in words if len(w) > 4}
 
 
 @dataclass
@@ -66,14 +70,14 @@ def _pairs(texts: list[set[str]], column: dict[str, int]) -> tuple[np.ndarray, n
 
 
 def fit(
-    texts: list[set[str]], labels: np.ndarray, most_words: int = 4096, least_docs: int = 4, ridge: float = 2e-4, penalty: float = 1.0,
-    steps: int = 400, rate: float = 0.1,
+    texts: list[set[str]], labels: np.ndarray, most_words: int = 4096, least_docs: int = 4, least_contrast: float = 4.0, ridge: float = 2e-4,
+    penalty: float = 1.0, steps: int = 400, rate: float = 0.1,
 ) -> ToxicityModel:
     """Minimises mean log loss + ridge + ``penalty`` times the mean squared change of the logit when a term is swapped.
 
-    Columns are the ``most_words`` words of at least ``least_docs`` texts whose document
-    rates differ most between the labels, and the identity terms. Without both labels the
-    model scores every text by the rate of label 1.
+    Columns are the words of at least ``least_docs`` texts whose document rates differ between
+    the labels by ``least_contrast`` standard errors, ``most_words`` of the largest at most,
+    and the identity terms. Without both labels the model scores every text by the rate of label 1.
     """
     y = labels.astype(np.float64)
     n, ones = len(y), float(y.sum())
@@ -92,7 +96,8 @@ def fit(
         m = seen[word] / n
         return abs(p - q) / math.sqrt(m * (1 - m) * (1 / ones + 1 / (n - ones)) + 1e-9)
 
-    common = sorted((w for w, c in seen.items() if c >= least_docs), key=lambda w: (-contrast(w), w))[:most_words]
+    clear = ((contrast(w), w) for w, c in seen.items() if c >= least_docs)
+    common = [w for _, w in sorted((x for x in clear if x[0] >= least_contrast), key=lambda x: (-x[0], x[1]))[:most_words]]
     column = {w: k for k, w in enumerate(dict.fromkeys([*common, *(t for row in IDENTITY_TERMS for t in row)]))}
     rows, cols = [], []
     for k, words in enumerate(texts):
@@ -156,9 +161,10 @@ def toxicity_scores(
 
     Each row is scored on its own: nothing is shuffled, repeated rows and any other columns are fine.
     """
-    keep = docs.columns if keep is None else keep
+    keep = kept_columns(docs, keep, (score_col,))
+    rows = docs.select(*quoted(keep), F.col(text_col).alias("_q_text"))
     model_ = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "".join(f"`{n}` {t}, " for n, t in docs.select(*keep).dtypes)
+    schema = "".join(f"`{n}` {t}, " for n, t in rows.dtypes if n != "_q_text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model_.value.score
@@ -166,4 +172,4 @@ def toxicity_scores(
             found = pa.array([score(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*keep, score_col])
 
-    return docs.select(*keep, F.col(text_col).alias("_q_text")).mapInArrow(scored, f"{schema}`{score_col}` double")
+    return rows.mapInArrow(scored, f"{schema}`{score_col}` double")

@@ -11,6 +11,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillsieve.llm.common import kept_columns, quoted
+
 SPACE = "▁"
 
 
@@ -98,8 +100,10 @@ def token_counts(docs: DataFrame, model_file: str, text_col: str = "text", keep:
     Null, empty and blank texts have none. Rows are counted where they are read: nothing is
     shuffled, so repeated rows and hot sources cost no more than others.
     """
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    schema = "".join(f"`{n}` {t}, " for n, t in docs.select(*keep).dtypes)
+    made = ("n_pretokens", "n_tokens")
+    keep = kept_columns(docs, keep, (*made, text_col) if keep is None else made)
+    rows = docs.select(*quoted(keep), F.col(text_col).alias("_q_text"))
+    schema = "".join(f"`{n}` {t}, " for n, t in rows.dtypes if n != "_q_text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = rank_counter(model_file)
@@ -110,4 +114,4 @@ def token_counts(docs: DataFrame, model_file: str, text_col: str = "text", keep:
                 [*keep, "n_pretokens", "n_tokens"],
             )
 
-    return docs.select(*keep, F.col(text_col).alias("_q_text")).mapInArrow(counted, f"{schema}n_pretokens long, n_tokens long")
+    return rows.mapInArrow(counted, f"{schema}n_pretokens long, n_tokens long")
