@@ -83,7 +83,8 @@ def stopword_language(text: Column | str, fallback: Column | str) -> Column:
         "de": "der die und das ist nicht ein zu den mit",
     }
     tokens = F.split(F.trim(F.lower(_col(text))), r"(?U)\s+")
-    hits = F.array(*[F.struct(F.size(F.filter(tokens, lambda w, v=v: w.isin(*v.split()))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("l")) for k, (name, v) in enumerate(listed.items())])
+    counted = lambda frequent: F.size(F.filter(tokens, lambda w: w.isin(*frequent.split())))
+    hits = F.array(*[F.struct(counted(v).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("l")) for k, (name, v) in enumerate(listed.items())])
     best = F.array_max(hits)
     return F.when((F.size(tokens) < 5) | (best["n"] == 0), _col(fallback)).otherwise(best["l"])
 
@@ -224,58 +225,68 @@ def needs_punctuation(text: Column | str) -> Column:
 # links, durations, names
 
 
+# Link and duration patterns.
+_LINK = r"https?://(?:www\.)?(?:youtube\.com|youtu\.be)/[^\s]+"
+_VIDEO = (r"(?:youtube\.com/watch\?v=|youtu\.be/|youtube\.com/embed/)([^&\n?#]+)", r"youtube\.com/v/([^&\n?#]+)")
+_PLAYLIST = r"(?:youtube\.com/playlist\?list=|youtube\.com/watch\?.*&list=)([^&\n?#]+)"
+_CHANNEL = r"/channel/|/c/|/user/|(?i:youtube\.com/@)"
+_DURATION = r"PT(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+)S)?"
+
+
 def detect_urls(text: Column | str) -> Column:
-    return F.regexp_extract_all(_col(text), F.lit(r"https?://[^\s]+"), F.lit(0))
+    return F.regexp_extract_all(_col(text), F.lit(_LINK), F.lit(0))
 
 
 def video_id(url: Column | str) -> Column:
     """The id of a video link, or null."""
-    first = F.regexp_extract(_col(url), r"(?:youtube\.com/watch\?v=|youtu\.be/|youtube\.com/embed/)([^&\n?#]+)", 1)
-    second = F.regexp_extract(_col(url), r"youtube\.com/watch\?.*v=([^&\n?#]+)", 1)
-    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))
+    return F.coalesce(*[F.nullif(F.regexp_extract(_col(url), p, 1), F.lit("")) for p in _VIDEO])
 
 
 def playlist_id(url: Column | str) -> Column:
-    return F.nullif(F.regexp_extract(_col(url), r"[?&]list=([^&\n?#]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_col(url), _PLAYLIST, 1), F.lit(""))
 
 
-def url_kind(url: Column | str) -> Column:
+def url_kind(urls: Column | str) -> Column:
+    """What a list of links asks for: a playlist, a channel, one video or several; null for none."""
+    u = _col(urls)
     return (
-        F.when(playlist_id(url).isNotNull(), "playlist")
-        .when(_col(url).rlike(r"youtube\.com/(@|channel/|c/|user/)"), "channel")
-        .when(video_id(url).isNotNull(), "video")
-        .otherwise("unknown")
+        F.when(F.size(u) == 0, F.lit(None).cast("string"))
+        .when(F.exists(u, lambda x: x.contains("playlist")), "playlist")
+        .when(F.exists(u, lambda x: x.rlike(_CHANNEL)), "channel")
+        .when(F.size(u) == 1, "video")
+        .otherwise("mixed")
     )
 
 
 def iso_duration_seconds(text: Column | str) -> Column:
-    """Seconds of PT#H#M#S; anything else is 0, and days do not count."""
-    part = lambda unit: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(_col(text), rf"PT(?:[0-9]+[HM])*?([0-9]+){unit}", 1), F.lit("")), F.lit("9999999999")), F.lit(0)).cast("long")
-    return part("H") * 3600 + part("M") * 60 + part("S")
+    """Seconds of the first PT#H#M#S; anything else is 0, and days do not count."""
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(_col(text), _DURATION, k), F.lit("")).cast("long"), F.lit(0))
+    return part(1) * 3600 + part(2) * 60 + part(3)
 
 
 def format_duration(seconds: Column | str) -> Column:
-    """1h 2m, 3m 4s or 5s; a dash for null and what is not positive."""
-    s = _col(seconds).cast("long")
-    h, m = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60)
+    """1h 2m, 3m 4s, 3m or 5s; a dash for null and what is not positive."""
+    s = _col(seconds)
+    whole = F.floor(s).cast("long")
+    h, m, rest = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
     return (
         F.when(s.isNull() | (s <= 0), "—")
         .when(h > 0, F.concat(h, F.lit("h "), m, F.lit("m")))
-        .when(m > 0, F.concat(m, F.lit("m "), F.pmod(s, F.lit(60)), F.lit("s")))
-        .otherwise(F.concat(s, F.lit("s")))
+        .when((m > 0) & (rest > 0), F.concat(m, F.lit("m "), rest, F.lit("s")))
+        .when(m > 0, F.concat(m, F.lit("m")))
+        .otherwise(F.concat(rest, F.lit("s")))
     )
 
 
 def name_from_email(email: Column | str) -> Column:
-    """Capitalised parts of the local part, cut at its dots, else its underscores, else its hyphens."""
+    """Capitalised parts of the local part, cut at its dots, else its underscores, else its hyphens; User for none."""
     local = F.split_part(_col(email), F.lit("@"), F.lit(1))
-    parts = (
-        F.when(local.contains("."), F.split(local, r"\."))
-        .when(local.contains("_"), F.split(local, "_"))
-        .otherwise(F.split(local, "-"))
-    )
     capital = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 2147483647)))
-    return F.array_join(F.transform(F.filter(parts, lambda p: p != ""), capital), " ")
+    name = capital(local)
+    for mark in ("-", "_", "."):  # the last to be wrapped is the first to be tried
+        parts = F.array_join(F.transform(F.filter(F.split(local, "[" + mark + "]", -1), lambda p: p != ""), capital), " ")
+        name = F.when(local.contains(mark) & (parts != ""), parts).otherwise(name)
+    return F.coalesce(F.nullif(name, F.lit("")), F.lit("User"))
 
 
 # model replies
@@ -311,7 +322,7 @@ def resolve_swapped(first: Column | str, second: Column | str) -> tuple[Column,
 
 def strip_tags(text: Column | str, tags: tuple[str, ...], depth: int = 8) -> Column:
     """Opening and closing tags go, those that appear once others are gone as well, ``depth`` deep."""
-    t, pattern = _col(text), r"(?i)</?\s*(?:" + "|".join(tags) + r")\s*/?>"
+    t, pattern = _col(text), r"(?iU)<\s*/?\s*(?:" + "|".join(tags) + r")\s*>"
     for _ in range(depth):
         t = F.regexp_replace(t, pattern, "")
     return t
@@ -330,6 +341,14 @@ def excerpt_pair(raw: Column | str, processed: Column | str, most: int = 180) ->
 
 
 def user_prompt(title: Column | str, language: Column | str, chunk: Column, chunks: Column, text: Column | str) -> Column:
+    """What is known of an excerpt, a blank line, and the excerpt in its tags."""
     part = F.when(chunks > 1, F.concat(F.lit("Chunk: "), chunk, F.lit("/"), chunks))
-    line = lambda name, value: F.when(blank_to_null(value).isNotNull(), F.concat(F.lit(f"{name}: "), _col(value)))
-    return F.concat_ws("\n", line("Title", title), line("Language", language), part, wrap_excerpt(text))
+    line = lambda name, value: F.when(_col(value) != "", F.concat(F.lit(f"{name}: "), _col(value)))
+    head = F.concat_ws("\n", line("Title", title), line("Language", language), part)
+    return F.concat(F.when(head == "", "").otherwise(F.concat(head, F.lit("\n\n"))), wrap_excerpt(text))
+
+
+def wrap_pair(a: Column | str, b: Column | str) -> Column:
+    """Two versions in their tags, without such tags inside."""
+    one, two = (strip_tags(x, ("version_a", "version_b")) for x in (a, b))
+    return F.concat(F.lit("<version_a>\n"), one, F.lit("\n</version_a>\n<version_b>\n"), two, F.lit("\n</version_b>"))

@@ -10,19 +10,19 @@ from quillsieve.functions.text import blank_to_null
 # The fields of a dataset record in their order, those that are texts, and the MIME types.
 FIELDS = """
 id title youtubeId playlistId language dataset deduplicationStatus dedupGroupId qualityScore mtldScore mattrScore
-llmCurationScore coherence richness factuality curationOverall curationProvider curationModel curationChunkCount
-curationRationale text
+llmCurationScore coherence richness factuality curationOverall curationRationale curationProvider curationModel
+curationChunkCount text
 """.split()
-TEXT_FIELDS = ["curationRationale", "text"]
+TEXT_FIELDS = ["text"]
 SCALARS = [f for f in FIELDS if f not in TEXT_FIELDS]
 MIME_TYPES = {
-    "json": "application/json; charset=utf-8",
-    "csv": "text/csv; charset=utf-8",
-    "txt": "text/plain; charset=utf-8",
-    "md": "text/markdown; charset=utf-8",
-    "xml": "application/xml; charset=utf-8",
+    "json": "application/json;charset=utf-8",
+    "csv": "text/csv;charset=utf-8",
+    "txt": "text/plain;charset=utf-8",
+    "md": "text/markdown;charset=utf-8",
+    "xml": "application/xml;charset=utf-8",
 }
-STAGES = ("raw", "processed", "deduplicated", "curated")
+STAGES = ("raw", "processed", "curated")
 
 
 def check_scope(scope: str, playlist_id: str | None = None, transcription_id: str | None = None) -> None:
@@ -74,7 +74,7 @@ def _one_line(x: Column) -> Column:
 def json_quoted(x: Column) -> Column:
     """A JSON string: what ``to_json`` writes for a field, cut out of its object."""
     whole = F.to_json(F.struct(x.alias("v")))
-    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+    return F.when(x.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
 
 
 def record_json(df: DataFrame) -> Column:

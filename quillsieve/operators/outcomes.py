@@ -100,15 +100,15 @@ def furthest_stage(curation_score: Column, processed: Column) -> Column:
     return F.when(curation_score.isNotNull(), "curated").when(processed, "processed").otherwise("raw")
 
 
-STAGE_RANK = {"raw": 0, "processed": 1, "deduplicated": 2, "curated": 3}
+STAGE_RANK = {"raw": 0, "processed": 1, "curated": 2}  # fixed values
 
 
 def quality_tone(score: Column) -> Column:
     return F.when(score >= 0.75, "good").when(score >= 0.5, "fair").otherwise("poor")
 
 
-def skip_batch_curation(dedup_status: Column, curation_score: Column) -> Column:
-    return dedup_status.isin("pending", "duplicate") | curation_score.isNotNull()
+def skip_batch_curation(dedup_status: Column, curation: Column) -> Column:
+    return dedup_status.isin("pending", "duplicate") | curation.isNotNull()
 
 
 def single_curation_block(dedup_status: Column, text: Column) -> Column:
