@@ -168,7 +168,7 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation for each key; 0 for fewer than two rows or a constant side."""
     ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": _ranks(rows, keys, x), "_ry": _ranks(rows, keys, y)})
     varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return ranked.groupBy(*keys).agg(F.when(varied, F.corr("_rx", "_ry")).otherwise(0.0).alias("rho"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mean_abs_diff"))
+    return ranked.groupBy(*keys).agg(F.when(varied, F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))).otherwise(0.0).alias("rho"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mean_abs_diff"))
 
 
 def variant_stability(scores: DataFrame) -> DataFrame:
