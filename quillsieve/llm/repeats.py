@@ -213,26 +213,32 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch], threshold: int, digit: int)
         )
 
 
-def _windows(batches: Iterator[pa.RecordBatch], threshold: int, digit: int) -> Iterator[pa.RecordBatch]:
-    """The last pass: of equal digits, equal windows at each offset; all but the first repeat."""
+def _window_hashes(body: list[bytes], digits: np.ndarray, threshold: int, digit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each offset the contexts that have a whole window there, and those windows' hashes."""
     reach = threshold - digit
     wide = threshold + reach
     up, down = _powers(wide + 1)
+    size = np.fromiter(map(len, body), np.int64, len(body)) - 1
+    grid = np.frombuffer(b"".join(x.ljust(wide + 1, b"\0") for x in body), np.uint8).reshape(len(body), wide + 1)
+    pad = reach - grid[:, 0].astype(np.int64)
+    sums = np.zeros((len(body), wide + 1), np.uint64)
+    np.cumsum(_BYTE[grid[:, 1:]] * up[:wide], axis=1, out=sums[:, 1:])
+    salt = digits.view(np.uint64) * np.uint64(_ODD)
+    for o in range(reach + 1):
+        fits = np.flatnonzero((o >= pad) & (o + threshold <= size))
+        yield o, fits, _mixed((sums[fits, o + threshold] - sums[fits, o]) * down[o] + salt[fits])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], threshold: int, digit: int) -> Iterator[pa.RecordBatch]:
+    """The last pass: of equal digits, equal windows at each offset; all but the first repeat."""
+    reach = threshold - digit
     for run in complete_runs(batches, "digit", 8192):
         ids, at, ties, d = (run.column(k).to_numpy() for k in ("id", "at", "tie", "digit"))
         body = [x.as_py() for x in run.column("bytes")]
-        size = np.fromiter(map(len, body), np.int64, len(body)) - 1
-        grid = np.frombuffer(b"".join(x.ljust(wide + 1, b"\0") for x in body), np.uint8).reshape(len(body), wide + 1)
-        pad = reach - grid[:, 0].astype(np.int64)
-        sums = np.zeros((len(body), wide + 1), np.uint64)
-        np.cumsum(_BYTE[grid[:, 1:]] * up[:wide], axis=1, out=sums[:, 1:])
-        salt = d.view(np.uint64) * np.uint64(_ODD)
-        low, high = np.full(len(body), wide), np.full(len(body), -1)
-        for o in range(reach + 1):
-            fits = np.flatnonzero((o >= pad) & (o + threshold <= size))
+        low, high = np.full(len(body), threshold + reach), np.full(len(body), -1)
+        for o, fits, h in _window_hashes(body, d, threshold, digit):
             if len(fits) < 2:
                 continue
-            h = _mixed((sums[fits, o + threshold] - sums[fits, o]) * down[o] + salt[fits])
             order = np.argsort(h, kind="stable")
             new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
             first = fits[order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]]
@@ -244,6 +250,18 @@ def _windows(batches: Iterator[pa.RecordBatch], threshold: int, digit: int) -> I
         yield _found(ids[hit], ties[hit], (at - reach + low)[hit], (at - reach + high + threshold)[hit], d[hit])
 
 
+def _single_windows(batches: Iterator[pa.RecordBatch], threshold: int, digit: int) -> Iterator[pa.RecordBatch]:
+    """Every window of the contexts as a row of its own, for digits that too many contexts share."""
+    for batch in batches:
+        for part in (batch.slice(k, 2048) for k in range(0, batch.num_rows, 2048)):
+            ids, at, ties, d = (part.column(k).to_numpy() for k in ("id", "at", "tie", "digit"))
+            for o, fits, h in _window_hashes([x.as_py() for x in part.column("bytes")], d, threshold, digit):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d[fits]), pa.array(np.full(len(fits), o, np.int32)), pa.array(h.view(np.int64)), *(pa.array(x[fits]) for x in (ids, ties, at))],
+                    ["digit", "o", "h", "id", "tie", "at"],
+                )
+
+
 def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, spans = [], []
@@ -265,7 +283,7 @@ def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, digit: int = 32, keep: list[str] | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, digit: int = 32, keep: list[str] | None = None, crowd: int = 50_000
 ) -> DataFrame:
     """The columns ``keep`` (default: the id) of every document with ``kept`` (binary: the bytes that stay) and ``spans``.
 
@@ -275,6 +293,10 @@ def remove_repeats(
     A null text is empty and a null id the smallest. Rows that share an id count as one
     document: strings that start at the same position of both are neither earlier.
     ``threshold`` must be under 250, so that a context's length fits a byte.
+
+    Contexts of one digit meet in a task, up to ``crowd`` of them. Where more different
+    contexts share a digit, as at the ends of a passage that very many texts quote, their
+    windows are rows of their own, whose first place is found by a grouped minimum.
     """
     keep = kept_columns(docs, [id_col] if keep is None else keep, ("kept", "spans"))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
@@ -285,12 +307,25 @@ def remove_repeats(
     suffixes = suffixes.repartition("digit").sortWithinPartitions("digit", "context", "id", "at")
     second = materialised(suffixes.mapInArrow(lambda b: _contexts(b, digit), _FOUND))
 
-    asked = second.where("b = -1").groupBy("id", "tie").agg(F.collect_set(F.struct("a", "digit")).alias("asked"))
-    windows = (
-        texts.dropDuplicates(["id", "tie"]) if twice else texts
-    ).join(asked.hint("shuffle_hash"), ["id", "tie"])
-    windows = windows.mapInArrow(lambda b: _cut_contexts(b, threshold, digit), "digit long, id long, tie long, at int, bytes binary")
-    windows = windows.repartition("digit").sortWithinPartitions("digit", "id", "at")
+    asked = second.where("b = -1")
+    crowded = asked.groupBy("digit").count().where(F.col("count") > crowd).select("digit")
+
+    def contexts(of: DataFrame) -> DataFrame:
+        places = of.groupBy("id", "tie").agg(F.collect_set(F.struct("a", "digit")).alias("asked"))
+        whole = texts.dropDuplicates(["id", "tie"]) if twice else texts
+        cut = whole.join(places.hint("shuffle_hash"), ["id", "tie"])
+        return cut.mapInArrow(lambda b: _cut_contexts(b, threshold, digit), "digit long, id long, tie long, at int, bytes binary")
+
+    if crowded.limit(1).count():
+        windows = contexts(asked.join(crowded, "digit", "left_semi"))
+        windows = windows.mapInArrow(lambda b: _single_windows(b, threshold, digit), "digit long, o int, h long, id long, tie long, at int")
+        first = windows.groupBy("digit", "o", "h").agg(F.min(F.struct("id", "at")).alias("first"))
+        later = windows.join(first, ["digit", "o", "h"]).where((F.col("first.id") != F.col("id")) | (F.col("first.at") != F.col("at")))
+        start = F.col("at") - (threshold - digit) + F.col("o")
+        alone = later.groupBy("id", "tie", "at", "digit").agg(F.min(start).alias("a"), (F.max(start) + threshold).alias("b"))
+        second = second.unionByName(alone.select("id", "tie", "a", "b", "digit"))
+        asked = asked.join(crowded, "digit", "left_anti")
+    windows = contexts(asked).repartition("digit").sortWithinPartitions("digit", "id", "at")
     third = windows.mapInArrow(lambda b: _windows(b, threshold, digit), _FOUND)
 
     ranges = second.where("b >= 0").unionByName(third).select("id", "tie", (F.col("a").cast("long") * (1 << 32) + F.col("b")).alias("r"))

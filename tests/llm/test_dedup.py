@@ -141,15 +141,15 @@ def test_connected_components_of_a_chain_and_nothing(spark):
     assert connected_components(chain.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("size, digit", [(100, 32), (60, 20)])
-def test_repeats_equal_brute_force(docs, rows, size, digit):
+@pytest.mark.parametrize("size, digit, crowd", [(100, 32, 50_000), (60, 20, 50_000), (100, 32, 3)])
+def test_repeats_equal_brute_force(docs, rows, size, digit, crowd):
     raw = [(r[0], (r[1] or "").encode()) for r in rows]
     want = []
     for (i, b), gone in zip(raw, plain_repeats(raw, size), strict=True):
         spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         want.append((i, int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    got = remove_repeats(docs, threshold=size, digit=digit).select("doc_id", removed, F.size("spans"), F.sha2("kept", 256))
+    got = remove_repeats(docs, threshold=size, digit=digit, crowd=crowd).select("doc_id", removed, F.size("spans"), F.sha2("kept", 256))
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
     assert any(w[1] for w in want)
 
