@@ -43,13 +43,37 @@ def lexical_diversity(words: Column | str) -> Column:
     return F.when(n > 0, F.size(F.array_distinct(F.transform(_col(words), F.lower))) / n).otherwise(0.0)
 
 
+def _moving_diversity(words: list[str], window: int) -> float:
+    """Kinds in all full windows, counted as words enter and leave."""
+    n = len(words)
+    if n < window:
+        return len(set(words)) / n if n else 0.0
+    inside: dict[str, int] = {}
+    total = 0
+    for k, w in enumerate(words):
+        inside[w] = inside.get(w, 0) + 1
+        if k >= window:
+            left = words[k - window]
+            if inside[left] == 1:
+                del inside[left]
+            else:
+                inside[left] -= 1
+        if k >= window - 1:
+            total += len(inside)
+    return total / (window * (n - window + 1))
+
+
 def mattr(words: Column | str, window: int = 50) -> Column:
-    """Mean share of different words in all full windows; of the whole text if it is shorter."""
-    n = F.size(_col(words))
-    low = F.transform(_col(words), F.lower)
-    kinds = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.size(F.array_distinct(F.slice(low, i, window))).cast("long"))
-    total = F.aggregate(kinds, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.when(n >= window, total / (window * (n - window + 1))).otherwise(lexical_diversity(words))
+    """Mean share of different words in all full windows; of the whole text if it is shorter.
+
+    Over Arrow batches: as an expression every window would sort out its words anew.
+    """
+
+    @F.pandas_udf("double")
+    def moving(batch: pd.Series) -> pd.Series:
+        return pd.Series([_moving_diversity([w.lower() for w in x] if x is not None else [], window) for x in batch], dtype="float64")
+
+    return moving(_col(words))
 
 
 def sentence_length_score(average: Column) -> Column:

@@ -167,8 +167,11 @@ def strip_orphan_commas(text: Column | str) -> Column:
     parts = F.split(t, ",", -1)
     before = F.transform(parts, lambda p: p.rlike(rf"(?U){L.ALNUM}\s*$"))
     after = F.transform(parts, lambda p: p.rlike(rf"(?U)^\s*{L.ALNUM}"))
-    glue = lambda p, k: F.when(k == 0, p).when(F.get(before, k - 1) & F.get(after, k), F.concat(F.lit(","), p)).otherwise(p)
-    return F.when(t.contains(","), F.array_join(F.transform(parts, glue), "")).otherwise(t)
+    # each side is worked out once for all commas and zipped: a lambda would work out what it refers to again for each
+    sides = F.arrays_zip(parts.alias("p"), F.array_prepend(before, False).alias("b"), after.alias("a"))
+    glue = lambda s, k: F.when((k > 0) & s["b"] & s["a"], F.concat(F.lit(","), s["p"])).otherwise(s["p"])
+    glued = F.array_join(F.transform(F.slice(sides, F.lit(1), F.size(parts)), glue), "")
+    return F.when(t.contains(","), glued).otherwise(t)
 
 
 def residual_commas(text: Column | str) -> Column:

@@ -35,9 +35,9 @@ _PARTS = rf"""
 
 @query(f"""
     with t as (select doc_id, lang, text from documents), {_PARTS}
-    select doc_id, n::int as original_word_count, n::int as processed_word_count, round(case when n > 0 then kinds::double / n else 0 end, 4) as lexical_diversity,
-      round(mattr, 4) as mattr_score, round(average, 2) as avg_sentence_length, fillers::int as hesitation_count, lang as detected_language,
-      round(artifact, 4) as artifact_rate, commas::int as residual_comma_count, round(greatest(0, least(1, shape * 0.4 + (1 - artifact) * 0.3 + (1 - residue) * 0.3)), 4) as quality_score from q
+    select doc_id, n::int as original_word_count, n::int as processed_word_count, round(round(case when n > 0 then kinds::double / n else 0 end, 10), 4) as lexical_diversity,
+      round(round(mattr, 10), 4) as mattr_score, round(round(average, 10), 2) as avg_sentence_length, fillers::int as hesitation_count, lang as detected_language,
+      round(round(artifact, 10), 4) as artifact_rate, commas::int as residual_comma_count, round(round(greatest(0, least(1, shape * 0.4 + (1 - artifact) * 0.3 + (1 - residue) * 0.3)), 10), 4) as quality_score from q
 """)
 def m12_analyze_documents(spark, sf_dir):
     columns = "doc_id original_word_count processed_word_count lexical_diversity mattr_score avg_sentence_length hesitation_count detected_language artifact_rate residual_comma_count quality_score"
