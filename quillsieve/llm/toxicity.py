@@ -10,10 +10,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import kept_columns, quoted
+from quillsieve.llm.common import kept_columns, materialised, quoted
 
 # Terms that name groups neutrally, by kind and language; a term is swapped for others of its row.
 IDENTITY_TERMS = (
@@ -55,29 +56,14 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def _pairs(texts: list[set[str]], column: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term there, term swapped in): each identity term of a text with the next two of its kind."""
-    out = []
-    for row, words in enumerate(texts):
-        for terms in IDENTITY_TERMS:
-            for k, term in enumerate(terms):
-                if term in words:
-                    for step in (1, 2):
-                        other = terms[(k + step) % len(terms)]
-                        if other not in words:
-                            out.append((row, column[term], column[other]))
-    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-
-
 def fit(
-    texts: list[set[str]], labels: np.ndarray, most_words: int = 4096, least_docs: int = 4, least_contrast: float = 4.0, ridge: float = 2e-4,
-    penalty: float = 1.0, steps: int = 400, rate: float = 0.1,
-) -> ToxicityModel:
+    column: dict[str, int], row: np.ndarray, col: np.ndarray, labels: np.ndarray, ridge: float = 2e-4, penalty: float = 1.0, steps: int = 400, rate: float = 0.1
+) -> ToxicityModel:
     """Minimises mean log loss + ridge + ``penalty`` times the mean squared change of the logit when a term is swapped.
 
-    Columns are the words of at least ``least_docs`` texts whose document rates differ between
-    the labels by ``least_contrast`` standard errors, ``most_words`` of the largest at most,
-    and the identity terms. Without both labels the model scores every text by the rate of label 1.
+    ``row`` and ``col`` list which text has which word of ``column``. A text with an identity
+    term is compared with itself where the next two terms of the same kind stand instead.
+    Without both labels the model scores every text by the rate of label 1.
     """
     y = labels.astype(np.float64)
     n, ones = len(y), float(y.sum())
@@ -85,38 +71,33 @@ def fit(
     bias = math.log(rate_of_one / (1 - rate_of_one))
     if not 0 < ones < n:
         return ToxicityModel(bias)
-    seen, toxic = Counter(), Counter()
-    for words, label in zip(texts, y, strict=True):
-        seen.update(words)
-        if label:
-            toxic.update(words)
-
-    def contrast(word: str) -> float:
-        p, q = toxic[word] / ones, (seen[word] - toxic[word]) / (n - ones)
-        m = seen[word] / n
-        return abs(p - q) / math.sqrt(m * (1 - m) * (1 / ones + 1 / (n - ones)) + 1e-9)
-
-    clear = ((contrast(w), w) for w, c in seen.items() if c >= least_docs)
-    common = [w for _, w in sorted((x for x in clear if x[0] >= least_contrast), key=lambda x: (-x[0], x[1]))[:most_words]]
-    column = {w: k for k, w in enumerate(dict.fromkeys([*common, *(t for row in IDENTITY_TERMS for t in row)]))}
-    rows, cols = [], []
-    for k, words in enumerate(texts):
-        own = [column[w] for w in words if w in column]
-        rows += [k] * len(own)
-        cols += own
-    row, col = np.array(rows, np.int64), np.array(cols, np.int64)
-    swap_row, swap_out, swap_in = _pairs(texts, column)
-    w, first, second = np.zeros(len(column) + 1), np.zeros(len(column) + 1), np.zeros(len(column) + 1)
+    size = len(column)
+    swaps: dict[tuple[int, int], int] = {}
+    held: dict[int, set[int]] = {}
+    named = {column[t] for terms in IDENTITY_TERMS for t in terms if t in column}
+    for r, c in zip(row[np.isin(col, list(named))].tolist(), col[np.isin(col, list(named))].tolist(), strict=True):
+        held.setdefault(r, set()).add(c)
+    for terms in IDENTITY_TERMS:
+        own = [column[t] for t in terms if t in column]
+        for present in held.values():
+            for k, c in enumerate(own):
+                for step in (1, 2):
+                    other = own[(k + step) % len(own)]
+                    if c in present and other not in present:
+                        swaps[c, other] = swaps.get((c, other), 0) + 1
+    out, into = (np.array([k[i] for k in swaps], np.int64) for i in (0, 1))
+    times = np.array(list(swaps.values()), np.float64)
+    w, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = bias
     each = np.where(y == 1, 0.5 * n / ones, 0.5 * n / (n - ones))  # both labels weigh the same
     for t in range(1, steps + 1):
         z = np.bincount(row, weights=w[col], minlength=n) + w[-1]
         error = each * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
-        grad = np.append(np.bincount(col, weights=error[row], minlength=len(column)), error.sum())
+        grad = np.append(np.bincount(col, weights=error[row], minlength=size), error.sum())
         grad[:-1] += ridge * w[:-1]
-        if len(swap_row):
-            change = 2 * penalty * (w[swap_in] - w[swap_out]) / len(swap_row)
-            grad[:-1] += np.bincount(swap_in, weights=change, minlength=len(column)) - np.bincount(swap_out, weights=change, minlength=len(column))
+        if len(out):
+            change = 2 * penalty * times * (w[into] - w[out]) / times.sum()
+            grad[:-1] += np.bincount(into, weights=change, minlength=size) - np.bincount(out, weights=change, minlength=size)
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -128,30 +109,74 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000) -> ToxicityModel:
+def _word_counts(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """(word, texts with it, texts of label 1 with it) of a task."""
+    seen, toxic = Counter(), Counter()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        words = list(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([toxic[w] for w in words], pa.int64())],
+            ["word", "n", "n_toxic"],
+        )
+        seen.clear()
+        toxic.clear()
+
+    for batch in batches:
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            words = words_of(text.as_py())
+            seen.update(words)
+            if label:
+                toxic.update(words)
+            if len(seen) > most:
+                yield from out()
+    yield from out()
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000,
+    most_words: int = 4096, least_docs: int = 4, least_contrast: float = 4.0, **options,
+) -> ToxicityModel:
     """Fits on about ``sample`` labelled documents, drawn by a hash of the id; held-out ids and null labels are left out.
 
-    The sample's ids have a fixed bound, so they are broadcast to the documents; words of
-    about ``sample`` texts come to the driver.
+    The sample's ids have a fixed bound, so they are broadcast to the documents. Words are
+    counted on Spark; columns are those of at least ``least_docs`` texts whose document rates
+    differ between the labels by ``least_contrast`` standard errors, ``most_words`` of the largest
+    at most, and the identity terms. The column numbers of the sample come to the driver.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_l_id")).agg(F.max(label_col).cast("int").alias("_l_label"))
-    total = known.count()
-    share = min(1.0, sample / max(total, 1))
+    share = min(1.0, sample / max(known.count(), 1))
     drawn = known.where(F.pmod(F.xxhash64("_l_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     rows = docs.select(F.col(id_col).alias("_d_id"), F.col(text_col).alias("_d_text")).join(
         F.broadcast(drawn), F.col("_d_id") == F.col("_l_id")
     )
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = materialised(rows.select("_d_id", "_d_text", "_l_label"))
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("_l_label"), F.lit(0)).alias("ones")).first()
+    n, ones = total.n, total.ones
+    words: list[str] = []
+    if 0 < ones < n:
+        counts = rows.select("_d_text", "_l_label").mapInArrow(_word_counts, "word string, n long, n_toxic long")
+        counts = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("t")).where(F.col("n") >= least_docs)
+        mean = F.col("n") / n
+        error = F.sqrt(mean * (1 - mean) * (1 / ones + 1 / (n - ones)) + 1e-9)
+        contrast = F.abs(F.col("t") / ones - (F.col("n") - F.col("t")) / (n - ones)) / error
+        clear = counts.withColumn("contrast", contrast).where(F.col("contrast") >= least_contrast)
+        words = [r.word for r in clear.orderBy(F.desc("contrast"), "word").limit(most_words).collect()]
+    column = {w: k for k, w in enumerate(dict.fromkeys([*words, *(t for terms in IDENTITY_TERMS for t in terms)]))}
+    shared = docs.sparkSession.sparkContext.broadcast(column)
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value
         for batch in batches:
-            found = [" ".join(sorted(words_of(x))) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(1)], ["words", "label"])
-
-    got = rows.select("_d_text", "_l_label").mapInArrow(words, "words string, label int").toArrow()
-    order = np.lexsort((got.column("label").to_numpy(), got.column("words").to_numpy(zero_copy_only=False))) if got.num_rows else []
-    texts, y = got.column("words").to_pylist(), got.column("label").to_numpy()
-    return fit([set(texts[k].split()) for k in order], y[order] if len(order) else np.zeros(0))
+            found = [sorted(get[w] for w in get.keys() & words_of(x.as_py())) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["id", "label", "cols"])
+
+    ident = rows.schema["_d_id"].dataType.simpleString()
+    got = rows.mapInArrow(columns, f"id {ident}, label int, cols array<int>").orderBy("id", "label", "cols").toArrow().combine_chunks()
+    size = pc.fill_null(pc.list_value_length(got.column("cols")), 0).to_numpy()
+    col = pc.list_flatten(got.column("cols")).to_numpy().astype(np.int64)
+    return fit(column, np.repeat(np.arange(got.num_rows), size), col, got.column("label").to_numpy(), **options)
 
 
 def toxicity_scores(

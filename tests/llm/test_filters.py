@@ -120,7 +120,9 @@ def test_counterfactual_penalty_lowers_the_gap_of_group_mentions():
             words.add("christian")
         texts.append(words)
         labels.append(int(toxic))
-    free, held = (fit(texts, np.array(labels), penalty=p) for p in (0.0, 20.0))
+    column = {w: k for k, w in enumerate([*filler, "awful", "vile", "muslim", "christian"])}
+    row, col = np.array([(k, column[w]) for k, words in enumerate(texts) for w in sorted(words)]).T
+    free, held = (fit(column, row, col, np.array(labels), penalty=p) for p in (0.0, 20.0))
     gap = lambda m: abs(m.weights.get("muslim", 0) - m.weights.get("christian", 0))
     assert gap(held) < 0.2 * gap(free)
     assert held.score("an awful muslim") > 0.5 > held.score("a neutral muslim w1 w2")
