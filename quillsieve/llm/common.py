@@ -40,6 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer parts than the session has cores, dealt to all of them: its row groups are too few tasks for work per row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def kept_columns(docs: DataFrame, keep: list[str] | None, made: tuple[str, ...]) -> list[str]:
     """``keep``, or by default every column, without those that an operator makes anew under the same name."""
     new = {n.lower() for n in made}

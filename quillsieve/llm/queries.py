@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsieve.llm import licenses
-from quillsieve.llm.common import table
+from quillsieve.llm.common import spread, table
 from quillsieve.llm.contamination import find_leaks
 from quillsieve.llm.lmscore import cross_entropy_difference
 from quillsieve.llm.pieces import encode_pieces
@@ -29,15 +29,15 @@ URL_RULES = [
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return simhash_components(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity_scores(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -49,11 +49,11 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    return cross_entropy_difference(spread(table(spark, sf_dir, "documents")), good)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents"))
+    found = remove_repeats(spread(table(spark, sf_dir, "documents")))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
         "doc_id",
@@ -72,7 +72,7 @@ def piece_model() -> str:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_pieces(table(spark, sf_dir, "documents"), piece_model(), keep=["doc_id"])
+    coded = encode_pieces(spread(table(spark, sf_dir, "documents")), piece_model(), keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -82,7 +82,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found = find_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
         "doc_id",
         (F.size("leaks") > 0).alias("contaminated"),
@@ -93,11 +93,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), piece_model(), keep=["doc_id"])
+    return token_counts(spread(table(spark, sf_dir, "documents")), piece_model(), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
