@@ -101,26 +101,36 @@ def quality(average_length: Column, artifact_rate: Column, residue_rate: Column,
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), scored))
 
 
-def quality_columns(original_words: Column, text: Column, word_array: Column, language: Column) -> dict[str, Column]:
-    """Unrounded metrics of a text, given the words of what it came from."""
-    n, before = F.size(word_array), F.size(original_words)
-    sentences = sentence_count(text)
+def count_columns(original_words: Column, text: Column, word_array: Column, language: Column, prefix: str = "_") -> dict[str, Column]:
+    """What the rates of a text are made of; to become columns before ``quality_columns`` reads each several times."""
+    found = {
+        "before": F.size(original_words),
+        "n": F.size(word_array),
+        "sentences": sentence_count(text),
+        "commas": T.residual_commas(text),
+        "residue": T.filler_count(word_array, language) + immediate_repetitions(word_array),
+        "diversity": lexical_diversity(word_array),
+        "mattr": mattr(word_array),
+    }
+    return {prefix + k: v for k, v in found.items()}
+
+
+def quality_columns(prefix: str = "_") -> dict[str, Column]:
+    """Unrounded metrics of a text from its ``count_columns``."""
+    before, n, sentences, commas, residue = (F.col(prefix + k) for k in ("before", "n", "sentences", "commas", "residue"))
     noise = F.when(before > 0, F.greatest(F.lit(0.0), (before - n) / before)).otherwise(0.0)
     average = F.when(sentences > 0, n / sentences).otherwise(n.cast("double"))
-    commas = T.residual_commas(text)
     rate = lambda x: F.when(n > 0, F.least(F.lit(1.0), x / n)).otherwise(1.0)
-    artifacts = rate(commas)
-    residue = rate(T.filler_count(word_array, language) + immediate_repetitions(word_array))
     return {
         "original_word_count": before,
         "processed_word_count": n,
         "noise_reduction_rate": noise,
-        "lexical_diversity": lexical_diversity(word_array),
-        "mattr_score": mattr(word_array),
+        "lexical_diversity": F.col(prefix + "diversity"),
+        "mattr_score": F.col(prefix + "mattr"),
         "avg_sentence_length": average,
-        "artifact_rate": artifacts,
+        "artifact_rate": rate(commas),
         "residual_comma_count": commas,
-        "quality_score": quality(average, artifacts, residue, noise),
+        "quality_score": quality(average, rate(commas), rate(residue), noise),
     }
 
 

@@ -149,14 +149,23 @@ _RUNS = (
 )
 
 
-def collapse_repetitions(text: Column | str) -> tuple[Column, Column]:
-    """The text in single spaces with runs of a repeated word, pair or triple folded to one, and how many words went.
+def single_spaced(text: Column | str) -> Column:
+    return F.regexp_replace(F.regexp_replace(_col(text), r"(?U)\s+", " "), "^ | $", "")
 
-    Not across a sentence end: a repeated sentence is speech, not a slip.
-    """
-    spaced = F.regexp_replace(F.regexp_replace(_col(text), r"(?U)\s+", " "), "^ | $", "")
-    folded = F.regexp_replace(spaced, _RUNS, "$1$2$3")
-    gaps = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+
+def gaps(text: Column | str) -> Column:
+    return F.length(_col(text)) - F.length(F.replace(_col(text), F.lit(" "), F.lit("")))
+
+
+def fold_runs(spaced: Column | str) -> Column:
+    """Runs of a repeated word, pair or triple become one; not across a sentence end, where a repetition is speech and no slip."""
+    return F.regexp_replace(_col(spaced), _RUNS, "$1$2$3")
+
+
+def collapse_repetitions(text: Column | str) -> tuple[Column, Column]:
+    """The text in single spaces with its runs folded, and how many words went."""
+    spaced = single_spaced(text)
+    folded = fold_runs(spaced)
     return F.when(spaced == "", _col(text)).otherwise(folded), gaps(spaced) - gaps(folded)
 
 

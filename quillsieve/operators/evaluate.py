@@ -29,22 +29,25 @@ METRICS = (
 
 def text_metrics(docs: DataFrame, text: str, language: str, prefix: str) -> DataFrame:
     """``docs`` with the nine metrics of a text as ``prefix_name``; MTLD is null where it is undefined."""
-    w = f"_{prefix}_words"
+    w, p = f"_{prefix}_words", f"_{prefix}_"
     df = docs.withColumn(w, T.words(text))
-    q = M.quality_columns(F.col(w), F.col(text), F.col(w), F.col(language))
+    counts = M.count_columns(F.col(w), F.col(text), F.col(w), F.col(language), p)
+    own = {f"{p}fillers": T.filler_count(w, language), f"{p}repeats": M.immediate_repetitions(F.col(w)), f"{p}mtld": M.mtld(w)}
+    df = df.withColumns(counts | own)
+    q = M.quality_columns(p)
     n = F.greatest(F.lit(1), F.size(w))
     found = {
         "flesch": M.flesch(text, language),
         "avgSentenceLength": F.round(q["avg_sentence_length"], 2),
         "runOnRate": M.run_on_rate(text),
         "qualityScore": F.round(q["quality_score"], 4),
-        "fillerDensity": T.filler_count(w, language) / n,
-        "repetitionDensity": M.immediate_repetitions(F.col(w)) / n,
+        "fillerDensity": F.col(f"{p}fillers") / n,
+        "repetitionDensity": F.col(f"{p}repeats") / n,
         "orphanCommaRate": q["residual_comma_count"] / n,
         "mattr": F.round(q["mattr_score"], 4),
+        "mtld": F.round(f"{p}mtld", 4),
     }
-    df = df.withColumns({f"{prefix}_{k}": v for k, v in found.items()})
-    return df.withColumn(f"{prefix}_mtld", F.round(M.mtld(w), 4)).drop(w)
+    return df.withColumns({f"{prefix}_{k}": v for k, v in found.items()}).drop(w, *counts, *own)
 
 
 def content_retention(docs: DataFrame, id_col: str, raw: str, processed: str, language: str) -> DataFrame:
