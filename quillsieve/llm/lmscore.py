@@ -2,137 +2,238 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm.common import materialised, text_bytes
 
+_ONE = np.uint64(1)
+#: Stands before the first and after the last word of each text; no word has this digest's input.
+_EDGE = xxhash.xxh64_intdigest(b"", 7)
+
 
 def words_of(raw: bytes) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case, without punctuation at their ends."""
-    return [w.strip(b".,;:!?\"'()[]") for w in raw.lower().split()]
+    return [x for w in raw.lower().split() if (x := w.strip(b".,;:!?\"'()[]"))]
 
 
-@dataclass
-class PairedModels:
-    """Losses of two bigram models, dense over a vocabulary of fixed size; row -1 is the start of a text."""
+class _Numbers(dict):
+    """Numbers words in the order of their first look-up."""
 
-    vocabulary: dict[bytes, int]
-    target: np.ndarray
-    background: np.ndarray
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
-    def losses(self, ids: np.ndarray) -> tuple[float, float]:
-        """Mean loss a token, of the target and of the background model."""
-        before = np.concatenate(([len(self.target) - 1], ids[:-1]))
-        return float(self.target[before, ids].mean()), float(self.background[before, ids].mean())
 
+def packed(values: np.ndarray) -> bytes:
+    """8-byte numbers as compressed byte planes."""
+    return zstandard.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
-def bigram_losses(counts: np.ndarray, prior: float) -> np.ndarray:
-    """-log of (c(u v) + prior p(v)) / (c(u) + prior), with p(v) from counts plus one; ``counts`` has a row more for the start."""
-    p = (counts.sum(axis=0) + 1) / (counts.sum() + counts.shape[1])
-    return -np.log((counts + prior * p) / (counts.sum(axis=1, keepdims=True) + prior)).astype(np.float64)
 
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
-def _word_counts(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
 
-    def out() -> Iterator[pa.RecordBatch]:
-        words, n = list(held), list(held.values())
-        for k in range(0, len(words), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000], pa.binary()), pa.array(n[k : k + 50_000], pa.int64())], ["word", "n"])
-        held.clear()
+def model_losses(n_pair: np.ndarray, n_before: np.ndarray, n_word: np.ndarray, places: int, words: int, prior: float) -> np.ndarray:
+    """-log of (c(u v) + prior p(v)) / (c(u) + prior), with p(v) = (c(v) + 1) / (places + words)."""
+    return -np.log((n_pair + prior * (n_word + 1) / (places + words)) / (n_before + prior))
 
-    for batch in batches:
-        for x in batch.column(0):
-            held.update(words_of(x.as_py()))
-            if len(held) > most:
-                yield from out()
-    yield from out()
 
+@dataclass
+class Block:
+    """Some texts as numbers of their own words, with the distinct keys that the models count.
 
-def _encoded(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, int] = vocabulary.value
-    other = len(known)
-    for batch in batches:
-        found = [np.array([known.get(w, other) for w in words_of(x.as_py())], np.uint16).tobytes() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "ids"])
+    A key is a 64-bit digest: odd for a word (or the edge), even for a pair of neighbours.
+    ``keys`` are sorted; ``n`` and ``n_target`` count them in all and in the target texts.
+    """
 
+    words: np.ndarray
+    tokens: np.ndarray
+    sizes: np.ndarray
+    target: np.ndarray
 
-def _bigrams(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    held = {False: np.zeros((size + 1) * size, np.int64), True: np.zeros((size + 1) * size, np.int64)}
-    for batch in batches:
-        target = batch.column("target").to_pylist()
-        for kind in (False, True):
-            keys = []
-            for x, t in zip(batch.column("ids"), target, strict=True):
-                if t == kind and len(x.as_py()):
-                    ids = np.frombuffer(x.as_py(), np.uint16).astype(np.int32)
-                    keys.append(np.concatenate(([size], ids[:-1])) * size + ids)
-            if keys:
-                held[kind] += np.bincount(np.concatenate(keys), minlength=(size + 1) * size)
-    every = np.flatnonzero(held[False] + held[True]).astype(np.int32)
-    for k in range(0, len(every), 100_000):
-        some = every[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some), pa.array(held[False][some] + held[True][some]), pa.array(held[True][some])], ["bigram", "n", "n_target"]
+    def __post_init__(self):
+        self.size = self.sizes[self.sizes > 0]
+        edge = len(self.words)
+        before = np.insert(self.tokens.astype(np.int64), np.cumsum(self.size) - self.size, edge)
+        after = np.append(before[1:], edge)[: len(before)]
+        own = np.repeat(self.target[self.sizes > 0], self.size + 1)
+        self.pairs, self.pair_at = np.unique(before * (edge + 1) + after, return_inverse=True)
+        digest = np.append(self.words, np.uint64(_EDGE))
+        self.first, self.second = self.pairs // (edge + 1), self.pairs % (edge + 1)
+        mixed = (digest[self.first] ^ (digest[self.first] >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + digest[self.second]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        keys = np.concatenate((digest | _ONE, mixed & ~_ONE)) if len(before) else np.zeros(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.place = keys[order], np.empty(len(keys), np.int64)
+        self.place[order] = np.arange(len(keys))
+        self.n, self.n_target = (
+            np.concatenate((np.bincount(b, minlength=edge + 1), np.bincount(p, minlength=len(self.pairs))))[order] if len(before) else np.zeros(0, np.int64)
+            for b, p in ((before, self.pair_at), (before[own], self.pair_at[own]))
         )
 
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        sizes, target = np.array(row["sizes"], np.int64), np.array(row["target"], bool)
+        return cls(unpacked(row["words"]), np.frombuffer(zstandard.decompress(row["tokens"]), np.uint32), sizes, target)
+
+    def mean_losses(self, n: np.ndarray, places: int, words: int, prior: float) -> np.ndarray:
+        """Of each text, over its words and its end; NaN without words. ``n`` are the corpus's counts of ``keys``."""
+        mean = np.full(len(self.sizes), np.nan)
+        if len(self.size):
+            every = n[self.place].astype(np.float64)
+            single, pair = every[: len(self.words) + 1], every[len(self.words) + 1 :]
+            loss = model_losses(pair, single[self.first], single[self.second], places, words, prior)[self.pair_at]
+            mean[self.sizes > 0] = np.add.reduceat(loss, np.cumsum(self.size + 1) - (self.size + 1)) / (self.size + 1)
+        return mean
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], partition: int, ident: pa.DataType, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (id, target, raw) as one row for each block of texts."""
+    number, made, size = _Numbers(), 0, 0
+    ids: list = []
+    target: list[bool] = []
+    tokens: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        sizes = [len(x) for x in tokens]
+        digests = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in number), np.uint64, len(number))
+        places = [n + 1 if n else 0 for n in sizes]
+        row = {
+            "block": pa.array([partition << 32 | made], pa.int64()),
+            "places": pa.array([sum(places)], pa.int64()),
+            "target_places": pa.array([sum(n for n, t in zip(places, target, strict=True) if t)], pa.int64()),
+            "ids": pa.array([ids], pa.list_(ident)),
+            "target": pa.array([target], pa.list_(pa.bool_())),
+            "sizes": pa.array([sizes], pa.list_(pa.int32())),
+            "words": pa.array([packed(digests)], pa.binary()),
+            "tokens": pa.array([zstandard.compress(np.concatenate(tokens).tobytes(), 1)], pa.binary()),
+        }
+        return pa.RecordBatch.from_pydict(row)
+
+    for batch in batches:
+        for i, t, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            raw = raw.as_py()
+            ids.append(i)
+            target.append(t)
+            tokens.append(np.array(list(map(number.__getitem__, words_of(raw))), np.uint32))
+            size += len(raw) + 16
+            if size >= block_bytes:
+                yield out()
+                made, size = made + 1, 0
+                for x in (number, ids, target, tokens):
+                    x.clear()
+    if ids:
+        yield out()
+
+
+def _requests(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The keys of each block with its counts, a row for each bucket of keys."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = Block.of(row)
+            bucket = (own.keys >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(bucket[a]) for a, _ in spans], pa.int64()),
+                    pa.array([row["block"]] * len(spans), pa.int64()),
+                    pa.array([packed(np.diff(own.keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
+                    pa.array([packed(own.n[a:b]) for a, b in spans], pa.binary()),
+                    pa.array([packed(own.n_target[a:b]) for a, b in spans], pa.binary()),
+                ],
+                ["bucket", "block", "keys", "n", "n_target"],
+            )
+
+
+def _answers(bucket: pa.Table) -> pa.Table:
+    """Sums the counts of a bucket's keys over all blocks and hands each block the sums of its own keys."""
+    keys = [np.cumsum(unpacked(x.as_py()), dtype=np.uint64) for x in bucket.column("keys")]
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    ends = np.cumsum([len(k) for k in keys])
+    sums = []
+    for name in ("n", "n_target"):
+        counts = np.concatenate([unpacked(x.as_py()) for x in bucket.column(name)]).astype(np.float64)  # whole below 2**53
+        total = np.bincount(at, weights=counts, minlength=len(every)).astype(np.uint64)[at]
+        sums.append(pa.array([packed(x) for x in np.split(total, ends[:-1])], pa.binary()))
+    words = [int((every & _ONE).sum())] + [0] * (len(keys) - 1)
+    return pa.table([bucket.column("block"), bucket.column("bucket"), *sums, pa.array(words, pa.int64())], ["block", "bucket", "n", "n_target", "words"])
+
 
 def cross_entropy_difference(
-    docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1024, prior: float = 50.0
-) -> DataFrame:
+    docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 50.0,
+    block_bytes: int = 8_000_000, bucket_keys: int = 1_000_000, most_broadcast: int = 1_000_000,
+) -> DataFrame:
     """One row per document: id, ``n_tokens``, ``target_loss``, ``background_loss`` and their difference ``score``.
 
     ``targets`` has the ids (column ``id_col``) of the documents that the target model
-    counts; the background model counts all. Both use the ``vocabulary`` - 1 most frequent
-    words of all documents and one token for the rest, the same order and the same
-    smoothing. The lower the score, the more a text is like the target. A model is a
-    square of ``vocabulary`` words, so what is collected and broadcast has a fixed bound
-    (about 16 MB at 1,024); the words that are counted for it grow with the corpus.
+    counts; the background model counts all. Both share the vocabulary of every word of
+    the corpus, the order and the smoothing; losses are means over a text's words and its
+    end. The lower the score, the more a text is like the target.
+
+    The models are tables of counts as large as the corpus makes them; none is collected or
+    broadcast. Texts are numbered in blocks of ``block_bytes``; a block sends each of its
+    distinct words and pairs once, to buckets of about ``bucket_keys`` of them, where they
+    are summed, and gets the sums back. So the most frequent word or pair costs a row's
+    entry for each block, not for each place. Keys are 64-bit digests.
+
     Texts without words have no tokens and null losses; null ids never are targets; an empty
-    ``targets`` gives a uniform target model. Repeated rows keep a row each.
+    ``targets`` gives a uniform target model. Repeated rows keep a row each. The target ids
+    are broadcast up to ``most_broadcast`` of them and joined by a shuffle beyond that.
     """
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("raw"))
-    ident = rows.schema["id"].dataType.simpleString()
-    counted = rows.select("raw").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where("length(word) > 0").orderBy(F.desc("n"), "word").limit(vocabulary - 1).collect()
-    words = {bytes(r.word): k for k, r in enumerate(top)}
-    size = len(words) + 1
-    shared = sc.broadcast(words)
-    coded = materialised(rows.mapInArrow(lambda b: _encoded(b, shared), f"id {ident}, ids binary"))
     wanted = targets.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("t_id")).distinct()
-    flagged = coded.join(wanted, coded["id"] == wanted["t_id"], "left").select("ids", F.col("t_id").isNotNull().alias("target"))
-    counts = flagged.mapInArrow(lambda b: _bigrams(b, size), "bigram int, n long, n_target long")
-    got = counts.groupBy("bigram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
-    grids = []
-    for name in ("n_target", "n"):
-        grid = np.zeros((size + 1) * size)
-        grid[got.column("bigram").to_numpy()] = got.column(name).to_numpy()
-        grids.append(bigram_losses(grid.reshape(size + 1, size), prior))
-    models = sc.broadcast(PairedModels(words, *grids))
+    wanted = F.broadcast(wanted) if wanted.limit(most_broadcast + 1).count() <= most_broadcast else wanted
+    rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("raw")).join(wanted, F.col("id") == F.col("t_id"), "left")
+    rows = rows.select("id", F.col("t_id").isNotNull().alias("target"), "raw")
+    ident = rows.schema["id"].dataType.simpleString()
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = next(batches, None)
+        if first is not None:
+            yield from _blocks((b for some in ([first], batches) for b in some), TaskContext.get().partitionId(), first.schema.field(0).type, block_bytes)
+
+    blocks = materialised(
+        rows.mapInArrow(
+            numbered,
+            f"block long, places long, target_places long, ids array<{ident}>, target array<boolean>, sizes array<int>, words binary, tokens binary",
+        )
+    )
+    whole = blocks.agg(F.coalesce(F.sum("places"), F.lit(0)).alias("n"), F.coalesce(F.sum("target_places"), F.lit(0)).alias("n_target")).first()
+    bits = max(8, (2 * whole.n // bucket_keys).bit_length())
+    asked = blocks.select("block", "target", "sizes", "words", "tokens").mapInArrow(
+        lambda b: _requests(b, bits), "bucket long, block long, keys binary, n binary, n_target binary"
+    )
+    answers = materialised(asked.groupBy("bucket").applyInArrow(_answers, "block long, bucket long, n binary, n_target binary, words long"))
+    words = answers.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, t, b = [], [], []
-            for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_py(), np.uint16).astype(np.int64)
-                n.append(len(ids))
-                a, c = models.value.losses(ids) if len(ids) else (None, None)
-                t.append(a)
-                b.append(c)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64())],
-                ["id", "n_tokens", "target_loss", "background_loss"],
-            )
-
-    found = coded.mapInArrow(scored, f"id {ident}, n_tokens long, target_loss double, background_loss double")
+            for row in batch.to_pylist():
+                own = Block.of(row)
+                got = sorted(row["answers"] or [], key=lambda x: x["bucket"])
+                loss = []
+                for name, places in (("n_target", whole.n_target), ("n", whole.n)):
+                    n = np.concatenate([unpacked(x[name]) for x in got]) if got else np.zeros(0)
+                    mean = own.mean_losses(n, places, words, prior)
+                    loss.append(pa.array(mean, mask=np.isnan(mean)))
+                ids = pa.array(row["ids"], batch.schema.field("ids").type.value_type)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(own.sizes), *loss], ["id", "n_tokens", "target_loss", "background_loss"])
+
+    sent = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "n_target")).alias("answers"))
+    found = blocks.join(sent, "block", "left").select("ids", "target", "sizes", "words", "tokens", "answers")
+    found = found.mapInArrow(scored, f"id {ident}, n_tokens long, target_loss double, background_loss double")
     return found.select(
         F.col("id").alias(id_col), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score")
     )

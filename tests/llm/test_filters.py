@@ -11,7 +11,7 @@ import pytest
 
 from quillsieve.llm import licenses, queries
 from quillsieve.llm.contamination import ItemIndex, find_leaks, least_edits, normalised
-from quillsieve.llm.lmscore import bigram_losses, cross_entropy_difference, words_of
+from quillsieve.llm.lmscore import cross_entropy_difference, packed, unpacked, words_of
 from quillsieve.llm.quality import CLASSES, ORDER, KneserNey, base_counts, gram_keys, quality_rules
 from quillsieve.llm.toxicity import ToxicityModel, fit, toxicity_scores, train
 from quillsieve.llm.urls import UrlRule, url_verdicts
@@ -182,30 +182,48 @@ def test_trees_learn_what_the_rules_show(spark):
 # language-model scores
 
 
-def test_cross_entropy_difference_equals_a_plain_model(spark):
-    texts = {1: "The cat sat. The cat ran!", 2: "a dog ran", 3: "", 4: None, 5: "the the the cat", 6: "the cat sat"}
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 40, "bucket_keys": 1, "most_broadcast": 0}])
+def test_cross_entropy_difference_equals_a_plain_model(spark, options):
+    texts = {1: "The cat sat. The cat ran!", 2: "a dog ran", 3: "", 4: None, 5: "the the the cat", 6: "the cat sat", 7: " ... \n!", 8: "x" * 500 + " été"}
     docs = spark.createDataFrame([(k, t, 0.0) for k, t in texts.items()] + [(6, texts[6], 0.0), (None, "dog", 0.0)], "doc_id long, text string, score double")
     targets = spark.createDataFrame([(1, "x"), (6, "y"), (6, "z"), (None, "n")], "doc_id long, text string")
-    every = [*texts.items(), (6, texts[6]), (None, "dog")]
-    count = Counter(w for _, t in every for w in words_of((t or "").encode()))
-    vocabulary = {w: k for k, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:4])}
-    size = 5
-    grids = {True: np.zeros((size + 1, size)), False: np.zeros((size + 1, size))}
-    coded = [(i, [vocabulary.get(w, 4) for w in words_of((t or "").encode())]) for i, t in every]
-    for i, ids in coded:
-        for a, b in zip([size, *ids[:-1]], ids, strict=True) if ids else ():
-            grids[False][a, b] += 1
-            grids[True][a, b] += i in (1, 6)
-    loss = {k: bigram_losses(g, 50.0) for k, g in grids.items()}
-    got = sorted((r.doc_id or 0, r.n_tokens, r.score) for r in cross_entropy_difference(docs, targets, vocabulary=5).collect() if r.n_tokens)
-    want = sorted((i or 0, len(ids), float(np.mean([(loss[True] - loss[False])[a, b] for a, b in zip([size, *ids[:-1]], ids, strict=True)]))) for i, ids in coded if ids)
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert np.allclose([g[2] for g in got], [w[2] for w in want])
-    p = np.exp(-loss[True])
-    assert np.allclose(p.sum(axis=1), 1)
-    assert cross_entropy_difference(docs.limit(0), targets.limit(0)).count() == 0
-    blank = {r.doc_id: (r.n_tokens, r.score) for r in cross_entropy_difference(docs, targets.limit(0)).collect()}
-    assert blank[3] == blank[4] == (0, None)
+    every = [(i, words_of((t or "").encode())) for i, t in [*texts.items(), (6, texts[6]), (None, "dog")]]
+    size = len({w for _, ws in every for w in ws}) + 1
+    pairs, words = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
+    for i, ws in every:
+        for kind in (False, True):
+            if ws and (not kind or i in (1, 6)):
+                pairs[kind].update(zip([b"", *ws], [*ws, b""], strict=True))
+                words[kind].update([*ws, b""])
+
+    def p(kind, u, v):
+        return (pairs[kind][u, v] + 50 * (words[kind][v] + 1) / (words[kind].total() + size)) / (words[kind][u] + 50)
+
+    want = sorted(
+        (i or 0, len(ws), *(-sum(math.log(p(k, u, v)) for u, v in zip([b"", *ws], [*ws, b""], strict=True)) / (len(ws) + 1) for k in (True, False)))
+        for i, ws in every
+        if ws
+    )
+    found = cross_entropy_difference(docs, targets, **options)
+    got = sorted((r.doc_id or 0, r.n_tokens, r.target_loss, r.background_loss) for r in found.collect() if r.n_tokens)
+    assert np.allclose(got, want)
+    assert math.isclose(sum(p(True, b"the", v) for v in {w for _, ws in every for w in ws} | {b""}), 1)
+    assert cross_entropy_difference(docs.limit(0), targets.limit(0), **options).count() == 0
+    blank = {r.doc_id: (r.n_tokens, r.score) for r in cross_entropy_difference(docs, targets.limit(0), **options).collect()}
+    assert blank[3] == blank[4] == blank[7] == (0, None) and blank[1][1] is not None
+
+
+def test_planes_are_packed_and_unpacked():
+    for values in ([], [0], [2**63 + 5, 1, 2**64 - 1]):
+        assert unpacked(packed(np.array(values, np.uint64))).tolist() == values
+
+
+def test_op5_tells_good_documents_apart(spark, sf_dir):
+    """The target's own documents score lower than the others, and a row comes for each document."""
+    scores = queries.op5_lm_scoring(spark, sf_dir)
+    assert scores.count() == queries.table(spark, sf_dir, "documents").count()
+    by = dict(scores.where("score is not null").join(queries.table(spark, sf_dir, "labels"), "doc_id").groupBy("quality").avg("score").collect())
+    assert by[1] < by[0]
 
 
 # contamination
