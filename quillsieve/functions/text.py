@@ -118,11 +118,22 @@ def is_stage_direction(inner: Column) -> Column:
     )
 
 
-def remove_nonverbal(text: Column | str, depth: int = 8) -> Column:
-    """Square brackets (nested ``depth`` deep), music notes, and round or curly brackets around stage directions, each as a space."""
-    t = _col(text)
-    for _ in range(depth):
-        t = F.regexp_replace(t, r"\[[^\[\]]*\]", " ")
+def replaced_at_all_levels(text: Column, pattern: str, into: str, opening: str, unrolled: int = 8) -> Column:
+    """Replaces matches until none is left, innermost first.
+
+    The first ``unrolled`` levels are plain expressions. A text that is nested deeper goes on,
+    as often as the mark ``opening``, of which a match takes one at least, is left in it.
+    """
+    for _ in range(unrolled):
+        text = F.regexp_replace(text, pattern, into)
+    left = lambda t: F.sequence(F.lit(1), F.regexp_count(t, F.lit(opening)))
+    deeper = lambda t: F.aggregate(left(t), t, lambda x, _: F.regexp_replace(x, pattern, into))
+    return F.transform(F.array(text), lambda t: F.when(t.rlike(pattern), deeper(t)).otherwise(t))[0]
+
+
+def remove_nonverbal(text: Column | str) -> Column:
+    """Square brackets at any depth, music notes, and round or curly brackets around stage directions, each as a space."""
+    t = replaced_at_all_levels(_col(text), r"\[[^\[\]]*\]", " ", r"\[")
     t = F.replace(F.regexp_replace(t, "♪[^♪]*♪", " "), F.lit("♪"), F.lit(" "))
     parts = F.regexp_extract_all(t, F.lit(r"\([^()]*\)|\{[^{}]*\}|[^(){}]+|[(){}]"), F.lit(0))
     bracketed = lambda p: (F.length(p) > 2) & p.rlike(r"^[({]")
@@ -332,12 +343,9 @@ def resolve_swapped(first: Column | str, second: Column | str) -> tuple[Column,
     return F.when(same, _col(first)).otherwise("tie"), same
 
 
-def strip_tags(text: Column | str, tags: tuple[str, ...], depth: int = 8) -> Column:
-    """Opening and closing tags go, those that appear once others are gone as well, ``depth`` deep."""
-    t, pattern = _col(text), r"(?iU)<\s*/?\s*(?:" + "|".join(tags) + r")\s*>"
-    for _ in range(depth):
-        t = F.regexp_replace(t, pattern, "")
-    return t
+def strip_tags(text: Column | str, tags: tuple[str, ...]) -> Column:
+    """Opening and closing tags go, those that appear once others are gone as well."""
+    return replaced_at_all_levels(_col(text), r"(?iU)<\s*/?\s*(?:" + "|".join(tags) + r")\s*>", "", "<")
 
 
 def wrap_excerpt(text: Column | str, tag: str = "transcript") -> Column:

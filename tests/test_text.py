@@ -50,6 +50,14 @@ def test_nonverbal_notes_go(run, note):
     assert re.sub(r"\s+", " ", run([f"antes {note} depois"], T.remove_nonverbal("x"))[0]) == "antes depois"
 
 
+@pytest.mark.parametrize("depth", [1, 8, 9, 40])
+def test_brackets_and_tags_go_at_any_depth(run, depth):
+    nested = "a " + "[x" * depth + "]" * depth + " b [c"
+    tags = "<tag" * depth + "<TAG>" + ">" * depth + "z"
+    assert re.sub(r" +", " ", run([nested, None], T.remove_nonverbal("x"))[0]) == "a b [c"
+    assert run([tags, None, ""], T.strip_tags("x", ("tag",))) == ["z", None, ""]
+
+
 @pytest.mark.parametrize("kept", ["(como eu disse)", "(2020)", "(risadas 2)", "()"])
 def test_spoken_brackets_stay(run, kept):
     assert run([f"antes {kept} depois"], T.remove_nonverbal("x")) == [f"antes {kept} depois"]
