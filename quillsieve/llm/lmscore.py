@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillsieve.llm.common import materialised, text_bytes
 
@@ -97,6 +99,13 @@ class Block:
         return mean
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, as a row is a whole block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], partition: int, ident: pa.DataType, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Rows of (id, target, raw) as one row for each block of texts."""
     number, made, size = _Numbers(), 0, 0
@@ -138,22 +147,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], partition: int, ident: pa.DataTyp
 
 def _requests(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """The keys of each block with its counts, a row for each bucket of keys."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            own = Block.of(row)
-            bucket = (own.keys >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
-            spans = list(zip(cuts, cuts[1:], strict=False))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(bucket[a]) for a, _ in spans], pa.int64()),
-                    pa.array([row["block"]] * len(spans), pa.int64()),
-                    pa.array([packed(np.diff(own.keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
-                    pa.array([packed(own.n[a:b]) for a, b in spans], pa.binary()),
-                    pa.array([packed(own.n_target[a:b]) for a, b in spans], pa.binary()),
-                ],
-                ["bucket", "block", "keys", "n", "n_target"],
-            )
+    for row in _each(batches):
+        own = Block.of(row)
+        bucket = (own.keys >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(bucket[a]) for a, _ in spans], pa.int64()),
+                pa.array([row["block"]] * len(spans), pa.int64()),
+                pa.array([packed(np.diff(own.keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
+                pa.array([packed(own.n[a:b]) for a, b in spans], pa.binary()),
+                pa.array([packed(own.n_target[a:b]) for a, b in spans], pa.binary()),
+            ],
+            ["bucket", "block", "keys", "n", "n_target"],
+        )
 
 
 def _answers(bucket: pa.Table) -> pa.Table:
@@ -195,14 +203,10 @@ def cross_entropy_difference(
     wanted = F.broadcast(wanted) if wanted.limit(most_broadcast + 1).count() <= most_broadcast else wanted
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("raw")).join(wanted, F.col("id") == F.col("t_id"), "left")
     rows = rows.select("id", F.col("t_id").isNotNull().alias("target"), "raw")
-    ident = rows.schema["id"].dataType.simpleString()
+    ident, id_type = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        first = next(batches, None)
-        if first is not None:
-            yield from _blocks((b for some in ([first], batches) for b in some), TaskContext.get().partitionId(), first.schema.field(0).type, block_bytes)
+        return _blocks(batches, TaskContext.get().partitionId(), id_type, block_bytes)
 
     blocks = materialised(
         rows.mapInArrow(
@@ -219,17 +223,16 @@ def cross_entropy_difference(
     words = answers.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = Block.of(row)
-                got = sorted(row["answers"] or [], key=lambda x: x["bucket"])
-                loss = []
-                for name, places in (("n_target", whole.n_target), ("n", whole.n)):
-                    n = np.concatenate([unpacked(x[name]) for x in got]) if got else np.zeros(0)
-                    mean = own.mean_losses(n, places, words, prior)
-                    loss.append(pa.array(mean, mask=np.isnan(mean)))
-                ids = pa.array(row["ids"], batch.schema.field("ids").type.value_type)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(own.sizes), *loss], ["id", "n_tokens", "target_loss", "background_loss"])
+        for row in _each(batches):
+            own = Block.of(row)
+            got = sorted(row["answers"] or [], key=lambda x: x["bucket"])
+            loss = []
+            for name, places in (("n_target", whole.n_target), ("n", whole.n)):
+                n = np.concatenate([unpacked(x[name]) for x in got]) if got else np.zeros(0)
+                mean = own.mean_losses(n, places, words, prior)
+                loss.append(pa.array(mean, mask=np.isnan(mean)))
+            ids = pa.array(row["ids"], id_type)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(own.sizes), *loss], ["id", "n_tokens", "target_loss", "background_loss"])
 
     sent = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "n_target")).alias("answers"))
     found = blocks.join(sent, "block", "left").select("ids", "target", "sizes", "words", "tokens", "answers")
