@@ -16,7 +16,7 @@ from quillsieve.llm.contamination import find_leaks
 from quillsieve.llm.pieces import encode_pieces
 from quillsieve.llm.queries import piece_model
 from quillsieve.llm.repeats import remove_repeats
-from quillsieve.llm.simhash import keep_one_per_component
+from quillsieve.llm.similar import keep_one_of_similar
 from quillsieve.llm.toxicity import toxicity_scores, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,8 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group."""
-    return keep_one_per_component(docs).select(*COLUMNS)
+    """Keeps the document of the smallest id of each group of texts linked by a Jaccard similarity of 0.8 of their five-word shingles."""
+    return keep_one_of_similar(docs, words=5, similarity=0.8).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
