@@ -40,7 +40,17 @@ _WORD = re.compile(r"[^\W\d_]+")
 def words_of(text: str | None) -> set[str]:
     """The different words of a text and, as ``abcd*``, the beginnings of its longer words, which endings do not hide."""
     words = set(_WORD.findall(text.lower())) if text else set()
-    return words | {w[:4] + "*" for w in words if len(w) > 4}
+    return words | {b for b in map(beginning, words) if b}
+
+
+def beginning(word: str) -> str | None:
+    return word[:4] + "*" if len(word) > 4 else None
+
+
+def shared_beginnings(text: str | None) -> set[str]:
+    """The beginnings that several words of a text have, which stay when one of these is swapped."""
+    begun = Counter(beginning(w) for w in set(_WORD.findall(text.lower()))) if text else Counter()
+    return {b for b, n in begun.items() if b and n > 1}
 
 
 @dataclass
@@ -57,12 +67,14 @@ class ToxicityModel:
 
 
 def fit(
-    column: dict[str, int], row: np.ndarray, col: np.ndarray, labels: np.ndarray, ridge: float = 2e-4, penalty: float = 1.0, steps: int = 400, rate: float = 0.1
-) -> ToxicityModel:
+    column: dict[str, int], row: np.ndarray, col: np.ndarray, labels: np.ndarray, ridge: float = 2e-4, penalty: float = 1.0, steps: int = 400, rate: float = 0.1,
+    staying: frozenset[tuple[int, int]] = frozenset(),
+) -> ToxicityModel:
     """Minimises mean log loss + ridge + ``penalty`` times the mean squared change of the logit when a term is swapped.
 
     ``row`` and ``col`` list which text has which word of ``column``. A text with an identity
-    term is compared with itself where the next two terms of the same kind stand instead.
+    term is compared with itself where the next two terms of the same kind stand instead: with the
+    term goes its beginning, unless ``staying`` lists it for the text, and with the other comes its own.
     Without both labels the model scores every text by the rate of label 1.
     """
     y = labels.astype(np.float64)
@@ -72,20 +84,26 @@ def fit(
     if not 0 < ones < n:
         return ToxicityModel(bias)
     size = len(column)
-    swaps: dict[tuple[int, int], int] = {}
+    swaps: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
     held: dict[int, set[int]] = {}
-    named = {column[t] for terms in IDENTITY_TERMS for t in terms if t in column}
-    for r, c in zip(row[np.isin(col, list(named))].tolist(), col[np.isin(col, list(named))].tolist(), strict=True):
+    begun = {column[t]: column.get(beginning(t)) for terms in IDENTITY_TERMS for t in terms if t in column}
+    named = np.isin(col, list(begun))
+    near = np.isin(col, [*begun, *(b for b in begun.values() if b is not None)]) & np.isin(row, row[named])
+    for r, c in zip(row[near].tolist(), col[near].tolist(), strict=True):
         held.setdefault(r, set()).add(c)
     for terms in IDENTITY_TERMS:
         own = [column[t] for t in terms if t in column]
-        for present in held.values():
+        for r, present in held.items():
             for k, c in enumerate(own):
                 for step in (1, 2):
                     other = own[(k + step) % len(own)]
                     if c in present and other not in present:
-                        swaps[c, other] = swaps.get((c, other), 0) + 1
-    out, into = (np.array([k[i] for k in swaps], np.int64) for i in (0, 1))
+                        gone = {c, begun[c]} if (r, begun[c]) not in staying else {c}
+                        then = ((present - gone) | {other, begun[other]}) - {None}
+                        key = tuple(sorted(present - then)), tuple(sorted(then - present))
+                        swaps[key] = swaps.get(key, 0) + 1
+    moves = [(k, c, sign) for k, sides in enumerate(swaps) for cols, sign in zip(sides, (-1, 1), strict=True) for c in cols]
+    swap, moved, sign = (np.array([m[i] for m in moves], np.int64) for i in range(3))
     times = np.array(list(swaps.values()), np.float64)
     w, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = bias
@@ -95,9 +113,9 @@ def fit(
         error = each * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
         grad = np.append(np.bincount(col, weights=error[row], minlength=size), error.sum())
         grad[:-1] += ridge * w[:-1]
-        if len(out):
-            change = 2 * penalty * times * (w[into] - w[out]) / times.sum()
-            grad[:-1] += np.bincount(into, weights=change, minlength=size) - np.bincount(out, weights=change, minlength=size)
+        if len(moves):
+            change = 2 * penalty * times * np.bincount(swap, weights=sign * w[moved], minlength=len(times)) / times.sum()
+            grad[:-1] += np.bincount(moved, weights=sign * change[swap], minlength=size)
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -170,13 +188,17 @@ def train(
         get = shared.value
         for batch in batches:
             found = [sorted(get[w] for w in get.keys() & words_of(x.as_py())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["id", "label", "cols"])
+            stay = [sorted(get[w] for w in get.keys() & shared_beginnings(x.as_py())) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32())), pa.array(stay, pa.list_(pa.int32()))], ["id", "label", "cols", "stay"]
+            )
 
     ident = rows.schema["_d_id"].dataType.simpleString()
-    got = rows.mapInArrow(columns, f"id {ident}, label int, cols array<int>").orderBy("id", "label", "cols").toArrow().combine_chunks()
+    got = rows.mapInArrow(columns, f"id {ident}, label int, cols array<int>, stay array<int>").orderBy("id", "label", "cols").toArrow().combine_chunks()
     size = pc.fill_null(pc.list_value_length(got.column("cols")), 0).to_numpy()
     col = pc.list_flatten(got.column("cols")).to_numpy().astype(np.int64)
-    return fit(column, np.repeat(np.arange(got.num_rows), size), col, got.column("label").to_numpy(), **options)
+    staying = frozenset((r, c) for r, cols in enumerate(got.column("stay").to_pylist()) for c in cols or ())
+    return fit(column, np.repeat(np.arange(got.num_rows), size), col, got.column("label").to_numpy(), staying=staying, **options)
 
 
 def toxicity_scores(
