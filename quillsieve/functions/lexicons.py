@@ -10,11 +10,14 @@ ALNUM = r"[\p{L}\p{N}]"
 WORD = rf"{LETTER}+(?:['’-]{LETTER}+)*"
 #: A text cut into words and what stands between them.
 WORD_OR_GAP = rf"{WORD}|[^\p{{L}}\p{{Nl}}\p{{No}}]+"
+#: The same for the JVM, which recurses once for each repetition of a group unless the repetition is possessive; nothing follows it, so the matches are the same.
+JVM_WORD = WORD + "+"
+JVM_WORD_OR_GAP = rf"{JVM_WORD}|[^\p{{L}}\p{{Nl}}\p{{No}}]+"
 TIMESTAMPS = (
-    r"\[(?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2}(?:[.,][0-9]{1,3})?\]",
-    r"\((?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2}(?:[.,][0-9]{1,3})?\)",
-    r"\b(?:[0-9]{1,2}:)?[0-9]{2}:[0-9]{2}[.,][0-9]{1,3}\b",
-    r"\b(?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2}\b",
+    r"\[(?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?\]",
+    r"\((?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?\)",
+    r"\b(?:\d{1,2}:)?\d{2}:\d{2}[.,]\d{1,3}\b",
+    r"\b(?:\d{1,2}:)?\d{1,2}:\d{2}\b",
 )
 VOWELS = r"[aeiouyáàâãéêíóôõúüAEIOUYÁÀÂÃÉÊÍÓÔÕÚÜ]+"
 

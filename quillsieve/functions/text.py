@@ -28,7 +28,7 @@ def blank_to_null(text: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Words of letters, joined inside by apostrophes or hyphens."""
-    return F.regexp_extract_all(_col(text), F.lit(L.WORD), F.lit(0))
+    return F.regexp_extract_all(_col(text), F.lit(L.JVM_WORD), F.lit(0))
 
 
 def lower_words(text: Column | str) -> Column:
@@ -70,23 +70,31 @@ def fillers(language: Column | str) -> Column:
     return found
 
 
-def stopword_language(text: Column | str, fallback: Column | str) -> Column:
-    """A deterministic stand-in for a language detector: most hits among frequent words, ties in the listed order.
+# Frequent function words by language; a word of several languages counts for each.
+FUNCTION_WORDS = {
+    "en": "the and of to in is that it was for on with as be at by this are from or an have not you he she they we but his her which there what were when who will if so all would their been more about into than them can only other its our out up some time these two may then do any my now such like",
+    "pt": "o a os as que e de do da dos das em no na nos nas um uma uns umas para por com não se é mais como mas foi ao ele ela eles elas seu sua ou quando muito há já está eu também só pelo pela até isso entre era depois sem mesmo aos ter seus quem me esse você essa num nem suas meu às minha têm numa",
+    "es": "el la los las que y de del en un una unos unas para por con no se es más como pero fue al él ella ellos su sus o cuando muy hay ya está yo también sólo hasta eso entre era después sin mismo tener quien me ese esa ni mi lo le les este esta porque donde desde todo nos",
+    "fr": "le la les des est une un que et de du dans pour pas qui sur au aux avec ce il elle ils elles se sont par plus ne je vous nous on mais ou son sa ses leur leurs cette ces comme tout été même aussi y en d l c qu n s très sans peut fait être avoir entre où",
+    "de": "der die das und ist nicht ein eine zu den dem des mit von im in sich auf für auch es an werden aus er hat dass daß sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man kann ich wir ihr sein wurde",
+}
 
-    Texts of fewer than five tokens, and texts without a hit, take the fallback.
+
+def function_word_language(text: Column | str, fallback: Column | str, least: int = 5) -> Column:
+    """The language of most function words among the text's tokens; the fallback for fewer than ``least`` tokens or no hit.
+
+    Of equal counts the fallback wins if it is among them, else the first listed language:
+    the same text always has the same language. Tokens stand between white space; marks at
+    their ends don't count. An expression of the JVM, work per row.
     """
-    listed = {
-        "en": "the and of to in is that it was for",
-        "pt": "o que não uma um os com para é do",
-        "es": "el los que una las por con para es del",
-        "fr": "le les des est une que dans pour pas et",
-        "de": "der die und das ist nicht ein zu den mit",
-    }
-    tokens = F.split(F.trim(F.lower(_col(text))), r"(?U)\s+")
-    counted = lambda frequent: F.size(F.filter(tokens, lambda w: w.isin(*frequent.split())))
-    hits = F.array(*[F.struct(counted(v).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("l")) for k, (name, v) in enumerate(listed.items())])
+    tokens = F.filter(F.split(F.lower(_col(text)), r"(?U)\s+", -1), lambda w: w != "")
+    bare = F.transform(tokens, lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+    counted = lambda listed: F.size(F.filter(bare, lambda w: w.isin(*listed.split())))
+    hits = F.array(*[
+        F.struct(counted(v).alias("n"), (_col(fallback) == name).alias("own"), F.lit(-k).alias("k"), F.lit(name).alias("l")) for k, (name, v) in enumerate(FUNCTION_WORDS.items())
+    ])
     best = F.array_max(hits)
-    return F.when((F.size(tokens) < 5) | (best["n"] == 0), _col(fallback)).otherwise(best["l"])
+    return F.when((F.size(tokens) < least) | (best["n"] == 0), _col(fallback)).otherwise(best["l"])
 
 
 # cleaning
@@ -150,13 +158,13 @@ def filler_count(word_array: Column | str, language: Column | str) -> Column:
 def remove_fillers(text: Column | str, language: Column | str) -> Column:
     """Hesitation words go, what stands around them stays."""
     listed = fillers(language)
-    parts = F.regexp_extract_all(_col(text), F.lit(L.WORD_OR_GAP), F.lit(0))
+    parts = F.regexp_extract_all(_col(text), F.lit(L.JVM_WORD_OR_GAP), F.lit(0))
     return F.array_join(F.filter(parts, lambda p: ~F.array_contains(listed, F.lower(p))), "")
 
 
 _OPEN = r"""(?!\S*[.!?]["'”’)\]]*(?!\S))\S+"""
 _RUNS = (
-    r"(?iuU)(?<!\S)(?:" + rf"({_OPEN} {_OPEN} {_OPEN})(?: \1(?!\S))+|({_OPEN} {_OPEN})(?: \2(?!\S))+|({_OPEN})(?: \3(?!\S))+)"
+    r"(?iuU)(?<!\S)(?:" + rf"({_OPEN} {_OPEN} {_OPEN})(?: \1(?!\S))++|({_OPEN} {_OPEN})(?: \2(?!\S))++|({_OPEN})(?: \3(?!\S))++)"
 )
 
 
@@ -182,7 +190,7 @@ def collapse_repetitions(text: Column | str) -> tuple[Column, Column]:
 
 def strip_orphan_commas(text: Column | str) -> Column:
     """Commas stay between two letters or digits only, white space aside; runs of commas count as one."""
-    t = F.regexp_replace(_col(text), r"(?U),(?:\s*,)+", ",")
+    t = F.regexp_replace(_col(text), r"(?U),(?:\s*+,)++", ",")
     t = F.regexp_replace(t, r"(?U),\s*([.;:!?])", "$1")
     parts = F.split(t, ",", -1)
     before = F.transform(parts, lambda p: p.rlike(rf"(?U){L.ALNUM}\s*$"))

@@ -49,9 +49,23 @@ def t5_normalize_language(spark, sf_dir):
     return rows.groupBy("code").agg(F.count("*").alias("n")).withColumn("language", T.normalize_language("code"))
 
 
-@query()
+def _hits_sql(name: str) -> str:
+    return f"len(list_filter(bare, lambda w: list_contains([{', '.join(repr(w) for w in T.FUNCTION_WORDS[name].split())}], w)))"
+
+
+#: (doc_id, text, lang) with the language that the function words of ``text`` in the relation ``src`` (doc_id, lang, text) tell.
+DETECTED_SQL = rf"""
+    d0 as (select doc_id, lang, text, list_filter(regexp_split_to_array(lower(text), '{SPACE_SQL}+'), lambda w: w <> '') as tokens from src),
+    d1 as (select *, list_transform(tokens, lambda w: regexp_replace(w, '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g')) as bare from d0),
+    d2 as (select doc_id, lang, len(tokens) as n, unnest([{', '.join(f"{{'n': {_hits_sql(k)}, 'k': {i}, 'l': '{k}'}}" for i, k in enumerate(T.FUNCTION_WORDS))}]) as s from d1),
+    d3 as (select doc_id, any_value(lang) as own, any_value(n) as n, max(s.n) as hits, arg_max(s.l, s.n * 100 + (s.l = lang)::int * 10 - s.k) as l from d2 group by doc_id),
+    detected as (select doc_id, text, case when n < 5 or hits = 0 then own else l end as lang from d0 join d3 using (doc_id))
+"""
+
+
+@query(f"with src as (select doc_id, lang, text from documents), {DETECTED_SQL} select doc_id, lang as language from detected")
 def t6_detect_language(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.stopword_language("text", T.normalize_language("lang")).alias("language"))
+    return documents(spark, sf_dir).select("doc_id", T.function_word_language("text", T.normalize_language("lang")).alias("language"))
 
 
 _STAMPED = "text || ' [' || (doc_id % 60) || ':15] (1:' || (doc_id % 50 + 10) || ':07,5) 12:30 x 1:2 00:' || (doc_id % 50 + 10) || '.250 end'"
