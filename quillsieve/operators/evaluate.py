@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from quillsieve.functions import metrics as M
 from quillsieve.functions import text as T
+from quillsieve.sources.config import checkpointed
 
 # Metric, family, whether higher is better.
 METRICS = (
@@ -61,6 +63,12 @@ def content_retention(docs: DataFrame, id_col: str, raw: str, processed: str, la
     return docs.select(id_col).join(kept, id_col, "left").select(id_col, F.coalesce("retention", F.lit(1.0)).alias("retention"))
 
 
+def paired_texts(raw: DataFrame, processed: DataFrame, id_col: str) -> DataFrame:
+    """(id, raw, processed) of the documents that both tables have; a null processed text counts as the raw one."""
+    both = raw.select(id_col, "raw").join(processed.select(id_col, F.col("processed").alias("_p")), id_col)
+    return both.select(id_col, "raw", F.coalesce("_p", "raw").alias("processed"))
+
+
 def evaluate_documents(docs: DataFrame, id_col: str, raw: str, processed: str, language: str) -> DataFrame:
     """One row a document: its group (auto where the raw text lacks punctuation), words, retention and both metric sets."""
     df = text_metrics(text_metrics(docs, raw, language, "raw"), processed, language, "processed")
@@ -69,23 +77,65 @@ def evaluate_documents(docs: DataFrame, id_col: str, raw: str, processed: str, l
 
 
 RESAMPLES = 2000
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Of a count drawn from the Poisson distribution of mean 1: the chances of at most 0, 1, 2 ... as shares of 2**32.
+_AT_MOST = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]) * 2.0**32
+
+
+def poisson_weights(row_hashes: np.ndarray, resamples: int = RESAMPLES) -> np.ndarray:
+    """How often each row stands in each resample: Poisson counts from a hash of row and resample, the same wherever the row is."""
+    draw = np.arange(1, resamples + 1, dtype=np.uint64) * _GOLDEN
+    h = row_hashes.view(np.uint64)[:, None] + draw[None, :]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    high = (h >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros(high.shape, np.float32)
+    for chance in _AT_MOST[:-1]:
+        out += high > np.uint32(chance)
+    return out
+
 
+def average_ranks(rows: DataFrame, keys: list[str], value: str, times: str | None = None) -> DataFrame:
+    """(keys, value, n, rank): each distinct value of a key with its count (of rows, or the sum of ``times``) and average rank, from 1.
+
+    Values are counted, dealt out by range and summed within the ranges; only the ranges'
+    totals of a key are added up in one place, so no key's rows meet in one task.
+    """
+    counted = rows.groupBy(*keys, value).agg((F.sum(times) if times else F.count("*")).alias("n"))
+    parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = checkpointed(counted.repartitionByRange(parts, *keys, value).withColumn("_range", F.spark_partition_id()))
+    totals = counted.groupBy(*keys, "_range").agg(F.sum("n").alias("t"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_range").alias("_t_range"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
+    joined = counted.join(totals, [*same, F.col("_range") == F.col("_t_range")]).select(*counted.columns, "_before")  # totals: a row for each range and key
+    local = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum("n").over(local), F.lit(0))
+    return joined.withColumn("rank", before + (F.col("n") + 1) / 2).drop("_before", "_range")
+
+
+@F.pandas_udf(DoubleType())
+def wilcoxon_p(n: pd.Series, positive: pd.Series, ties: pd.Series) -> pd.Series:
+    """Two-sided p-value of a signed-rank sum: exact for up to 50 differences without ties, else by the normal curve."""
+
+    def exact(n: int, w: float) -> float:
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
+        for k in range(1, n + 1):
+            ways[k:] = ways[k:] + ways[: len(ways) - k]
+        ways /= 2.0**n
+        low = min(w, n * (n + 1) / 2 - w)
+        return min(1.0, 2 * float(ways[: int(low) + 1].sum()))
+
+    def one(n: int, w: float, ties: float) -> float:
+        if n == 0:
+            return 1.0
+        if n <= 50 and not ties:
+            return exact(n, w)
+        spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+        return math.erfc(abs((w - n * (n + 1) / 4) / spread) / math.sqrt(2)) if spread else 1.0
 
-def _bootstrap_and_wilcoxon(pdf: pd.DataFrame) -> pd.DataFrame:
-    delta = np.sort(pdf["delta"].to_numpy())
-    rng = np.random.default_rng(0)
-    means = np.array([delta[rng.integers(0, len(delta), len(delta))].mean() for _ in range(RESAMPLES)])
-    d = delta[delta != 0]
-    n = len(d)
-    p = 1.0
-    if n:
-        ranks = pd.Series(np.abs(d)).rank().to_numpy()
-        ties = np.unique(ranks, return_counts=True)[1]
-        spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48)
-        z = (ranks[d > 0].sum() - n * (n + 1) / 4) / spread if spread else 0.0
-        p = math.erfc(abs(z) / math.sqrt(2))
-    low, high = np.percentile(means, [2.5, 97.5])
-    return pd.DataFrame({"stratum": pdf["stratum"][:1], "metric": pdf["metric"][:1], "ci_low": low, "ci_high": high, "p": p})
+    return pd.Series([one(int(a), float(b), float(c)) for a, b, c in zip(n, positive, ties, strict=True)])
 
 
 def paired_rows(evaluated: DataFrame, id_col: str) -> DataFrame:
@@ -96,13 +146,23 @@ def paired_rows(evaluated: DataFrame, id_col: str) -> DataFrame:
     return rows.withColumn("signed", F.when(F.col("higher"), F.col("delta")).otherwise(-F.col("delta")))
 
 
+def _signed_ranks(rows: DataFrame) -> DataFrame:
+    """A row a stratum and metric from ``paired_rows``: differences that are not 0, their rank sums and the ties among them."""
+    sized = rows.where("signed <> 0").select("stratum", "metric", F.abs("signed").alias("size"), (F.col("signed") > 0).alias("up"))
+    ranks = average_ranks(sized, ["stratum", "metric"], "size").withColumnRenamed("n", "of_size")
+    ups = sized.groupBy("stratum", "metric", "size").agg(F.count_if("up").alias("ups"))
+    both = ranks.join(ups, ["stratum", "metric", "size"])
+    n, ups = F.col("of_size"), F.col("ups")
+    return both.groupBy("stratum", "metric").agg(
+        F.sum(n).alias("changed"), F.sum(ups * F.col("rank")).alias("rank_up"), F.sum(n * F.col("rank")).alias("rank_sum"),
+        F.sum((n * n * n - n).cast("double")).alias("ties"),
+    )
+
+
 def paired_stats(evaluated: DataFrame, id_col: str) -> DataFrame:
     """One row a stratum and metric: n, means, shares and the rank-biserial effect (average ranks)."""
     rows = paired_rows(evaluated, id_col)
-    w = Window.partitionBy("stratum", "metric")
-    size = F.abs("signed")
-    ranked = rows.where("signed <> 0").withColumn("rank", F.rank().over(w.orderBy(size)) + (F.count("*").over(Window.partitionBy("stratum", "metric", size)) - 1) / 2)
-    effect = ranked.groupBy("stratum", "metric").agg((F.sum(F.signum("signed") * F.col("rank")) / F.sum("rank")).alias("effect"))
+    effect = _signed_ranks(rows).select("stratum", "metric", ((2 * F.col("rank_up") - F.col("rank_sum")) / F.col("rank_sum")).alias("effect"))
     plain = rows.groupBy("stratum", "metric").agg(
         F.count("*").alias("n"), F.avg("raw").alias("raw"), F.avg("processed").alias("processed"), F.avg("delta").alias("delta"),
         F.avg((F.col("signed") > 0).cast("double")).alias("improved"), F.avg((F.col("signed") < 0).cast("double")).alias("worsened"),
@@ -111,13 +171,43 @@ def paired_stats(evaluated: DataFrame, id_col: str) -> DataFrame:
     return plain.join(effect, ["stratum", "metric"], "left").withColumn("effect", F.coalesce("effect", F.lit(0.0)))
 
 
-def paired_intervals(evaluated: DataFrame, id_col: str) -> DataFrame:
-    """Bootstrap 95 % interval of the mean change and the Wilcoxon p-value (normal approximation, ties corrected).
-
-    An evaluation set is a bounded sample of documents; each stratum's changes of one metric meet in a task.
+def _resampled(batches: Iterator[pd.DataFrame], metrics: list[str], resamples: int) -> Iterator[pd.DataFrame]:
+    """For each stratum and metric of a task, the weighted sums and the weights of every resample."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for k in range(0, len(batch), 1000):
+            some = batch.iloc[k : k + 1000]
+            weights = poisson_weights(some["_h"].to_numpy(np.int64), resamples)
+            delta = some[metrics].to_numpy(np.float64)
+            known = ~np.isnan(delta)
+            for stratum in {"all", *some["group"].dropna()}:
+                own = np.ones(len(some), bool) if stratum == "all" else (some["group"] == stratum).to_numpy()
+                w = weights[own].astype(np.float64)
+                held = total.setdefault(stratum, np.zeros((2, len(metrics), resamples)))
+                held[0] += np.where(known, delta, 0)[own].T @ w
+                held[1] += known[own].T.astype(np.float64) @ w
+    for stratum, held in total.items():
+        for m, name in enumerate(metrics):
+            yield pd.DataFrame({"stratum": stratum, "metric": name, "r": np.arange(resamples), "s": held[0, m], "w": held[1, m]})
+
+
+def paired_intervals(evaluated: DataFrame, id_col: str, resamples: int = RESAMPLES) -> DataFrame:
+    """Bootstrap 95 % interval of the mean change and Wilcoxon's p-value.
+
+    Rows are drawn by Poisson counts (the bootstrap of a sample too large to be held in one
+    place): tasks sum up their rows for each resample, and the sums of all tasks are added.
     """
-    rows = paired_rows(evaluated, id_col).select("stratum", "metric", "delta")
-    return rows.groupBy("stratum", "metric").applyInPandas(_bootstrap_and_wilcoxon, "stratum string, metric string, ci_low double, ci_high double, p double")
+    names = [n for n, _, _ in METRICS]
+    delta = [(F.col(f"processed_{n}").cast("double") - F.col(f"raw_{n}").cast("double")).alias(n) for n in names]
+    wide = evaluated.select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col("group").cast("string").alias("group"), *delta)
+    sums = wide.mapInPandas(lambda b: _resampled(b, names, resamples), "stratum string, metric string, r int, s double, w double")
+    means = sums.groupBy("stratum", "metric", "r").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean"))
+    ends = means.groupBy("stratum", "metric").agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    ends = ends.where("p is not null").select("stratum", "metric", F.col("p")[0].alias("ci_low"), F.col("p")[1].alias("ci_high"))
+    tested = _signed_ranks(paired_rows(evaluated, id_col))
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    found = ends.join(tested, ["stratum", "metric"], "left")
+    return found.select("stratum", "metric", "ci_low", "ci_high", wilcoxon_p(zero("changed"), zero("rank_up"), zero("ties")).alias("p"))
 
 
 @F.pandas_udf(DoubleType())
@@ -161,17 +251,22 @@ def agreement_with_humans(judged: DataFrame, human: DataFrame, order: str) -> Da
     return kappa(judged.select("id", F.col("outcome").alias("a")).join(last, "id"))
 
 
-def _ranks(rows: DataFrame, keys: list[str], value: str) -> Column:
-    """Average ranks; the rows of one key's set are sorted together."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
-
-
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation for each key; 0 for fewer than two rows or a constant side."""
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": _ranks(rows, keys, x), "_ry": _ranks(rows, keys, y)})
-    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return ranked.groupBy(*keys).agg(F.when(varied, F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))).otherwise(0.0).alias("rho"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mean_abs_diff"))
+    """Rank correlation for each key; 0 for fewer than two rows or a constant side. Equal pairs are counted before anything is joined."""
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
+    pairs = checkpointed(pairs)
+    joined = pairs
+    for side in ("_x", "_y"):
+        ranks = average_ranks(pairs, keys, side, "_n")
+        renamed = ranks.select(*[F.col(k).alias(f"{side}{k}") for k in keys], F.col(side).alias(f"{side}v"), F.col("rank").alias(f"{side}r"))
+        joined = joined.join(renamed, [*[F.col(k).eqNullSafe(F.col(f"{side}{k}")) for k in keys], F.col(side) == F.col(f"{side}v")])
+    n, a, b = F.col("_n"), F.col("_xr"), F.col("_yr")
+    moments = joined.groupBy(*keys).agg(
+        F.sum(n).alias("n"), F.sum(n * a).alias("a"), F.sum(n * b).alias("b"), F.sum(n * a * a).alias("aa"), F.sum(n * b * b).alias("bb"), F.sum(n * a * b).alias("ab"),
+        (F.sum(n * F.abs(F.col("_x") - F.col("_y"))) / F.sum(n)).alias("mean_abs_diff"),
+    )
+    cov, va, vb = (F.col(p) - F.col(q) * F.col(r) / F.col("n") for p, q, r in (("ab", "a", "b"), ("aa", "a", "a"), ("bb", "b", "b")))
+    return moments.select(*keys, F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).otherwise(0.0).alias("rho"), "mean_abs_diff")
 
 
 def variant_stability(scores: DataFrame) -> DataFrame:
@@ -208,3 +303,23 @@ def metrics_report(stats: DataFrame, intervals: DataFrame) -> DataFrame:
     ]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     return stats.join(intervals, ["stratum", "metric"]).select("stratum", "metric", line.alias("line"))
+
+
+def reliability_report(agreement: DataFrame, stability: DataFrame, label: str = "judge") -> DataFrame:
+    """Markdown lines on a judge: agreement with humans, then stability over prompt variants, one row each."""
+    told = agreement.select(
+        F.lit(1).alias("at"),
+        F.format_string("| %s vs human | n=%d | agreement %s%% | κ %s |", F.lit(label), "n", number(F.col("agreement") * 100, 1), number(F.col("kappa"), 3)).alias("line"),
+    )
+    stable = stability.select(
+        F.lit(2).alias("at"),
+        F.format_string("| %s variants | mean ρ %s | largest mean difference %s |", F.lit(label), number(F.col("mean_spearman"), 3), number(F.col("max_mean_abs_diff"), 3)).alias("line"),
+    )
+    return told.unionByName(stable)
+
+
+def judge_report(table: DataFrame) -> DataFrame:
+    """A Markdown table row for each group of ``judge_table``."""
+    cells = [F.col(c).cast("string") for c in ("grp", "n", "wins", "losses", "ties")]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells, F.concat(number(F.col("consistency") * 100, 0), F.lit("%")), p_value(F.col("p"))), F.lit(" |"))
+    return table.select("grp", line.alias("line"))
