@@ -145,3 +145,32 @@ def latest_per_key(rows: DataFrame, key: str, by: str, tie: str) -> DataFrame:
     """One row a key: the greatest ``by``, nulls last, then the greatest ``tie``."""
     w = Window.partitionBy(key).orderBy(F.desc_nulls_last(by), F.desc(tie))
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def create_runs(requests: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """A PROCESSING playlist for each request that lists videos (items: key, video_id, duration), with their number and summed seconds and zero counters."""
+    listed = items.groupBy(key).agg(F.count("video_id").alias("video_count"), F.coalesce(F.sum("duration"), F.lit(0)).cast("long").alias("total_duration")).where("video_count > 0")
+    zero = F.lit(0).cast("long")
+    return requests.join(listed, key).withColumns({"status": F.lit("PROCESSING"), "completed": zero, "failed": zero})
+
+
+def seed_rows(items: DataFrame, key: str, video: str) -> DataFrame:
+    """A PROCESSING row for each video of a playlist, with its place by the video's order."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(video))
+    return items.select(key, video, place.alias("video_index"), F.lit("PROCESSING").alias("status"), F.lit(None).cast("string").alias("error_message"))
+
+
+def process_rows(seeds: DataFrame, captions: DataFrame, key: str, video: str) -> DataFrame:
+    """Seed rows with the outcome of their captions (video, success, error_type): those after a playlist's first rate limit are not tried and become errors.
+
+    A video without any caption row has no transcript.
+    """
+    got = seeds.join(captions, video, "left")
+    limited = F.coalesce(F.col("error_type") == "rate_limited", F.lit(False))
+    before = Window.partitionBy(key).orderBy("video_index").rowsBetween(Window.unboundedPreceding, -1)
+    after = F.coalesce(F.max("_limited").over(before), F.lit(0)) == 1
+    df = got.withColumn("_limited", limited.cast("int")).withColumn("_after", after)
+    good = ~F.col("_after") & F.coalesce(F.col("success"), F.lit(False))
+    message = F.when(F.col("_after"), L.CANCELLED).when(F.col("_limited") == 1, L.RATE_LIMITED).when(~good, L.CAPTION_MESSAGES["no_transcript"])
+    df = df.withColumns({"status": F.when(good, "COMPLETED").otherwise("ERROR"), "error_message": message, "rate_limited": F.col("_limited") == 1})
+    return df.drop("_limited", "_after", "success", "error_type")

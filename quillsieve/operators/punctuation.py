@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
+import bisect
 import re
 import unicodedata
 from collections.abc import Callable
@@ -16,40 +16,75 @@ from quillsieve.functions import text as T
 #: Takes an excerpt and returns a proposal for it; raises where it has none.
 Completer = Callable[[str], str]
 
-_TAIL = re.compile(r"([.,!?;:]+)[\"'”’)\]]*$")  # fixed value
-_WORDS = re.compile(r"[^\W\d_]+")
+# Marks that a word may end in, and what may close after them.
+MARKS = ".,!?;:"
+CLOSERS = "\"'”’)]"
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _key(token: str) -> str:
-    low = unicodedata.normalize("NFD", token.lower())
-    return "".join(_WORDS.findall("".join(c for c in low if unicodedata.category(c) != "Mn")))
+def _letters(token: str) -> str:
+    """The letters of a token in lower case without accents: what two tokens must share to be one word."""
+    plain = unicodedata.normalize("NFD", token.lower())
+    return "".join(_LETTERS.findall("".join(c for c in plain if unicodedata.category(c) != "Mn")))
 
 
-def _tail(token: str) -> str:
-    found = _TAIL.search(token)
-    return found[1] if found else ""
+def _body_and_mark(token: str) -> tuple[str, str]:
+    shown = token.rstrip(CLOSERS)
+    body = shown.rstrip(MARKS)
+    mark = shown[len(body) :]
+    return (body, mark) if mark and body else (token, mark)
+
+
+def common_words(own: list[str], new: list[str]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence; empty strings match nothing.
+
+    The chains of each length are kept by the place at which they can end first, so a word
+    costs a binary search for each of its places in ``new``.
+    """
+    places: dict[str, list[int]] = {}
+    for j, word in enumerate(new):
+        if word:
+            places.setdefault(word, []).append(j)
+    ends: list[int] = []
+    chains: list[tuple] = []
+    for i, word in enumerate(own):
+        for j in reversed(places.get(word, ())):
+            at = bisect.bisect_left(ends, j)
+            link = (i, j, chains[at - 1] if at else None)
+            ends[at : at + 1] = [j]
+            chains[at : at + 1] = [link]
+    found, link = [], chains[-1] if chains else None
+    while link:
+        found.append(link[:2])
+        link = link[2]
+    return found[::-1]
 
 
 def project(source: str, proposal: str) -> str:
-    """The words of ``source`` with marks and capitals of the aligned words of ``proposal``.
+    """The words of ``source`` with the marks and capitals that their counterparts in ``proposal`` have.
 
-    Words align by their folded letters in longest common blocks. A lower-case word takes
-    the proposal's capitals; a mark on proposed words that align with nothing goes to the
-    word before them. Tokens without letters align with nothing.
+    A lower-case word takes its counterpart's capitals if the letters agree, and its mark in
+    place of its own. Where words were put in, the mark after the last of them goes to
+    the source's word before that place, unless it has one.
     """
     own, new = source.split(), proposal.split()
-    keys = [[_key(t) or (side, k) for k, t in enumerate(tokens)] for side, tokens in enumerate((own, new))]
-    out: list[str] = []
-    at_own = at_new = 0
-    for i, j, n in difflib.SequenceMatcher(None, *keys, autojunk=False).get_matching_blocks():
-        out += own[at_own:i]
-        if j > at_new and out and not _tail(out[-1]):
-            out[-1] += _tail(new[j - 1])
-        for mine, theirs in zip(own[i : i + n], new[j : j + n], strict=True):
-            core, shape = (_TAIL.sub("", t) or t for t in (mine, theirs))
-            out.append((shape if core.islower() and shape.lower() == core else core) + _tail(theirs))
-        at_own, at_new = i + n, j + n
-    return " ".join(out) if own else source
+    if not own:
+        return source
+    pairs = common_words([_letters(t) for t in own], [_letters(t) for t in new])
+    bodies, marks = map(list, zip(*map(_body_and_mark, own), strict=True))
+    changed = {i for i, _ in pairs}
+    for i, j in pairs:
+        shape, mark = _body_and_mark(new[j])
+        if bodies[i].islower() and shape.lower() == bodies[i]:
+            bodies[i] = shape
+        marks[i] = mark
+    shown = [body + mark if i in changed else token for i, (token, body, mark) in enumerate(zip(own, bodies, marks, strict=True))]
+    before = -1
+    for i, j in [*pairs, (len(own), len(new))]:
+        if j - before > 1 and i and not marks[i - 1]:
+            shown[i - 1] += _body_and_mark(new[j - 1])[1]
+        before = j
+    return " ".join(shown)
 
 
 def project_punctuation(source: Column | str, proposal: Column | str) -> Column:

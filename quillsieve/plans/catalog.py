@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillsieve.plans import group_queries, metric_queries, row_queries, text_queries
+from quillsieve.plans import group_queries, metric_queries, row_queries, text_queries, unit_queries
 from quillsieve.plans.registry import Query
 
-_ALL = (text_queries.query, metric_queries.query, row_queries.query, group_queries.query)
+_ALL = (text_queries.query, metric_queries.query, row_queries.query, group_queries.query, unit_queries.query)
 
 
 def queries() -> dict[str, Query]:

@@ -10,7 +10,7 @@ from quillsieve.functions import lexicons as L
 from quillsieve.functions import text as T
 from quillsieve.operators import curation, dedup, evaluate
 from quillsieve.plans.registry import Registry, documents, table
-from quillsieve.plans.text_queries import WORDS_SQL, digest
+from quillsieve.plans.text_queries import _SPLIT_SQL, SPACE_SQL, WORDS_SQL, digest
 from quillsieve.streaming import state
 
 query = Registry()
@@ -68,14 +68,31 @@ def a9_dedup_stats(spark, sf_dir):
     return dedup.dedup_stats(docs, dedup.duplicate_groups(docs, "doc_id", "text"), "doc_id")
 
 
-@query()
+@query(_groups_sql("''") + "select doc_id, canonical_id, kind, group_size::bigint as group_size from s")
 def d3_d4_minhash_groups(spark, sf_dir):
     return dedup.duplicate_groups(documents(spark, sf_dir), "doc_id", "text", options=dedup.DedupOptions(method="minhash")).drop("group_root")
 
 
-@query()
+@query(f"""
+    with recursive s0 as (select doc_id, unnest(p) as sentence, generate_subscripts(p, 1) - 1 as idx from (select doc_id, {_SPLIT_SQL} as p from documents)),
+    r as (select doc_id, idx, sentence, length(sentence) as n_chars, doc_id || ':' || lpad(idx::varchar, 6, '0') as sid, list_transform({WORDS_SQL.replace("(text,", "(sentence,")}, lambda x: lower(x)) as w from s0),
+    h as (select *, array_to_string(w, ' ') as hash, {_GRAMS} as g from r where len(w) > 0),
+    t as (select doc_id, hash, min(idx) as k, any_value(g) as g from h group by doc_id, hash),
+    e as (select k, doc_id, len(g) as n, unnest(g) as x from t),
+    c as (select a.doc_id, a.k as a, b.k as b, a.n as na, b.n as nb, count(*) as c from e a join e b on a.doc_id = b.doc_id and a.x = b.x and a.k < b.k group by all),
+    l as (select doc_id, a, b from c where c >= 0.8 * (na + nb - c) - 1e-9),
+    pairs as (select doc_id, a, b from l union all select doc_id, b, a from l),
+    reach(doc_id, k, root) as (select doc_id, k, k from t union select reach.doc_id, pairs.b, reach.root from reach join pairs on reach.doc_id = pairs.doc_id and reach.k = pairs.a),
+    roots as (select doc_id, k, min(root) as root from reach group by all),
+    j as (select h.doc_id, h.idx, h.sid, h.n_chars, root from h join t using (doc_id, hash) join roots using (doc_id, k)),
+    m as (select doc_id, root, arg_max(idx, (n_chars, sid)) as canonical from j group by all),
+    gone as (select j.doc_id, j.idx from j join m using (doc_id, root) where j.idx <> m.canonical),
+    kept as (select s0.doc_id, string_agg(sentence, ' ' order by s0.idx) filter (gone.idx is null) as text, count(gone.idx) as removed from s0 left join gone using (doc_id, idx) group by s0.doc_id)
+    select doc_id, sha256(coalesce(kept.text, '')) as deduplicated_sha, coalesce(removed, 0)::bigint as removed from documents left join kept using (doc_id)
+""")
 def d9_j8_sentence_dedup(spark, sf_dir):
-    return dedup.dedup_sentences(documents(spark, sf_dir), "doc_id", "text")
+    found = dedup.dedup_sentences(documents(spark, sf_dir), "doc_id", "text")
+    return found.select("doc_id", digest(F.col("deduplicated_text")).alias("deduplicated_sha"), "removed")
 
 
 _HASHED = """
@@ -132,11 +149,15 @@ def x3_x11_curated_documents(spark, sf_dir):
     return curation.curate(documents(spark, sf_dir), "doc_id", "text", [curation.HashJudge()], runs=2).drop("model")
 
 
-@query("select doc_id, case when length(text) > 0 then 'tie' end as outcome, false as position_consistent from documents where text <> ''")
-def x8_pairwise_first_always_wins(spark, sf_dir):
-    """A judge that always prefers the first version is caught by the second order."""
-    rows = documents(spark, sf_dir).select("doc_id", F.col("text").alias("raw"), F.upper("text").alias("processed"))
-    return curation.pairwise(rows, lambda a, b: "Version A", "doc_id")
+@query(rf"""
+    with t as (select doc_id, list_filter(regexp_split_to_array(text, '{SPACE_SQL}+'), lambda w: w <> '') as a, list_filter(regexp_split_to_array(replace(replace(text, ' the ', ' '), ' de ', ' '), '{SPACE_SQL}+'), lambda w: w <> '') as b from documents),
+    e as (select doc_id, length(array_to_string(a[1:180], ' ')) as raw, length(array_to_string(b[1:greatest(1, round_even(180 * len(b) / greatest(1, len(a)), 0))::bigint], ' ')) as processed from t)
+    select doc_id, case when raw = processed then 'tie' when raw < processed then 'raw' else 'processed' end as outcome, raw <> processed as position_consistent from e
+""")
+def x8_pairwise_shorter_wins(spark, sf_dir):
+    """A judge that prefers the shorter version, and the first of equal ones: then the order decides, and that is a tie."""
+    rows = documents(spark, sf_dir).select("doc_id", F.col("text").alias("raw"), F.replace(F.replace("text", F.lit(" the "), F.lit(" ")), F.lit(" de "), F.lit(" ")).alias("processed"))
+    return curation.pairwise(rows, lambda a, b: "Version A" if len(a) <= len(b) else "version_b", "doc_id")
 
 
 _VERDICTS = "select l_orderkey, l_returnflag as grp, case when l_quantity > 30 then 'processed' when l_quantity > 20 then 'raw' else 'tie' end as outcome, l_discount::double < 0.05 as ok from lineitem"

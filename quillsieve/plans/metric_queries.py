@@ -10,13 +10,14 @@ from quillsieve.functions import text as T
 from quillsieve.operators import clean, evaluate
 from quillsieve.operators.punctuation import project_punctuation, rule_completer
 from quillsieve.plans.registry import Registry, documents, table
-from quillsieve.plans.text_queries import FILLERS_SQL, SPACE_SQL, WORDS_SQL, digest
+from quillsieve.plans.text_queries import DETECTED_SQL, FILLERS_SQL, SPACE_SQL, WORDS_SQL, digest
 from quillsieve.sources.config import checkpointed
 
 query = Registry()
 
 _WORD_SQL = L.WORD.replace("'", "''")
 #: Words, lower-cased words, sentence sizes and stray commas of ``text`` in a relation ``t`` (doc_id, lang, text).
+_FEW = f"len(regexp_split_to_array(trim(text, ' '), '{SPACE_SQL}+')) <= 2500"
 _PARTS = rf"""
     w as (select doc_id, lang, text, {WORDS_SQL} as w, {FILLERS_SQL} as listed,
       len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g') <> '')) as sentences,
@@ -33,15 +34,24 @@ _PARTS = rf"""
 """
 
 
+_CUT = "replace(replace(text, 'the ', ''), ' de ', ' ')"
+
+
 @query(f"""
-    with t as (select doc_id, lang, text from documents), {_PARTS}
-    select doc_id, n::int as original_word_count, n::int as processed_word_count, round(round(case when n > 0 then kinds::double / n else 0 end, 10), 4) as lexical_diversity,
+    with src as (select doc_id, lang, {_CUT} as text from documents), {DETECTED_SQL},
+    t as (select doc_id, lang, text from detected), {_PARTS},
+    o as (select doc_id, len({WORDS_SQL}) as before from documents),
+    f as (select *, case when before > 0 then greatest(0.0::double, (before - n)::double / before) else 0.0::double end as noise from q join o using (doc_id))
+    select doc_id, before::int as original_word_count, n::int as processed_word_count, round(round(noise, 10), 4) as noise_reduction_rate, round(round(case when n > 0 then kinds::double / n else 0 end, 10), 4) as lexical_diversity,
       round(round(mattr, 10), 4) as mattr_score, round(round(average, 10), 2) as avg_sentence_length, fillers::int as hesitation_count, lang as detected_language,
-      round(round(artifact, 10), 4) as artifact_rate, commas::int as residual_comma_count, round(round(greatest(0, least(1, shape * 0.4 + (1 - artifact) * 0.3 + (1 - residue) * 0.3)), 10), 4) as quality_score from q
+      round(round(artifact, 10), 4) as artifact_rate, commas::int as residual_comma_count,
+      round(round(greatest(0, least(1, (shape * 0.4 + (1 - artifact) * 0.3 + (1 - residue) * 0.3) * case when noise > 0.75 then greatest(0, 1 - (noise - 0.75) / 0.25) else 1 end)), 10), 4) as quality_score from f
 """)
 def m12_analyze_documents(spark, sf_dir):
-    columns = "doc_id original_word_count processed_word_count lexical_diversity mattr_score avg_sentence_length hesitation_count detected_language artifact_rate residual_comma_count quality_score"
-    return clean.analyze(documents(spark, sf_dir)).select(*columns.split())
+    """Texts without some frequent words, against the whole ones."""
+    columns = "doc_id original_word_count processed_word_count noise_reduction_rate lexical_diversity mattr_score avg_sentence_length hesitation_count detected_language artifact_rate residual_comma_count quality_score"
+    rows = documents(spark, sf_dir).withColumn("cut", F.expr(_CUT))
+    return clean.analyze(rows, "cut", reference="text").select(*columns.split())
 
 
 @query()
@@ -61,9 +71,6 @@ def m13_m14_readability(spark, sf_dir):
     return rows.select("doc_id", F.round(M.flesch("text", "lang"), 6).alias("flesch"), F.round(M.run_on_rate("text"), 6).alias("run_on_rate"))
 
 
-_CUT = "replace(replace(text, 'the ', ''), ' de ', ' ')"
-
-
 @query(f"""
     with r as (select doc_id, strip_accents(lower(unnest({WORDS_SQL}))) as w, list_transform({FILLERS_SQL}, lambda x: strip_accents(x)) as listed from documents),
     a as (select doc_id, w, count(*) as n from r where not list_contains(listed, w) group by all),
@@ -77,13 +84,15 @@ def m15_j7_content_retention(spark, sf_dir):
 
 
 @query("""
-    with a as (select unnest([0, 4, 8, 25, 45, 80])::double as average), r as (select unnest([0, 0.5, 0.8, 1])::double as noise)
-    select average, noise, round((case when average <= 0 then 0 when average between 8 and 25 then 1 when average < 8 then average / 8 else greatest(0, 1 - (average - 25) / 40) end * 0.4 + 0.27 + 0.15)
-      * case when noise > 0.75 then greatest(0, 1 - (noise - 0.75) / 0.25) else 1 end, 6) as quality from a, r
+    with v as (select l_orderkey, l_linenumber, l_quantity::double as average, l_discount::double as artifact, l_tax::double * 5 as residue, (l_suppkey % 21) / 20.0::double as noise from lineitem)
+    select l_orderkey, l_linenumber, round((case when average <= 0 then 0 when average between 8 and 25 then 1 when average < 8 then average / 8 else greatest(0, 1 - (average - 25) / 40) end * 0.4 + (1 - artifact) * 0.3 + (1 - residue) * 0.3)
+      * case when noise > 0.75 then greatest(0, 1 - (noise - 0.75) / 0.25) else 1 end, 6) as quality from v
 """)
 def m5_m9_quality_formula(spark, sf_dir):
-    rows = spark.createDataFrame([(float(a), float(n)) for a in (0, 4, 8, 25, 45, 80) for n in (0, 0.5, 0.8, 1)], "average double, noise double")
-    return rows.withColumn("quality", F.round(M.quality(F.col("average"), F.lit(0.1), F.lit(0.5), F.col("noise")), 6))
+    number = lambda c: F.col(c).cast("double")
+    rows = table(spark, sf_dir, "lineitem")
+    scored = M.quality(number("l_quantity"), number("l_discount"), number("l_tax") * 5, (F.col("l_suppkey") % 21) / F.lit(20.0))
+    return rows.select("l_orderkey", "l_linenumber", F.round(scored, 6).alias("quality"))
 
 
 @query()
@@ -99,11 +108,23 @@ def r1_r4_process_with_punctuation(spark, sf_dir):
     return done.select("doc_id", "punctuation_restored", "processed_word_count", "quality_score", digest(F.col("processed_text")).alias("processed_sha"))
 
 
-@query("select doc_id, true as same_words from documents")
-def r2_projection_keeps_words(spark, sf_dir):
-    proposal = F.concat(F.initcap(F.replace(F.col("text"), F.lit(" "), F.lit(". "))), F.lit(" invented, words!"))
-    rows = documents(spark, sf_dir).select("doc_id", "text", project_punctuation(F.col("text"), proposal).alias("projected"))
-    return rows.select("doc_id", (T.word_keys("text") == T.word_keys("projected")).alias("same_words"))
+@query(rf"""
+    with t as (select doc_id, list_filter(regexp_split_to_array(text, '{SPACE_SQL}+'), lambda w: w <> '') as w from documents),
+    m as (select doc_id, w, list_transform(w, lambda x, i: case when regexp_full_match(x, '[\p{{L}}]+') and x = lower(x) and x[1] <> 'ß' then case when i % 3 = 0 then upper(x[1]) || x[2:] else x end || case when i % 4 = 0 then '?' else '' end else x end) as v from t)
+    select doc_id, case when len(w) = 0 then sha256((select text from documents d where d.doc_id = m.doc_id)) else sha256(array_to_string(v, ' ')) end as projected_sha from m
+""")
+def r2_projected_marks(spark, sf_dir):
+    """A proposal that capitalises every third plain word and asks after every fourth gives just that; words stay."""
+    plain = lambda x: x.rlike(r"^\p{L}+$") & (x == F.lower(x)) & ~x.startswith("ß")
+    capital = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 2147483647))
+
+    def proposed(x, k):
+        shaped = F.concat(F.when((k + 1) % 3 == 0, capital(x)).otherwise(x), F.when((k + 1) % 4 == 0, "?").otherwise(""))
+        return F.when(plain(x), shaped).otherwise(x)
+
+    tokens = F.filter(F.split("text", r"(?U)\s+", -1), lambda w: w != "")
+    rows = documents(spark, sf_dir).withColumn("proposal", F.array_join(F.transform(tokens, proposed), " "))
+    return rows.select("doc_id", digest(project_punctuation(F.col("text"), F.col("proposal"))).alias("projected_sha"))
 
 
 @query(f"""
@@ -115,14 +136,37 @@ def t18_dictionary(spark, sf_dir):
     return words.groupBy("lang").agg(F.count("*").alias("words"), F.count_distinct(T.fold("word")).alias("keys"))
 
 
-@query("select doc_id, sha256(text) as text_sha from documents")
+@query(rf"""
+    with d as (select lang, w, count(*) as n from (select lang, unnest({WORDS_SQL}) as x, lower(x) as w from documents) where length(w) >= 3 and regexp_full_match(w, '\p{{L}}+') group by all),
+    best as (select lang, strip_accents(w) as k, arg_max(w, (n, w)) as best from d group by all),
+    p as (select doc_id, lang, unnest(parts) as p, generate_subscripts(parts, 1) as pos from (select doc_id, lang, regexp_extract_all(strip_accents(text), '{L.WORD_OR_GAP.replace("'", "''")}') as parts from documents where {_FEW})),
+    r as (select doc_id, pos, p, best, length(p) >= 3 and regexp_full_match(p, '\p{{L}}+') and best is not null and d.w is null as take from p
+      left join best on best.lang = p.lang and best.k = strip_accents(lower(p)) left join d on d.lang = p.lang and d.w = lower(p)),
+    j as (select doc_id, sha256(string_agg(case when not take then p when p[1] <> lower(p)[1] then upper(best[1]) || best[2:] else best end, '' order by pos)) as text_sha, count(*) filter (take) as words from r group by doc_id)
+    select doc_id, coalesce(text_sha, sha256(strip_accents(text))) as text_sha from documents left join j using (doc_id)
+""")
 def t18_accents_restored(spark, sf_dir):
-    """Captions without accents, restored from a dictionary in which only one word has an accented form, and none are known without."""
-    rows = documents(spark, sf_dir)
-    dictionary = spark.createDataFrame([("fr", "zzzéb", 1)], "lang string, word string, n long")
+    """Texts whose accents were taken off, restored from the words of the texts as they were; words that also stand without accents stay."""
+    docs = documents(spark, sf_dir)
+    words = docs.select("lang", F.explode(F.filter(T.lower_words("text"), lambda w: (F.length(w) >= 3) & w.rlike(r"^\p{L}+$"))).alias("word"))
+    dictionary = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    rows = docs.withColumn("text", F.translate("text", *L.accent_folds()))
     return clean.restore_accents(rows, dictionary, "text", "lang", F.lit(True)).select("doc_id", digest(F.col("text")).alias("text_sha"))
 
 
+@query("select doc_id, length(text) % 2 = 1 as spelling_failed, sha256(case when length(text) % 2 = 1 then text else replace(text, ' the ', ' THE ') end) as text_sha from documents")
+def st10_spelling_retry(spark, sf_dir):
+    """A speller that fails on some texts: these go on without it."""
+
+    def speller(text: str, lang: str) -> str:
+        if len(text) % 2:
+            raise ValueError("no spelling")
+        return text.replace(" the ", " THE ")
+
+    rows = clean.spelled(documents(spark, sf_dir), speller, "text", "lang")
+    return rows.select("doc_id", "spelling_failed", digest(F.col("text")).alias("text_sha"))
+
+
 def _evaluated(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", T.normalize_language("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("raw"))
     rows = rows.withColumn("processed", T.normalize_sentences(T.strip_orphan_commas(F.replace("raw", F.lit(","), F.lit(" ,")))))

@@ -20,11 +20,26 @@ def session(app: str = "quillsieve", **extra: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=SESSION | extra).getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder that spark.checkpoint.dir names; one of our own where that is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine gets a folder of its own; on a cluster it
+    must be set, as executors would not see a folder of the driver's.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillsieve-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillsieve-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

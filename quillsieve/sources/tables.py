@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillsieve.functions import text as T
+
 SNIPPET = "struct<text:string,start:double,duration:double>"
 CURATION = "struct<coherence:double,richness:double,factuality:double,overall:double,rationale:string,provider:string,model:string,chunkCount:int>"
 SCHEMAS = {
@@ -90,6 +92,42 @@ def pick_caption(tracks: DataFrame, video: str = "video_id") -> DataFrame:
     return tracks.groupBy(video).agg(F.min_by(F.struct("language_code", "is_generated"), order).alias("track")).select(video, "track.*")
 
 
+def fetch_captions(requests: DataFrame, tracks: DataFrame, video: str = "video_id") -> DataFrame:
+    """One row a requested video: the preferred track of ``tracks`` (video, language_code, is_generated, raw_text) or why there is none.
+
+    Equally preferred tracks go by their text. A video without an id is an invalid one.
+    """
+    code = F.col("language_code")
+    place = F.array_position(F.array(*[F.lit(c) for c in PREFERRED_LANGUAGES]), code).cast("int")
+    low = F.lower(code)
+    rank = F.when(place > 0, place).when(low.startswith("pt"), 100).when(low.startswith("en"), 101).otherwise(102)
+    best = tracks.groupBy(video).agg(F.min(F.struct(rank.alias("rank"), "is_generated", "language_code", "raw_text")).alias("t"))
+    got = F.col("t").isNotNull()
+    failed = F.when(F.col(video).isNull(), "invalid_video_id").when(~got, "no_transcript")
+    return requests.select(video).join(best, video, "left").select(video, got.alias("success"), "t.language_code", "t.is_generated", "t.raw_text", failed.alias("error_type"))
+
+
+def transcripts_by_url(requests: DataFrame, captions: DataFrame, link: str) -> DataFrame:
+    """Each request with ``video_id``, ``raw_text`` and ``error_type``: links that are none of a video, and videos without a caption (video_id, raw_text)."""
+    asked = requests.withColumn("video_id", T.video_id(link))
+    found = asked.join(captions.select("video_id", "raw_text"), "video_id", "left")
+    failed = F.when(F.col("video_id").isNull(), "invalid_url").when(F.col("raw_text").isNull(), "no_transcript")
+    return found.withColumn("error_type", failed)
+
+
+def playlists_by_url(requests: DataFrame, playlists: DataFrame, link: str) -> DataFrame:
+    """Each request with the details of the playlist that its link names, and the larger thumbnail there is."""
+    asked = requests.withColumn("playlist_id", T.playlist_id(link))
+    found = asked.join(playlists, "playlist_id", "left")
+    picture = F.when(F.col("title").isNotNull(), thumbnail(F.col("high"), F.col("medium")))
+    return found.withColumn("thumbnail", picture).drop("high", "medium")
+
+
+def playlist_video_ids(pages: DataFrame, key: str = "playlist_id") -> DataFrame:
+    """(playlist, video_id) of listing pages, without what the listing says of them."""
+    return pages.select(key, F.explode("items.video_id").alias("video_id")).where("video_id is not null")
+
+
 def thumbnail(high: Column, medium: Column) -> Column:
     return F.coalesce(high, medium, F.lit(""))
 

@@ -49,3 +49,22 @@ def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
 def run_every(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 hour") -> StreamingQuery:
     """The same on a schedule; the first batch runs at once."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def run_paced(stream: DataFrame, write: Callable[[DataFrame, int], bool], checkpoint: str, every: str = "2 seconds") -> None:
+    """A batch each ``every`` until ``write`` returns true, as for a rate limit, or the source has no more; a later call goes on from the checkpoint."""
+    stop = []
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        if not stop and write(batch, batch_id):
+            stop.append(batch_id)
+
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    try:
+        while query.isActive and not stop:
+            query.awaitTermination(0.1)
+            if query.lastProgress is not None and not query.status["isDataAvailable"] and not query.status["isTriggerActive"] and query.lastProgress["numInputRows"] == 0:
+                break
+    finally:
+        query.stop()
+        query.awaitTermination()

@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,11 +39,89 @@ def test_prefixes_lose_no_link(spark):
             w[rng.randrange(len(w))] = rng.choice("abcxyz")
         texts[f"{k:03}"] = " ".join(w)
     docs = spark.createDataFrame(list(texts.items()), "key string, text string").select("key", F.lit("").alias("scope"), F.split("text", " ").alias("words"))
-    for threshold in (0.5, 0.8, 1.0):
-        got = {(r.src, r.dst) for r in dedup.near_links(docs, dedup.DedupOptions(threshold=threshold)).collect()}
-        grams = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or set(w) for k, w in ((k, t.split()) for k, t in texts.items())}
+    grams = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or set(w) for k, w in ((k, t.split()) for k, t in texts.items())}
+    for threshold, method in ((0.5, "exact"), (0.8, "exact"), (1.0, "exact"), (0.8, "minhash")):
+        links = {(r.src, r.dst) for r in dedup.near_links(docs, dedup.DedupOptions(threshold=threshold, method=method)).collect()}
         want = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= threshold * len(grams[a] | grams[b]) - 1e-9}
-        assert got == want
+        assert links <= want and roots(links) == roots(want)
+
+
+def roots(links):
+    """The least member that each linked key reaches."""
+    root = {k: k for link in links for k in link}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            least = min(root[a], root[b])
+            changed |= root[a] != least or root[b] != least
+            root[a] = root[b] = least
+    return root
+
+
+def test_a_large_group_costs_few_links(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(f"{k:04}", "", [*base[:55], *(rng.choice(base) for _ in range(2))]) for k in range(400)]
+    links = dedup.near_links(spark.createDataFrame(docs, "key string, scope string, words array<string>"), dedup.DedupOptions(threshold=0.8)).collect()
+    assert len({k for r in links for k in r}) == 400 and len(links) < 4 * 400
+
+
+def test_minhash_recall_at_the_threshold(spark):
+    rng = random.Random(6)
+    docs = []
+    for k in range(150):  # pairs of 3-gram similarity just over 0.8
+        w = [f"{k}x{i}" for i in range(60)]
+        docs += [(f"{k}a", "", w), (f"{k}b", "", w[:30] + [f"{k}y"] + w[31:] + [rng.choice("ab")] * 2)]
+    got = dedup.near_links(spark.createDataFrame(docs, "key string, scope string, words array<string>"), dedup.DedupOptions(threshold=0.8, method="minhash")).count()
+    assert got >= 0.9 * 150
+
+
+def plain_rank(values):
+    return {v: (2 * sum(x < v for x in values) + values.count(v) + 1) / 2 for v in values}
+
+
+def test_average_ranks_and_spearman(spark):
+    rng = random.Random(7)
+    rows = [(g, rng.randint(0, 9) / 2, rng.randint(0, 30)) for g in "ab" for _ in range(200)] + [("c", 1.0, 1), ("d", None, 2), (None, 1.0, 4), (None, 2.0, 5)]
+    df = spark.createDataFrame(rows, "g string, x double, y int")
+    got = {(r.g, r.x): r["rank"] for r in evaluate.average_ranks(df.where("x is not null"), ["g"], "x").collect()}
+    for g in ("a", "b", "c", None):
+        want = plain_rank([x for h, x, _ in rows if h == g and x is not None])
+        assert {v: got[g, v] for v in want} == want
+    rho = {r.g: r.rho for r in evaluate.spearman(df, ["g"], "x", "y").collect()}
+    xs, ys = ([r[k] for r in rows if r[0] == "a"] for k in (1, 2))
+    rx, ry = plain_rank(xs), plain_rank(ys)
+    a, b = [rx[v] for v in xs], [ry[v] for v in ys]
+    assert rho["a"] == pytest.approx(np.corrcoef(a, b)[0, 1]) and rho["c"] == 0 and "d" not in rho and rho[None] == pytest.approx(1)
+
+
+def test_bootstrap_and_wilcoxon(spark):
+    rng = random.Random(8)
+    names = [n for n, _, _ in evaluate.METRICS]
+    raw = [rng.gauss(0, 1) for _ in range(40)]
+    rows = [(k, "auto" if k % 2 else "punctuated", *([r] * len(names)), *([r + 0.3 + rng.gauss(0, 0.5)] * len(names))) for k, r in enumerate(raw)]
+    rows.append((99, "auto", *([None] * len(names)), *([1.0] * len(names))))
+    schema = "id long, group string, " + ", ".join(f"raw_{n} double" for n in names) + ", " + ", ".join(f"processed_{n} double" for n in names)
+    df = spark.createDataFrame(rows, schema)
+    got = {(r.stratum, r.metric): r for r in evaluate.paired_intervals(df.repartition(3), "id").collect()}
+    assert len(got) == 3 * len(names)
+    delta = np.array([r[2 + len(names)] - r[2] for r in rows[:-1]])
+    means = np.array([np.random.default_rng(k).choice(delta, len(delta)).mean() for k in range(4000)])
+    r = got["all", "flesch"]
+    assert r.ci_low == pytest.approx(np.percentile(means, 2.5), abs=0.03) and r.ci_high == pytest.approx(np.percentile(means, 97.5), abs=0.03)
+    again = {(x.stratum, x.metric): x for x in evaluate.paired_intervals(df.repartition(5), "id").collect()}
+    assert again["auto", "mtld"].ci_low == pytest.approx(got["auto", "mtld"].ci_low, abs=1e-12)  # the draw does not depend on where a row is
+    few = [0.5, -0.2, 0.9, 1.4, -0.1, 0.7]
+    ranks = plain_rank([abs(x) for x in few])
+    up = sum(ranks[abs(x)] for x in few if x > 0)
+    ways = [sum(k + 1 for k in range(6) if bits >> k & 1) for bits in range(64)]
+    want = min(1, 2 * sum(w <= min(up, 21 - up) for w in ways) / 64)
+    small = df.limit(6).toPandas()
+    for n in names:
+        small[f"raw_{n}"], small[f"processed_{n}"] = 0.0, few
+    exact = {(x.stratum, x.metric): x.p for x in evaluate.paired_intervals(spark.createDataFrame(small, schema), "id").collect()}
+    assert exact["all", "flesch"] == pytest.approx(want)
 
 
 def test_scopes_and_assignments(spark):
@@ -189,10 +268,12 @@ def test_pairwise_needs_both_orders(spark):
 
 
 def test_projection():
-    source = "olá pessoal hoje vamos falar sobre frações"
-    assert project(source, "Olá, pessoal. Hoje vamos falar sobre frações.") == "Olá, pessoal. Hoje vamos falar sobre frações."
-    hostile = project(source, "Oi, gente! Hoje nós vamos conversar sobre frações, ok?")
-    assert [w.strip(".,!?").lower() for w in hostile.split()] == source.split()
+    source = "amanhã cedo partimos para o farol com três lanternas"
+    assert project(source, "Amanhã cedo partimos; para o farol, com três lanternas!") == "Amanhã cedo partimos; para o farol, com três lanternas!"
+    hostile = project(source, "Ontem, cedo: nós partimos rumo ao farol. Com quatro lanternas, sim?")
+    assert [w.strip(".,!?;:").lower() for w in hostile.split()] == source.split()
+    assert project("we left early", "We left, as planned, early. Indeed!") == "We left, early."
+    assert project("(done) 12 ok,", "Done. 12 OK") == "(done). 12 OK"
     assert project("", "x.") == ""
 
 
