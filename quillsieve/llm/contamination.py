@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,18 +13,25 @@ from pyspark.sql import functions as F
 
 from quillsieve.llm.common import kept_columns, quoted
 
-LEAKS = "array<struct<item_id:long,start:int,distance:int>>"
-_LEAK_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("distance", pa.int32())]))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Array cells that one step works on at most.
+CELLS = 4_000_000
 
 
 def normalised(text: str | None) -> str:
-    """Lower case, white space as single spaces."""
-    return " ".join(text.lower().split()) if text else ""
+    """Lower case, white space as single spaces, one before and one after; empty for a text without words."""
+    words = text.lower().split() if text else []
+    return f" {' '.join(words)} " if words else ""
 
 
 def points_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def least_edits(pattern: str, text: str, most: int) -> tuple[int, int] | None:
@@ -48,203 +56,349 @@ def least_edits(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
-@dataclass
-class ItemIndex:
-    """A block of benchmark items with their seeds and LSH tables.
 
-    A window of a document is embedded where it can start an item at all: where ``hits``
-    runs of ``seed`` characters of that item stand at about the same offset. CGK walks
-    over the window, one for each of ``walks`` random functions, give strings whose Hamming
-    distance follows the edit distance; ``tables`` samples of ``sampled`` places of each are
-    the buckets in which windows meet items.
+def gram_size(length: int, budget: int, most: int = 8) -> int:
+    """The longest run of characters, up to ``most``, of which ``budget`` edits leave one whole at least."""
+    return max(1, min(most, length // (budget + 1)))
+
+
+def grams(points: np.ndarray, size: int) -> np.ndarray:
+    """A digest of every run of ``size`` characters."""
+    n = len(points) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x100000001B3) + points[k : k + n]
+    return _mixed(h)
+
+
+class Walks:
+    """CGK embeddings of windows, and the LSH keys of their samples.
+
+    At each of twice the length's steps a walk shows a character and goes on to the next one
+    or stays, by a random bit for the step and the character. After an edit the walks over
+    two texts come together again by chance, so they show the same characters over long
+    stretches. A table samples ``sampled`` of ``span`` successive steps of one walk, at a place that
+    is the same share of the length for all windows.
     """
 
-    ids: list[int]
-    texts: list[str]
-    share: float = 0.1
-    seed: int = 12
-    hits: int = 3
-    walks: int = 6
-    tables: int = 12
-    sampled: int = 3
-
-    def __post_init__(self):
-        long_ = [k for k, t in enumerate(self.texts) if len(t) >= 2 * self.seed]
-        self.short = [k for k, t in enumerate(self.texts) if 0 < len(t) < 2 * self.seed]
-        digests, item, offset = [], [], []
-        for k in long_:
-            h = self.rolled(points_of(self.texts[k]))
-            digests.append(h)
-            item.append(np.full(len(h), k))
-            offset.append(np.arange(len(h)))
-        order = np.argsort(np.concatenate(digests), kind="stable") if digests else []
-        self.digests = np.concatenate(digests)[order] if digests else np.zeros(0, np.uint64)
-        self.item = np.concatenate(item)[order] if digests else np.zeros(0, np.int64)
-        self.offset = np.concatenate(offset)[order] if digests else np.zeros(0, np.int64)
-        self.sieve = np.zeros(1 << 22, bool)
-        self.sieve[(self.digests >> np.uint64(42)).astype(np.int64)] = True
-        self.longest = max((len(t) for t in self.texts), default=0)
-        rng = np.random.default_rng(11)
-        self.steps = rng.integers(0, 2, (self.walks, 3 * self.longest, 64), dtype=np.int8)
-        # places are drawn as shares of the length, so that windows of one length sample the same ones
-        self.places = rng.random((self.walks, self.tables, self.sampled))
-        self.buckets: dict[tuple, list[int]] = {}
-        lengths = [len(self.texts[k]) for k in long_]
-        for first in range(0, len(long_), 2048):
-            own, sizes = long_[first : first + 2048], lengths[first : first + 2048]
-            for k, length, row in zip(own, sizes, self.keys([self.texts[k] for k in own], sizes).tolist(), strict=True):
-                for t, key in enumerate(row):
-                    self.buckets.setdefault((length, t, key), []).append(k)
-
-    def rolled(self, points: np.ndarray) -> np.ndarray:
-        """A digest of every run of ``seed`` characters."""
-        n = len(points) - self.seed + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        h, width = (points.astype(np.uint64) + np.uint64(1)) * _MIX, 1
-        h ^= h >> np.uint64(29)
-        whole, done = None, 0
-        while True:  # runs of 1, 2, 4 ... characters; those in the binary form of ``seed`` are put together
-            if self.seed & width:
-                whole = h[: len(h)] if whole is None else whole[: len(h) - done] * _MIX + h[done:][: len(whole[: len(h) - done])]
-                done += width
-            if done == self.seed:
-                break
-            h = h[:-width] * (_MIX | np.uint64(width << 3)) + h[width:]
-            h ^= h >> np.uint64(31)
-            width *= 2
-        return whole[:n] * _MIX
-
-    def keys(self, windows: list[str], lengths: list[int]) -> np.ndarray:
-        """A bucket key for every window, walk and table; each window is cut or padded to its length."""
-        n, wide = len(windows), max(lengths, default=0)
+    def __init__(self, walks: int, tables: int = 24, sampled: int = 6, span: int = 12, seed: int = 11):
+        self.walks, self.tables, self.sampled, self.span, self.seed = walks, tables, sampled, span, seed
+        rng = np.random.default_rng(seed)
+        self.at = rng.random((walks, tables))
+        self.within = np.sort(np.argsort(rng.random((walks, tables, span)), axis=2)[:, :, :sampled], axis=2)
+        self.salt = rng.integers(1, 2**63, (walks, tables), dtype=np.uint64)
+
+    def keys(self, windows: list[str], lengths: np.ndarray) -> np.ndarray:
+        """(windows, walks x tables): a key for each table; a window is cut or padded to its length."""
+        n, wide = len(windows), int(lengths.max())
         grid = np.zeros((n, wide + 1), np.uint32)
-        for row, (w, length) in enumerate(zip(windows, lengths, strict=True)):
+        for row, (w, length) in enumerate(zip(windows, lengths.tolist(), strict=True)):
             p = points_of(w[:length])
             grid[row, : len(p)] = p
-        code = ((grid * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.int64)
-        rows, end = np.arange(n), np.array(lengths, np.int64)
-        walk = np.arange(self.walks)[:, None]
-        at = np.zeros((self.walks, n), np.int64)
+        code = ((grid * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.uint64)
+        rows = np.arange(n)[None, :] * (wide + 1)
+        grid, code = grid.ravel(), code.ravel()
         seen = np.zeros((2 * wide, self.walks, n), np.uint32)
-        for j in range(2 * wide):  # a walk ends after about twice the length
-            seen[j] = grid[rows, at]
-            at = np.minimum(at + self.steps[walk, j, code[rows, at]], end)
-        out = np.zeros((n, self.walks, self.tables), np.uint64)
-        for t in range(self.tables):
-            for k in range(self.sampled):
-                place = (self.places[:, t, k, None] * 2 * end).astype(np.int64)
-                out[:, :, t] = (out[:, :, t] ^ seen[place, walk, rows].T) * _MIX
-        return out.reshape(n, -1)
-
-    def candidates(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """(text, item, start) where a window of the item's length has enough of its seeds near one offset."""
+        at = np.zeros((self.walks, n), np.int64)
+        step = np.arange(2 * wide, dtype=np.uint64)[:, None] << np.uint64(16)
+        bits = _mixed(np.arange(self.walks, dtype=np.uint64)[None, :] + (step + np.uint64(self.seed)) * _MIX)  # a bit for each of 64 classes of characters
+        one = np.uint64(1)
+        for j in range(2 * wide):
+            here = rows + at
+            seen[j] = grid[here]
+            at += ((bits[j, :, None] >> code[here]) & one).astype(np.int64)
+            np.minimum(at, lengths, out=at)
+        first = (self.at[:, :, None] * np.maximum(2 * lengths - self.span, 1)).astype(np.int64)
+        walk, row = np.arange(self.walks)[:, None, None], np.arange(n)[None, None, :]
+        key = lengths.astype(np.uint64) * _MIX + self.salt[:, :, None]
+        for k in range(self.sampled):
+            place = np.minimum(first + self.within[:, :, k, None], 2 * lengths - 1)
+            key = _mixed(key + seen[place, walk, row].astype(np.uint64) * _MIX)
+        return key.reshape(self.walks * self.tables, n).T
+
+    def keys_of(self, windows: list[tuple[str, int]]) -> np.ndarray:
+        """Keys of windows with their lengths, so many at once as ``CELLS`` allow."""
+        out = np.zeros((len(windows), self.walks * self.tables), np.uint64)
+        lengths = np.array([n for _, n in windows], np.int64)
+        order = np.argsort(lengths, kind="stable")[::-1]
+        first = 0
+        while first < len(order):
+            some = order[first : first + max(1, CELLS // (2 * int(lengths[order[first]]) * self.walks))]
+            out[some] = self.keys([windows[k][0] for k in some.tolist()], lengths[some])
+            first += len(some)
+        return out
+
+
+def edited(text: str, edits: int, kind: str, rng: random.Random) -> str:
+    """The text after so many edits: ``even`` substitutions, ``random`` ones of any sort, or a ``block`` of substitutions."""
+    chars = list(text)
+    other = lambda c: rng.choice([x for x in "abcdefghijklmnopqrstuvwxyz" if x != c])
+    if kind == "random":
+        for _ in range(edits):
+            place, sort = rng.randrange(len(chars)), rng.randrange(3)
+            if sort == 0:
+                chars[place] = other(chars[place])
+            elif sort == 1:
+                chars.insert(place, other(""))
+            elif len(chars) > 1:
+                del chars[place]
+        return "".join(chars)
+    first = rng.randrange(max(1, len(chars) - edits))
+    places = [k * len(chars) // max(edits, 1) for k in range(edits)] if kind == "even" else range(first, first + edits)
+    for place in places:
+        chars[place] = other(chars[place])
+    return "".join(chars)
+
+
+def walks_for(texts: list[str], share: float, target: float, stride: float, copies: int = 120) -> int:
+    """The least number of walks (a power of two up to 32) whose tables bring that share of edited copies together.
+
+    Copies have all the edits that ``share`` allows, even and random ones by turns, and a
+    window starts half a stride away from them, which is the worst that the search does.
+    """
+    texts = [t for t in texts if int(share * len(t)) > 0]
+    if not texts:
+        return 2
+    rng = random.Random(5)
+    pairs = []
+    for k in range(copies):
+        t = texts[k % len(texts)]
+        budget = int(share * len(t))
+        off = max(1, int(stride * budget)) // 2
+        pairs.append((t, ("".join(rng.choice("etaoin") for _ in range(off)) + edited(t, budget, ("even", "random")[k % 2], rng))[: len(t)]))
+    walks = 2
+    while walks < 32:
+        own = Walks(walks)
+        a, b = (own.keys_of([(p[i], len(p[0])) for p in pairs]) for i in (0, 1))
+        if (a == b).any(axis=1).mean() >= target:
+            break
+        walks *= 2
+    return walks
+
+
+class ItemIndex:
+    """A block of benchmark items with their runs of characters and LSH tables.
+
+    A text is cut into windows of the size of an item wherever the item can be at all: an
+    item of n characters within k edits leaves at least n - q + 1 - k q of its runs of q
+    characters whole, within k diagonals (the q-gram lemma), so elsewhere no window is
+    embedded and none is lost. Windows start at every ``stride`` of the budget there; those
+    that share a key with an item are compared with it exactly.
+    """
+
+    def __init__(self, ids: list, texts: list[str], share: float = 0.1, walks: int = 8, stride: float = 0.2, common: int = 32):
+        self.ids, self.texts, self.share, self.stride = ids, texts, share, stride
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.budget = (self.size * share).astype(np.int64)
+        self.longest = int(self.size.max(initial=1))
+        self.walks = Walks(walks)
+        self.least = np.zeros(len(texts), np.int64)
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        by_size: dict[int, list[int]] = {}
+        for k, (n, b) in enumerate(zip(self.size.tolist(), self.budget.tolist(), strict=True)):
+            q = gram_size(n, b)
+            by_size.setdefault(q, []).append(k)
+            self.least[k] = max(1, n - q + 1 - b * q)
+        for q, own in by_size.items():
+            each = [grams(points_of(texts[k]), q) for k in own]
+            h, item = np.concatenate(each), np.repeat(own, [len(x) for x in each])
+            offset = np.concatenate([np.arange(len(x)) for x in each])
+            order = np.argsort(h, kind="stable")
+            h, item, offset = h[order], item[order], offset[order]
+            # runs of many items are left out, as many as an item can spare: its least number falls by each
+            new = np.concatenate(([True], h[1:] != h[:-1]))
+            often = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+            spare = self.least - np.maximum(3, self.least // 2)
+            by_item = np.lexsort((-often, item))
+            place = np.empty(len(h), np.int64)
+            place[by_item] = np.arange(len(h)) - np.searchsorted(item[by_item], item[by_item], "left")
+            gone = (often > common) & (place < spare[item])
+            self.least = self.least - np.bincount(item[gone], minlength=len(texts))
+            h, item, offset = h[~gone], item[~gone], offset[~gone]
+            sieve = np.zeros(1 << 22, bool)
+            sieve[(h >> np.uint64(42)).astype(np.int64)] = True
+            self.runs[q] = (h, item, offset, sieve)
+        keys = self.walks.keys_of(list(zip(texts, self.size.tolist(), strict=True)))
+        flat = keys.ravel()
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.of_key = flat[order], order // max(keys.shape[1], 1)
+
+    def regions(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """(text, item, first start, last start) of all places at which an item can begin."""
         parts = [points_of(t) for t in texts]
-        if not parts or not len(self.digests):
-            return []
-        size = np.array([len(p) for p in parts])
+        size = np.array([len(p) for p in parts], np.int64)
         start = np.cumsum(size) - size
-        h = self.rolled(np.concatenate(parts))
-        at = np.flatnonzero(self.sieve[(h >> np.uint64(42)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.digests, h[at], "left"), np.searchsorted(self.digests, h[at], "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        doc = np.searchsorted(start, at, side="right") - 1
-        inside = at + self.seed <= start[doc] + size[doc]
-        at, lo, n, doc = at[inside], lo[inside], n[inside], doc[inside]
-        of = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        doc, pos = np.repeat(doc, n), np.repeat(at - start[doc], n)
-        item, offset = self.item[of], self.offset[of]
-        diagonal = pos - offset
-        order = np.lexsort((pos, diagonal, item, doc))
-        doc, item, diagonal, pos, offset = (x[order] for x in (doc, item, diagonal, pos, offset))
-        if not len(doc):
-            return []
-        reach = max(2, int(self.share * self.longest))
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > reach)))
-        group = np.cumsum(new) - 1
-        found: set[tuple[int, int, int]] = set()
-        for g in np.flatnonzero(np.bincount(group) >= self.hits):
-            a, b = np.searchsorted(group, g), np.searchsorted(group, g, side="right")
-            k = int(item[a])
-            length = len(self.texts[k])
-            # of hits close together, the one nearest to the item's begin tells where it starts
-            p, s = pos[a:b], diagonal[a:b]
-            turn = np.argsort(p, kind="stable")
-            p, s = p[turn], s[turn]
-            runs = np.flatnonzero(np.concatenate(([True], np.diff(p) > length)))
-            for x, y in zip(runs, [*runs[1:], len(p)], strict=True):
-                if y - x >= self.hits:
-                    found.update((int(doc[a]), k, int(v)) for v in {s[x], s[(x + y) // 2]})
-        return sorted(found)
-
-    def leaks(self, texts: list[str], block_chars: int = 2_000_000) -> list[list[dict]]:
+        every = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        found: list[tuple[int, int, int, int]] = []
+        for q, (digests, item_of, offset_of, sieve) in self.runs.items():
+            h = grams(every, q)
+            at = np.flatnonzero(sieve[(h >> np.uint64(42)).astype(np.int64)])
+            lo = np.searchsorted(digests, h[at], "left")
+            n = np.searchsorted(digests, h[at], "right") - lo
+            doc = np.searchsorted(start, at, side="right") - 1
+            good = (n > 0) & (at + q <= start[doc] + size[doc])
+            at, lo, n, doc = at[good], lo[good], n[good], doc[good]
+            if not len(at):
+                continue
+            of = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            item = item_of[of]
+            diagonal = np.repeat(at - start[doc], n) - offset_of[of] + self.longest  # from 0 on
+            wide = int(size.max()) + 2 * self.longest + 2
+            key = (np.repeat(doc, n) * len(self.texts) + item) * wide + diagonal
+            key.sort()
+            item = (key // wide) % len(self.texts)
+            ahead = np.searchsorted(key, key + self.budget[item], "right") - np.arange(len(key))
+            key, item = key[ahead >= self.least[item]], item[ahead >= self.least[item]]
+            if not len(key):
+                continue
+            group, first = key // wide, key % wide - self.longest
+            budget = self.budget[item]
+            new = np.concatenate(([True], (group[1:] != group[:-1]) | (first[1:] - budget[1:] > first[:-1] + budget[:-1])))
+            last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(key) - 1]))
+            a, b = (first - budget)[new], (first + budget)[last]
+            found += zip((group[new] // len(self.texts)).tolist(), item[new].tolist(), a.tolist(), b.tolist(), strict=True)
+        return found
+
+    def _pieces(self, texts: list[str], most: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
+        """Texts in blocks of at most ``most`` characters; a longer one in parts that overlap by more than an item."""
+        over = 2 * self.longest + 2
+        docs: list[int] = []
+        shift: list[int] = []
+        parts: list[str] = []
+        held = 0
+        for d, t in enumerate(texts):
+            for first in range(0, max(len(t) - over, 1), most):
+                part = t[first : first + most + over]
+                if parts and held + len(part) > most:
+                    yield docs, shift, parts
+                    docs, shift, parts, held = [], [], [], 0
+                docs.append(d)
+                shift.append(first)
+                parts.append(part)
+                held += len(part)
+        if parts:
+            yield docs, shift, parts
+
+    def leaks(self, texts: list[str], block_chars: int = 400_000) -> list[list[dict]]:
         """For each normalised text, its items with the place and distance of the best match."""
         best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        windows: set[tuple[int, int, int]] = set()  # text, start, length
-        first, size = 0, 0
-        for k, text in enumerate(texts, 1):
-            size += len(text)
-            if size >= block_chars or k == len(texts):
-                windows.update((first + d, max(s, 0), len(self.texts[i])) for d, i, s in self.candidates(texts[first:k]))
-                first, size = k, 0
-        ordered = sorted(windows)
-        for first in range(0, len(ordered), 2048):
-            own = ordered[first : first + 2048]
-            keys = self.keys([texts[d][s : s + n] for d, s, n in own], [n for _, _, n in own])
-            for (d, s, n), row in zip(own, keys.tolist(), strict=True):
-                met = {k for t, key in enumerate(row) for k in self.buckets.get((n, t, key), ())}
+        if self.texts:
+            for docs, shift, parts in self._pieces(texts, max(block_chars, 4 * self.longest)):
+                for p, k, distance, start in self._matches(parts):
+                    own = best[docs[p]]
+                    if k not in own or (distance, shift[p] + start) < own[k]:
+                        own[k] = (distance, shift[p] + start)
+        out = []
+        for own in best:
+            by_id: dict[int, tuple[int, int]] = {}
+            for k, got in own.items():
+                by_id[self.ids[k]] = min(got, by_id.get(self.ids[k], got))
+            out.append([{"item_id": i, "start": max(0, s - 1), "distance": e} for i, (e, s) in sorted(by_id.items())])
+        return out
+
+    def _matches(self, parts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, distance, start) of verified matches."""
+        windows: list[tuple[int, int, int]] = []
+        for p, k, a, b in self.regions(parts):
+            step = max(1, int(self.stride * self.budget[k]))
+            starts = range(max(a, 0), max(min(b, len(parts[p]) - 1), max(a, 0)) + 1, step)
+            windows += [(p, s, int(self.size[k])) for s in starts]
+        windows = sorted(set(windows))
+        near: dict[tuple[int, int], list[int]] = {}
+        for first in range(0, len(windows), 4096):
+            some = windows[first : first + 4096]
+            keys = self.walks.keys_of([(parts[p][s : s + n], n) for p, s, n in some])
+            lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+            for w in np.flatnonzero((hi > lo).any(axis=1)).tolist():
+                p, s, _ = some[w]
+                met = {int(k) for x, y in zip(lo[w].tolist(), hi[w].tolist(), strict=True) if y > x for k in self.of_key[x:y]}
                 for k in met:
-                    most = int(self.share * n)
-                    a = max(0, s - most)
-                    part = texts[d][a : s + n + most]
-                    at = part.find(self.texts[k])
-                    got = (0, at + n) if at >= 0 else least_edits(self.texts[k], part, most)
-                    if got is not None and (k not in best[d] or got[0] < best[d][k][1]):
-                        best[d][k] = (max(0, a + got[1] - n), got[0])
-        for k in self.short:
-            for d, t in enumerate(texts):
-                at = f" {t} ".find(f" {self.texts[k]} ")
-                if at >= 0:
-                    best[d][k] = (at, 0)
-        return [
-            [{"item_id": self.ids[k], "start": s, "distance": e} for k, (s, e) in sorted(own.items(), key=lambda x: self.ids[x[0]])] for own in best
-        ]
-
-
-def _marked(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
-    own: ItemIndex = index.value
+                    near.setdefault((p, k), []).append(s)
+        for (p, k), starts in sorted(near.items()):
+            n, budget = int(self.size[k]), int(self.budget[k])
+            runs = [[starts[0], starts[0]]]
+            for s in starts[1:]:
+                if s - runs[-1][1] <= n:
+                    runs[-1][1] = s
+                else:
+                    runs.append([s, s])
+            for a, b in runs:
+                low = max(0, a - budget - 1)
+                part = parts[p][low : b + n + budget + 1]
+                at = part.find(self.texts[k])
+                got = (0, at + n) if at >= 0 else least_edits(self.texts[k], part, budget) if budget else None
+                if got is not None:
+                    yield p, k, got[0], max(0, low + got[1] - n)
+
+
+@lru_cache(maxsize=1)
+def _index(key: str, items: tuple[tuple, ...], share: float, walks: int) -> ItemIndex:
+    """One index a worker process, which serves one block of items."""
+    return ItemIndex([i for i, _ in items], [t for _, t in items], share, walks)
+
+
+def _marked(batches: Iterator[pa.RecordBatch], shared, key: str, share: float, walks: int) -> Iterator[pa.RecordBatch]:
+    own = _index(key, shared.value, share, walks)
     for batch in batches:
         found = own.leaks([normalised(x) for x in batch.column("_q_text").to_pylist()])
-        found = [a + b for a, b in zip(batch.column("leaks").to_pylist(), found, strict=True)]
+        found = [merged(a, b) for a, b in zip(batch.column("leaks").to_pylist(), found, strict=True)]
         names = [n for n in batch.schema.names if n != "leaks"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, _LEAK_TYPE)], [*names, "leaks"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, batch.schema.field("leaks").type)], [*names, "leaks"])
+
+
+def merged(a: list[dict], b: list[dict]) -> list[dict]:
+    """The leaks of two blocks; of an item in both, the nearer match."""
+    best: dict[int, dict] = {}
+    for x in (*a, *b):
+        if x["item_id"] not in best or (x["distance"], x["start"]) < (best[x["item_id"]]["distance"], best[x["item_id"]]["start"]):
+            best[x["item_id"]] = x
+    return [best[i] for i in sorted(best)]
+
+
+def cut_item(text: str, most: int) -> list[str]:
+    """A normalised item in passages of at most ``most`` characters, cut between words where there are any; each is searched for on its own."""
+    out = []
+    while len(text) > most:
+        at = text.rfind(" ", most // 2, most)
+        at = at if at > 0 else most
+        out.append(text[: at + 1])
+        text = text[at:]
+    return [*out, text]
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None,
-    share: float = 0.1, block_chars: int = 4_000_000,
+    share: float = 0.1, target_recall: float = 0.99, stride: float = 0.2, block_chars: int = 2_000_000, most_item: int = 2000,
 ) -> DataFrame:
     """The columns ``keep`` (default: all) of every document with ``leaks``: items that it holds within ``share`` of their length in edits.
 
-    Texts are compared in lower case with single spaces; places count in that form. Items
-    under 24 characters match as whole words only. Null and empty texts have no
-    leaks; null or empty items match nothing; repeated rows keep a row each. Items are
-    broadcast in blocks of about ``block_chars`` characters, whose number is checked first:
-    a larger benchmark takes more passes over the rows, none of which shuffles.
+    Texts are compared in lower case with single spaces, with a space before and after, so
+    that an item too short for any edit is found as whole words; ``start`` counts in that form.
+    The number of walks follows from ``target_recall``. Items of more than ``most_item``
+    characters are searched for in passages of that size, of which one is enough. Null
+    and empty texts have no leaks; null or empty items and ids match nothing; repeated rows
+    keep a row each; of repeated items the nearest match counts. The texts of items are
+    broadcast in blocks of about ``block_chars`` characters, whose number is checked first: a
+    larger benchmark takes more passes over the rows, none of which shuffles. Tasks embed
+    items and windows in parts of bounded size.
     """
     keep = kept_columns(docs, keep, ("leaks",))
     sc = docs.sparkSession.sparkContext
-    found = docs.select(*quoted(keep), F.col(text_col).alias("_q_text"), F.array().cast(LEAKS).alias("leaks"))
-    known = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull())
-    known = known.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
+    known = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
+    leaks = f"array<struct<item_id:{known.schema['id'].dataType.simpleString()},start:int,distance:int>>"
+    found = docs.select(*quoted(keep), F.col(text_col).alias("_q_text"), F.array().cast(leaks).alias("leaks"))
     total = known.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = 1 + total // block_chars
     schema = ", ".join(f"`{n}` {t}" for n, t in found.dtypes if n != "leaks")
+    walks = None
     for k in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
-        texts = {(r.id, normalised(r.text)) for r in rows}
-        texts = sorted(x for x in texts if x[1])
-        index = sc.broadcast(ItemIndex([i for i, _ in texts], [t for _, t in texts], share))
-        found = found.mapInArrow(lambda b, index=index: _marked(b, index), f"{schema}, leaks {LEAKS}")
+        texts = tuple(sorted({(r.id, part) for r in rows for part in cut_item(normalised(r.text), most_item) if part}))
+        if walks is None and texts:
+            walks = walks_for([t for _, t in texts[:: max(1, len(texts) // 100)]], share, target_recall, stride)
+        if texts:
+            shared, key, n = sc.broadcast(texts), f"{sc.applicationId}-{k}-{hash(texts)}", walks
+            found = found.mapInArrow(lambda b, shared=shared, key=key, n=n: _marked(b, shared, key, share, n), f"{schema}, leaks {leaks}")
     return found.drop("_q_text")

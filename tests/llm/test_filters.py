@@ -10,7 +10,6 @@ import numpy as np
 import pytest
 
 from quillsieve.llm import licenses, queries
-from quillsieve.llm.contamination import ItemIndex, find_leaks, least_edits, normalised
 from quillsieve.llm.lmscore import cross_entropy_difference, packed, unpacked, words_of
 from quillsieve.llm.quality import CLASSES, ORDER, KneserNey, base_counts, gram_keys, quality_rules
 from quillsieve.llm.toxicity import ToxicityModel, fit, toxicity_scores, train
@@ -226,67 +225,6 @@ def test_op5_tells_good_documents_apart(spark, sf_dir):
     assert by[1] < by[0]
 
 
-# contamination
-
-
-def plain_distance(pattern, text):
-    row = list(range(len(pattern) + 1))
-    best = row[-1]
-    for c in text:
-        new = [0]
-        for k, p in enumerate(pattern, 1):
-            new.append(min(row[k] + 1, new[-1] + 1, row[k - 1] + (p != c)))
-        row = new
-        best = min(best, row[-1])
-    return best
-
-
-def test_least_edits_equals_the_plain_table():
-    rng = random.Random(9)
-    for _ in range(150):
-        a = "".join(rng.choice("abc") for _ in range(rng.randint(1, 70)))
-        b = "".join(rng.choice("abc") for _ in range(rng.randint(0, 90)))
-        got = least_edits(a, b, len(a))
-        assert got[0] == plain_distance(a, b)
-
-
-def edited(rng, text, n):
-    chars = list(text)
-    for _ in range(n):
-        k = rng.randrange(len(chars))
-        kind = rng.choice("sid")
-        chars[k : k + (kind != "i")] = [] if kind == "d" else [rng.choice("abcdefgh")]
-    return "".join(chars)
-
-
-def test_leaks_reach_the_target_recall_and_nothing_else(spark, sf_dir):
-    rng = random.Random(10)
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    texts = {r.item_id: normalised(r.text) for r in items.collect()}
-    others = [normalised(r.text)[:400] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
-    docs, truth = [], {}
-    for k, (i, t) in enumerate(texts.items()):
-        share = (0, 0.03, 0.06, 0.09)[k % 4]
-        docs.append((k, f"{rng.choice(others)} {edited(rng, t, int(share * len(t)))} {rng.choice(others)}"))
-        truth[k] = i
-    found = {r.doc_id: {x.item_id for x in r.leaks} for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
-    assert sum(truth[k] in found[k] for k in truth) >= 0.95 * len(truth)
-    for k, t in docs:  # exact verification: what is found is within the distance
-        for i in found[k]:
-            assert plain_distance(texts[i], normalised(t)) <= int(0.1 * len(texts[i]))
-
-
-def test_leaks_on_hard_rows(spark):
-    docs = spark.createDataFrame([(1, None, "l"), (2, "", "l"), (3, f"before {TEXT.upper()}  after", "l"), (3, f"before {TEXT}", "l"), (4, "it is forty two now", "l"), (None, "x" * 300_000, "l")], "doc_id long, text string, leaks string")
-    items = spark.createDataFrame([(9, TEXT, 1), (9, TEXT, 1), (8, "forty  two", 1), (7, None, 1), (6, " ", 1), (None, TEXT, 1)], "item_id long, text string, leaks int")
-    for chars in (4_000_000, 50):  # one block of items, and several
-        got = sorted((r.doc_id or 0, [x.item_id for x in r.leaks]) for r in find_leaks(docs, items, block_chars=chars).collect())
-        assert got == [(0, []), (1, []), (2, []), (3, [9]), (3, [9]), (4, [8])]
-    assert find_leaks(docs, items.limit(0)).count() == 6
-    assert find_leaks(docs.limit(0), items).count() == 0
-    assert ItemIndex([], []).leaks(["a", ""]) == [[], []]
-
-
 # licences
 
 
