@@ -77,8 +77,9 @@ def test_templates_of_many_items():
     index = ItemIndex(list(range(80)), items)
     assert sum(len(h) for h, *_ in index.runs.values()) < 80 * (len(items[0]) - 7 - 15)
     for k in range(0, 80, 7):
-        got = index.leaks([normalised("xx " + edited(items[k].strip(), int(0.1 * len(items[k])), "random", rng) + " yy")])[0]
-        assert k in [x["item_id"] for x in got]
+        budget = int(0.1 * len(items[k]))
+        doc = normalised("xx " + edited(items[k].strip(), budget, "random", rng) + " yy")
+        assert (k in [x["item_id"] for x in index.leaks([doc])[0]]) == (plain_distance(items[k], doc) <= budget)  # white space that edits leave may cost more
 
 
 def test_keys_do_not_depend_on_the_other_windows():
