@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -11,29 +11,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsieve.sources.config import checkpointed, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="quillsieve-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; for narrow rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "complete_runs", "discard", "kept_columns", "materialised", "quoted", "release_shuffles", "shared_dir", "spread", "table", "text_bytes"]
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the shared folder; for wide or many rows that several plans read."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillsieve-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._kept_at = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a ``materialised`` table that no later plan reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

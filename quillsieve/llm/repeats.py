@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -282,6 +283,24 @@ def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def kept_text(kept: str = "kept", spans: str = "spans") -> F.Column:
+    """What ``remove_repeats`` kept, as text: a character of which a part was removed goes whole, and parts of two never make a third."""
+
+    @F.pandas_udf("string")
+    def decoded(raws: pd.Series, cuts: pd.Series) -> pd.Series:
+        out = []
+        for raw, cut in zip(raws, cuts, strict=True):
+            places, gone = [0], 0
+            for s in cut:
+                places.append(s["start"] - gone)
+                gone += s["end"] - s["start"]
+            places.append(len(raw))
+            out.append("".join([bytes(raw[a:b]).decode("utf-8", "ignore") for a, b in zip(places, places[1:], strict=False)]))
+        return pd.Series(out, dtype="object")
+
+    return decoded(kept, spans)
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, digit: int = 32, keep: list[str] | None = None, crowd: int = 50_000
 ) -> DataFrame:

@@ -31,6 +31,11 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
         digest = xxhash.xxh64_intdigest
         spans = zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
         hashes = np.fromiter((digest(line[a:b], seed) for a, b in spans), np.uint64, n - words + 1)
+    return majority_bits(hashes)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half the hashes; 0 for none."""
     lanes = np.ascontiguousarray(hashes.astype(">u8")).view(np.uint8).reshape(-1, 8)
     set_bits = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ _BIT_OF_BYTE for k in range(8)])
     return int.from_bytes(np.packbits(2 * set_bits > len(hashes)).tobytes(), "big")

@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: a prefix-filtered self-join."""
+"""Near-duplicates by the Jaccard similarity of word shingles: links of the SimHash trie, verified, and a prefix-filtered self-join for those that differ in more bits."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import checkpointed, materialised, text_bytes
+from quillsieve.llm.common import checkpointed, discard, materialised, release_shuffles, text_bytes
 from quillsieve.llm.graph import connected_components
+from quillsieve.llm.simhash import fingerprint_links, majority_bits
 
 
 def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -72,65 +73,95 @@ def _alike(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, mos
     sets = materialised(rows.join(ids, "id", "left_semi").mapInArrow(gram_sets, "id long, grams array<long>"))
     both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
     shared = F.size(F.array_intersect("a", "b"))
-    return checkpointed(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("src", "dst"))
+    found = checkpointed(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("src", "dst"))
+    discard(sets)
+    return found
 
 
 def similar_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sample: int = 20_000, most: int = 200_000, stars: int = 2,
-    most_broadcast: int = 500_000,
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, budget: int = 4, sample: int = 20_000, most: int = 200_000,
+    stars: int = 2, most_broadcast: int = 500_000,
+) -> DataFrame:
     """``(node, root)`` of every id that is linked to another one; the root is the smallest id that links reach.
 
     Texts of equal lower-cased words are linked, as are texts whose ``words``-word shingle
-    sets have a Jaccard similarity of ``similarity`` or more: all such pairs are found, as
-    each must share a shingle of both prefixes. The order of shingles comes from a sample; it
+    sets have a Jaccard similarity of ``similarity`` or more. The SimHash trie links texts
+    whose fingerprints differ in ``budget`` bits at most, where their sets are that similar.
+    Most pairs at the limit differ in more bits, so the others follow by shingles: each such
+    pair must share one of both prefixes. The order of shingles comes from a sample; it
     moves frequent ones out of the prefixes and has no part in the result. Texts that share
     one are first compared with one of them (``stars`` times with another), so that a large
-    group is linked by few pairs; then all pairs that are not connected yet.
+    group is linked by few pairs; then all pairs that are not connected yet. Null ids link
+    nothing; null, empty and blank texts are copies of each other; a text of fewer words is
+    one shingle. Ids of up to ``most_broadcast`` rows are broadcast, after a count.
     """
+    spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("raw"))
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, words, sample, most))
+    frequent = spark.sparkContext.broadcast(_frequent(rows, words, sample, most))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 some = batch.slice(k, 1000)
-                copy, sizes, probes = [], [], []
+                copy, prints, sizes, probes = [], [], [], []
                 for x in some.column(1):
                     raw = x.as_py()
                     grams = shingles(raw, words)
                     copy.append(xxhash.xxh3_128_digest(b" ".join(raw.lower().split())))
+                    prints.append(majority_bits(grams))
                     sizes.append(len(grams))
                     probes.append(prefix(grams, frequent.value, similarity).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(copy, pa.binary()), pa.array(sizes, pa.int32()), pa.array(probes, pa.list_(pa.int64()))], ["id", "copy", "n", "probes"]
+                    [some.column(0), pa.array(copy, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(probes, pa.list_(pa.int64()))],
+                    ["id", "copy", "fp", "n", "probes"],
                 )
 
-    found = materialised(rows.mapInArrow(prefixes, "id long, copy binary, n int, probes array<long>"))
+    found = materialised(rows.mapInArrow(prefixes, "id long, copy binary, fp long, n int, probes array<long>"))
     first = found.groupBy("copy").agg(F.min("id").alias("node"))
-    copies = found.select("id", "copy").join(first, "copy").where("id <> node").select(F.col("id").alias("src"), F.col("node").alias("dst"))
-    single = found.join(first.withColumnRenamed("node", "id"), ["copy", "id"], "left_semi")
-    probes = single.select("id", "n", F.posexplode("probes").alias("pos", "probe"))
+    links = checkpointed(found.select("id", "copy").join(first, "copy").where("id <> node").select(F.col("id").alias("src"), F.col("node").alias("dst")))
+    later = links.select(F.col("src").alias("id"))
+    later = F.broadcast(later) if later.count() <= most_broadcast else later
+    single = found.join(later, "id", "left_anti")
+
+    prints = checkpointed(single.groupBy("fp").agg(F.min("id").alias("rep"), F.max("id").alias("last")))
+    near = checkpointed(fingerprint_links(prints.select("fp"), budget))
+    ends = prints.select(F.col("fp").alias("src"), F.col("rep").alias("a")), prints.select(F.col("fp").alias("dst"), F.col("rep").alias("b"))
+    pairs = near.join(ends[0], "src").join(ends[1], "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    same = single.select("id", "fp").join(prints.where("rep <> last"), "fp").where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
+    pairs = pairs.unionByName(same).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    links = links.unionByName(_alike(pairs, rows, words, similarity, most_broadcast))
+
+    # n and pos in one number: the rows that are dealt by probe are the widest step
+    probes = single.select("id", F.posexplode("probes").alias("pos", "probe"), "n").select("probe", "id", (F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("at"))
     by_probe = Window.partitionBy("probe")
-    probes = probes.withColumns({"hub": F.min("id").over(by_probe), "last": F.max("id").over(by_probe)})
-    shared = materialised(probes.where("hub <> last").select("probe", "id", "n", "pos"))
-    links = checkpointed(copies)
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    open_ = shared.withColumn("root", F.col("id"))
+    shared = probes.withColumns({"hub": F.min("id").over(by_probe), "last": F.max("id").over(by_probe)}).where("hub <> last")
+    shared = materialised(shared.select("probe", "id", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")))
+    discard(found)
+    release_shuffles(spark)
+    open_ = _still_open(shared, links)
     for turn in range(stars):
         hub = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "pos", "root")
         hubs = open_.groupBy("probe").agg(F.min(hub).alias("b")).select("probe", "b.*")
         pairs = open_.alias("a").join(hubs.alias("b"), "probe").where(_may_be_alike(similarity)).select(F.col("a.id").alias("id"), F.col("b.id").alias("hub"))
         pairs = pairs.select(F.least("id", "hub").alias("src"), F.greatest("id", "hub").alias("dst"))
         links = links.unionByName(_alike(pairs, rows, words, similarity, most_broadcast))
-        member = connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("r"))
-        rooted = shared.join(member, "id", "left").select("probe", "id", "n", "pos", F.coalesce("r", "id").alias("root"))
-        still = rooted.groupBy("probe").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("probe")
-        open_ = materialised(rooted.join(still, "probe", "left_semi"))
-        docs.sparkSession.sparkContext._jvm.System.gc()  # shuffles of what is kept by now leave the disk
+        discard(open_)
+        open_ = _still_open(shared, links)
+        release_shuffles(spark)
+    discard(shared)
     pairs = open_.alias("a").join(open_.alias("b"), "probe").where((F.col("a.id") < F.col("b.id")) & _may_be_alike(similarity))
     pairs = pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
-    return connected_components(links.unionByName(_alike(pairs, rows, words, similarity, most_broadcast)))
+    last = _alike(pairs, rows, words, similarity, most_broadcast)
+    discard(open_)
+    return connected_components(links.unionByName(last))
+
+
+def _still_open(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of probes whose texts the links don't connect, each with its component's root."""
+    member = connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("r"))
+    rooted = shared.join(member, "id", "left").select("probe", "id", "n", "pos", F.coalesce("r", "id").alias("root"))
+    still = rooted.groupBy("probe").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("probe")
+    return materialised(rooted.join(still, "probe", "left_semi"))
 
 
 def _may_be_alike(similarity: float) -> F.Column:
@@ -143,7 +174,8 @@ def _may_be_alike(similarity: float) -> F.Column:
     return (F.col("a.root") != F.col("b.root")) & size & (left >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-9)
 
 
-def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 500_000, **options) -> DataFrame:
     """``docs`` with the document of the smallest id of each component; rows without an id stay and link nothing."""
-    gone = similar_components(docs, id_col, text_col, **options).where("node <> root").select(F.col("node").alias("_gone_id"))
+    gone = checkpointed(similar_components(docs, id_col, text_col, **options).where("node <> root").select(F.col("node").alias("_gone_id")))
+    gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone
     return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
