@@ -33,7 +33,7 @@ class PieceTable:
     space-led chunk at a time; at most ``most`` words are remembered before memory is freed.
     """
 
-    def __init__(self, model_file: str, most: int = 1_000_000):
+    def __init__(self, model_file: str, most: int = 200_000):
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(size)]
