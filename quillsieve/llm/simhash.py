@@ -130,14 +130,16 @@ def _linked(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(fp[other]), pa.array(fp[label[other]])], ["src", "dst"])
 
 
-def fingerprint_links(fps: DataFrame, budget: int = 4, node_rows: int = 4096) -> DataFrame:
+def fingerprint_links(fps: DataFrame, budget: int = 4, node_rows: int = 1 << 20) -> DataFrame:
     """Links ``(src, dst)`` that connect all distinct values of ``fp`` (long) within ``budget`` differing bits.
 
     The 64 bits are cut into budget + 1 blocks, of which two linked values share
     at least one whole. Each block in turn leads a rotated trie, whose nodes at
-    the block's depth are the tasks. A node with more than ``node_rows`` values is
-    cut further down: pairs of its subtrees within the bit budget become tasks.
-    A task returns a spanning forest, never all pairs.
+    the block's depth are the tasks. The walk itself prunes, so a node is cut only if it
+    has more than ``node_rows`` values, as many as a task holds: then pairs of its subtrees
+    within the bit budget become tasks. A value is one row of each trie up to 4 billion
+    distinct values, and at most sum(C(c, 0..budget)) rows where nodes are cut c times: 4 of
+    each trie at 30 billion. A task returns a spanning forest, never all pairs.
     """
     blocks = budget + 1
     edges = [64 * k // blocks for k in range(blocks + 1)]
@@ -213,6 +215,7 @@ def simhash_components(
     smallest = member.groupBy("root").agg(F.min("rep").alias("least_id"))
     found = member.join(smallest, "root").select("fp", "least_id")
     by_print = distinct.join(found, "fp", "left").select("fp", F.coalesce("least_id", "rep").alias("component_id"))
+    by_print = checkpointed(by_print)  # so that both sides of the join below are dealt out for it alone, and a print of very many documents is split
     return fps.join(by_print, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
