@@ -67,10 +67,10 @@ class ToxicityModel:
 
 
 def fit(
-    column: dict[str, int], row: np.ndarray, col: np.ndarray, labels: np.ndarray, ridge: float = 2e-4, penalty: float = 1.0, steps: int = 400, rate: float = 0.1,
+    column: dict[str, int], row: np.ndarray, col: np.ndarray, labels: np.ndarray, ridge: float = 2e-4, penalty: float = 20.0, steps: int = 400, rate: float = 0.1,
     staying: frozenset[tuple[int, int]] = frozenset(),
 ) -> ToxicityModel:
-    """Minimises mean log loss + ridge + ``penalty`` times the mean squared change of the logit when a term is swapped.
+    """Minimises mean log loss + ridge + ``penalty`` times the mean squared change of the score when a term is swapped.
 
     ``row`` and ``col`` list which text has which word of ``column``. A text with an identity
     term is compared with itself where the next two terms of the same kind stand instead: with the
@@ -84,13 +84,14 @@ def fit(
     if not 0 < ones < n:
         return ToxicityModel(bias)
     size = len(column)
-    swaps: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
     held: dict[int, set[int]] = {}
     begun = {column[t]: column.get(beginning(t)) for terms in IDENTITY_TERMS for t in terms if t in column}
     named = np.isin(col, list(begun))
     near = np.isin(col, [*begun, *(b for b in begun.values() if b is not None)]) & np.isin(row, row[named])
     for r, c in zip(row[near].tolist(), col[near].tolist(), strict=True):
         held.setdefault(r, set()).add(c)
+    of: list[int] = []  # the text of each swap
+    moves: list[tuple[int, int, int]] = []  # (swap, column, sign)
     for terms in IDENTITY_TERMS:
         own = [column[t] for t in terms if t in column]
         for r, present in held.items():
@@ -100,22 +101,28 @@ def fit(
                     if c in present and other not in present:
                         gone = {c, begun[c]} if (r, begun[c]) not in staying else {c}
                         then = ((present - gone) | {other, begun[other]}) - {None}
-                        key = tuple(sorted(present - then)), tuple(sorted(then - present))
-                        swaps[key] = swaps.get(key, 0) + 1
-    moves = [(k, c, sign) for k, sides in enumerate(swaps) for cols, sign in zip(sides, (-1, 1), strict=True) for c in cols]
+                        moves += [(len(of), x, -1) for x in sorted(present - then)] + [(len(of), x, 1) for x in sorted(then - present)]
+                        of.append(r)
+    text = np.array(of, np.int64)
     swap, moved, sign = (np.array([m[i] for m in moves], np.int64) for i in range(3))
-    times = np.array(list(swaps.values()), np.float64)
     w, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = bias
     each = np.where(y == 1, 0.5 * n / ones, 0.5 * n / (n - ones))  # both labels weigh the same
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     for t in range(1, steps + 1):
         z = np.bincount(row, weights=w[col], minlength=n) + w[-1]
-        error = each * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
-        grad = np.append(np.bincount(col, weights=error[row], minlength=size), error.sum())
-        grad[:-1] += ridge * w[:-1]
+        score = sigmoid(z)
+        error = each * (score - y) / n
+        grad = np.zeros(size + 1)
         if len(moves):
-            change = 2 * penalty * times * np.bincount(swap, weights=sign * w[moved], minlength=len(times)) / times.sum()
-            grad[:-1] += np.bincount(moved, weights=sign * change[swap], minlength=size)
+            was = score[text]
+            now = sigmoid(z[text] + np.bincount(swap, weights=sign * w[moved], minlength=len(text)))
+            change = 2 * penalty * (now - was) / len(text)
+            up, down = change * now * (1 - now), change * was * (1 - was)
+            error = error + np.bincount(text, weights=up - down, minlength=n)
+            grad[:-1] += np.bincount(moved, weights=sign * up[swap], minlength=size)
+        grad += np.append(np.bincount(col, weights=error[row], minlength=size), error.sum())
+        grad[:-1] += ridge * w[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
