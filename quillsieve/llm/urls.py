@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -49,7 +50,7 @@ def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
 def matched_rule(rules: list[UrlRule], host: F.Column, path: F.Column) -> F.Column:
     """The longest pattern that fits, else null; of equal lengths the first in the list."""
     found = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.pattern)):
+    for rule in sorted(reversed(rules), key=lambda r: len(r.pattern)):  # what is wrapped last is tried first
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
         found = F.when(fits, F.lit(rule.pattern)).otherwise(found)
     return found
@@ -95,45 +96,76 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
-def url_verdicts(
-    pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url", sample: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7
-) -> DataFrame:
+FOLDS = 5
+
+
+def _with_statistics(rows: DataFrame) -> DataFrame:
+    """``rows`` with the statistics of their suffix, name and first path part, from one row for each key.
+
+    The blocked share of a key leaves out the labels of the url's own fold, so that no label
+    is a feature of its own url. Keys are pre-aggregated, and each table of keys is kept
+    before its join, so that a key of very many pages is split there.
+    """
+    out = rows
+    for name, key in _STATISTICS.items():
+        sums = [F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("label"))), F.lit(0.0)).alias(f"s{k}") for k in range(FOLDS)]
+        counts = [F.count(F.when(F.col("fold") == k, F.col("label"))).alias(f"c{k}") for k in range(FOLDS)]
+        known = checkpointed(rows.groupBy(F.col(key).alias("_key")).agg(F.log1p(F.count("*")).alias(f"{name}_pages"), *sums, *counts))
+        every, seen = sum(F.col(f"s{k}") for k in range(FOLDS)), sum(F.col(f"c{k}") for k in range(FOLDS))
+        own = lambda c: sum(F.when((F.col("fold") == k) & F.col("label").isNotNull(), F.col(f"{c}{k}")).otherwise(0) for k in range(FOLDS))
+        share = (every - own("s") + 1) / (seen - own("c") + 2)
+        out = out.join(known, F.col(key) == F.col("_key")).withColumn(f"{name}_blocked", share)
+        out = out.drop("_key", *[f"{c}{k}" for c in "sc" for k in range(FOLDS)])
+    return out
+
+
+def url_features(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """id, url, host, path, rule, label (1 for a blocking rule, null without one), fold and ``FEATURES`` of every page."""
+    host, path = split_url(F.col(url_col))
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
+    blocked = F.coalesce(*(F.when(F.col("rule") == r.pattern, F.lit(float(r.verdict == "block"))) for r in rules))
+    rows = rows.withColumn("rule", matched_rule(rules, F.col("host"), F.col("path"))).withColumn("label", blocked)
+    rows = lexical(rows).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(FOLDS)), F.lit(FOLDS)).cast("int"))
+    rows = checkpointed(rows)
+    return checkpointed(_with_statistics(rows).select("id", "url", "host", "path", "rule", "label", "fold", *FEATURES))
+
+
+def held_out_auc(rows: DataFrame, **options) -> float:
+    """Area under the ROC curve on fold 0 of ``url_features`` for trees that learn from the other folds."""
+    scored = _trained(rows.where("fold <> 0"), **options).transform(_assembler().transform(rows.where("fold = 0 and label is not null")))
+    return BinaryClassificationEvaluator(labelCol="label").evaluate(scored)
+
+
+def _assembler() -> VectorAssembler:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+
+
+def _trained(rows: DataFrame, sample: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7):
+    labelled = rows.where("label is not null")
+    share = min(1.0, sample / max(labelled.count(), 1))
+    drawn = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, cacheNodeIds=False, maxBins=32).fit(_assembler().transform(drawn).select("features", "label"))
+
+
+def url_verdicts(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:
     """One row per page: id, host, path, ``rule`` (or null), ``verdict`` and ``block_score`` of the trees.
 
     The urls that a rule judges are the labelled ones; the trees learn from about
     ``sample`` of them, drawn by a hash of the url, and judge the others. Statistics of the
     suffix, the registered name and the first path part cover every page: how many pages
-    have it, and the smoothed share of blocked ones among those that a rule judges. They
-    are joined by key, after partial aggregation, so a host with a third of all pages is no
-    hot key of the aggregation. A null or malformed url has an empty host and path and all-zero
-    text features. Where no rule fits any page, or all that fit agree, the trees have
+    have it, and the smoothed share of blocked ones among those that a rule judges, without
+    those of the url's own fold of five. A null or malformed url has an empty host and path
+    and all-zero text features. Where no rule fits any page, or all that fit agree, the trees have
     nothing to tell apart: pages without a rule are then allowed. Repeated rows keep a row each.
     """
-    host, path = split_url(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
-    blocked = F.coalesce(*(F.when(F.col("rule") == r.pattern, F.lit(float(r.verdict == "block"))) for r in rules))
-    rows = rows.withColumn("rule", matched_rule(rules, F.col("host"), F.col("path"))).withColumn("label", blocked)
-    rows = lexical(rows)
-    for name, key in _STATISTICS.items():
-        known = rows.groupBy(key).agg(
-            F.log1p(F.count("*")).alias(f"{name}_pages"),
-            ((F.coalesce(F.sum("label"), F.lit(0.0)) + 1) / (F.count("label") + 2)).alias(f"{name}_blocked"),
-        )
-        rows = rows.join(known, key)
-    rows = checkpointed(rows.select("id", "url", "host", "path", "rule", "label", *FEATURES))
+    rows = url_features(pages, rules, id_col, url_col)
     counts = {r.label: r.n for r in rows.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
     judged = F.when(F.col("label").isNotNull(), F.when(F.col("label") == 1, "block").otherwise("allow"))
     if len(counts) < 2:
         return rows.select(
             F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(judged, F.lit("allow")).alias("verdict"), F.lit(0.0).alias("block_score")
         )
-    share = min(1.0, sample / sum(counts.values()))
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = assembler.transform(
-        rows.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    ).select("features", "label")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, cacheNodeIds=False, maxBins=32).fit(train)
-    scored = model.transform(assembler.transform(rows)).withColumn("block_score", vector_to_array("probability")[1])
+    scored = _trained(rows, **options).transform(_assembler().transform(rows)).withColumn("block_score", vector_to_array("probability")[1])
     return scored.select(
         F.col("id").alias(id_col),
         "host",
