@@ -16,7 +16,7 @@ from quillsieve.llm.quality import quality_rules
 from quillsieve.llm.repeats import remove_repeats
 from quillsieve.llm.simhash import simhash_components
 from quillsieve.llm.toxicity import held_out, toxicity_scores, train
-from quillsieve.llm.unigram import token_counts
+from quillsieve.llm.unigram import fit_scores, token_counts, vocabulary
 from quillsieve.llm.urls import UrlRule, url_verdicts
 
 URL_RULES = [
@@ -33,7 +33,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(spread(table(spark, sf_dir, "documents")))
+    return quality_rules(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,9 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(spread(table(spark, sf_dir, "documents")), piece_model(), keep=["doc_id"])
+    docs = spread(table(spark, sf_dir, "documents"))
+    scores, _ = fit_scores(docs, vocabulary(piece_model()))
+    return token_counts(docs, scores, keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,88 +9,12 @@ import pytest
 
 from quillsieve.llm import queries
 from quillsieve.llm.lmscore import cross_entropy_difference, packed, unpacked, words_of
-from quillsieve.llm.quality import CLASSES, ORDER, KneserNey, base_counts, gram_keys, quality_rules
 from quillsieve.llm.toxicity import ToxicityModel, fit, toxicity_scores, train
-from quillsieve.llm.urls import UrlRule, url_verdicts
+from quillsieve.llm.urls import UrlRule, held_out_auc, url_features, url_verdicts
 
 TEXT = "The quick brown fox jumps over the lazy dog while a small bird sings near an old mill and nobody listens to it at all today."
 
 
-# quality rules
-
-
-def plain_base(text):
-    text = text or ""
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
-    covered = {k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(i, i + 8)}
-    dup = sum(x in lines[:k] for k, x in enumerate(lines))
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
-
-
-def test_base_counts_equal_brute_force():
-    rng = random.Random(5)
-    for _ in range(300):
-        text = "".join(rng.choice(["a ", "b ", "é\u00a0x ", "\n", "\t", "## ", "a b c d e f g h ", "\x1c", "\r\n"]) for _ in range(rng.randint(0, 60)))
-        assert base_counts(text) == plain_base(text)
-    assert base_counts(None) == (0, 0, 0, 0, 0)
-
-
-def test_kneser_ney_sums_to_one_and_equals_a_plain_model():
-    texts = [TEXT, TEXT.upper(), "x1 y2! ## été", "aaaa bbbb"]
-    counts = Counter(k for t in texts for k in gram_keys(t).tolist())
-    model = KneserNey(np.array(list(counts)), np.array(list(counts.values())))
-    for ctx in (0, 33, 12345, 32767):
-        keys = np.arange(CLASSES, dtype=np.uint32) + np.uint32(ctx << 5)
-        assert math.isclose(np.exp(model.log_prob(keys)).sum(), 1, rel_tol=1e-9)
-
-    grams = {ORDER: counts}
-    for n in range(ORDER - 1, 0, -1):
-        grams[n] = Counter(k % CLASSES**n for k in grams[n + 1])
-
-    def discounts(n):
-        c = Counter(grams[n].values())
-        if not all(c[k] for k in (1, 2, 3, 4)):
-            return [0, 0.5, 1.0, 1.5]
-        y = c[1] / (c[1] + 2 * c[2])
-        return [0, *(min(max(k - (k + 1) * y * c[k + 1] / c[k], 0), k) for k in (1, 2, 3))]
-
-    def prob(key, n):
-        if n == 0:
-            return 1 / CLASSES
-        own = {k: c for k, c in grams[n].items() if k // CLASSES == key // CLASSES}
-        d, total = discounts(n), sum(own.values())
-        lower = prob(key % CLASSES ** (n - 1), n - 1) if n > 1 else 1 / CLASSES
-        if not total:
-            return lower
-        c = own.get(key, 0)
-        return (c - d[min(c, 3)]) / total + sum(d[min(x, 3)] for x in own.values()) / total * lower
-
-    keys = [*list(counts)[:40], 1, 99, 2**19 + 5]
-    got = np.exp(model.log_prob(np.array(keys, np.uint32)))
-    assert np.allclose(got, [prob(k, ORDER) for k in keys], rtol=1e-9)
-
-
-def test_quality_rules_on_hard_rows(spark):
-    rng = random.Random(6)
-    vocabulary = TEXT.lower().split()
-    good = [(k, " ".join(rng.choice(vocabulary) for _ in range(120)), "en", 0.0) for k in range(60)]
-    junk = [(100 + k, " ".join("".join(rng.choice("qzxj$%&|") for _ in range(7)) for _ in range(120)), "en", 0.0) for k in range(3)]
-    odd = [(200, None, None, None), (201, "", "en", 0.0), (202, "few words", "xx", 0.0), (203, TEXT, None, 0.0), (None, TEXT, "en", 0.0), (0, good[0][1], "en", 0.0)]
-    docs = spark.createDataFrame(good + junk + odd, "doc_id long, text string, lang string, loss double")
-    got = quality_rules(docs).collect()
-    assert len(got) == len(good + junk + odd)
-    kept = {r.doc_id for r in got if r.kept}
-    assert set(range(60)) <= kept and not kept & {100, 101, 102, 200, 201, 202}
-    for r in got:
-        if r.doc_id is not None:
-            text = next(t for i, t, _, _ in good + junk + odd if i == r.doc_id)
-            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_base(text)
-            assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-    assert quality_rules(docs.limit(0)).count() == 0
-
-
 # toxicity
 
 
@@ -120,8 +44,8 @@ def test_counterfactual_penalty_lowers_the_gap_of_group_mentions():
     column = {w: k for k, w in enumerate([*filler, "awful", "vile", "muslim", "christian"])}
     row, col = np.array([(k, column[w]) for k, words in enumerate(texts) for w in sorted(words)]).T
     free, held = (fit(column, row, col, np.array(labels), penalty=p) for p in (0.0, 20.0))
-    gap = lambda m: abs(m.weights.get("muslim", 0) - m.weights.get("christian", 0))
-    assert gap(held) < 0.2 * gap(free)
+    gap = lambda m: abs(m.score("w1 w2 muslim") - m.score("w1 w2 christian"))
+    assert gap(held) < 0.3 * gap(free)
     assert held.score("an awful muslim") > 0.5 > held.score("a neutral muslim w1 w2")
 
 
@@ -176,6 +100,14 @@ def test_trees_learn_what_the_rules_show(spark):
     assert got[600].block_score < got[601].block_score and got[601].verdict == "block"
 
 
+def test_no_label_is_a_feature_of_its_own_url_and_held_out_urls_are_told_apart(spark):
+    pages = spark.createDataFrame([(1, "http://a.good.com/x"), (2, "http://b.bad.net/x"), (3, "http://b.bad.net/x"), (4, "http://c.org/y")], "page_id long, url string")
+    rows = {r.id: r for r in url_features(pages, [UrlRule("allow", "good.com/"), UrlRule("block", "bad.net/")]).collect()}
+    assert rows[1].suffix_blocked == rows[2].suffix_blocked == rows[3].suffix_blocked == 0.5 and rows[4].label is None
+    found = url_features(queries.table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url"), queries.URL_RULES)
+    assert held_out_auc(found) > 0.7
+
+
 # language-model scores
 
 

@@ -7,7 +7,7 @@ import sentencepiece
 
 from quillsieve.llm import queries
 from quillsieve.llm.pieces import PieceTable, encode_pieces
-from quillsieve.llm.unigram import UnigramCounter, rank_counter, token_counts
+from quillsieve.llm.unigram import UnigramCounter, fit_scores, rank_scores, token_counts, vocabulary
 
 MODEL = queries.piece_model()
 HARD = ["", None, " ", "  lead  and trail ", "a\n\nb\t c", "▁a ▁▁", "é日本😀", "\x00\x01", "x" * 5000, " " * 40, "ﬁ Å ①", "=" * 70, "word " * 3000]
@@ -84,14 +84,38 @@ def test_unigram_counts_equal_plain_viterbi():
 
 def test_token_counts_on_hard_rows(spark):
     docs = spark.createDataFrame([(k, t, 7) for k, t in enumerate(HARD)], "doc_id long, text string, n_tokens int")
-    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts(docs, MODEL).collect()}
-    counter = rank_counter(MODEL)
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts(docs, rank_scores(vocabulary(MODEL))).collect()}
+    counter = UnigramCounter(rank_scores(vocabulary(MODEL)))
     for k, t in enumerate(HARD):
         words = (t or "").split()
         assert got[k] == (len(words), sum(plain_count(counter.scores, w) for w in words if len(w) < 100) or got[k][1])
     assert got[0] == got[1] == got[2] == (0, 0)
-    assert token_counts(docs.limit(0), MODEL).count() == 0
+    assert token_counts(docs.limit(0), {"a": -1.0}).count() == 0
 
 
 def test_op10_has_a_row_for_each_document(spark, sf_dir):
     assert queries.op10_token_counts(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_fitted_scores_equal_a_plain_fit_and_raise_the_likelihood(spark):
+    rng = random.Random(5)
+    pieces = ("▁", "a", "b", "ab", "ba", "▁ab", "aba", "bb", "▁ba", "▁a")
+    words = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(50)) for _ in range(20)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, "", " \n"])], "doc_id long, text string").repartition(3)
+    scores, likelihood = fit_scores(docs, pieces, rounds=3)
+    plain, seen = rank_scores(pieces), []
+    for _ in range(3):
+        counter, counts, total, places = UnigramCounter(plain), {p: 1 for p in pieces}, 0.0, 0
+        for word in " ".join(texts).split():
+            (own,) = counter.segments([word])
+            total, places = total + sum(plain.get(p, 0.0) for p in own), places + 1
+            for p in own:
+                if p in counts:
+                    counts[p] += 1
+        seen.append(total / places)
+        plain = {p: math.log(n / sum(counts.values())) for p, n in counts.items()}
+    assert likelihood == pytest.approx(seen) and scores == pytest.approx(plain)
+    assert likelihood[0] < likelihood[1] <= likelihood[2] + 1e-9
+    assert math.fsum(map(math.exp, scores.values())) == pytest.approx(1)
+    assert fit_scores(docs.limit(0), pieces) == (rank_scores(pieces), [])
