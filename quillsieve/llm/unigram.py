@@ -28,14 +28,15 @@ class UnigramCounter:
 
     def __init__(self, scores: dict[str, float], most: int = 1_000_000):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: Scores of the pieces; None for what only ends one, so that a search backwards stops where no piece can end so.
+        self.endings: dict[str, float | None] = {p[k:]: None for p in scores for k in range(1, len(p))} | scores
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.most = most
         self.stored: dict[str, int] = {}
 
     def _walk(self, words: list[str]) -> Iterator[tuple[str, list[float], list[int], list[int]]]:
         """For each of the sorted words, its text with the space and the lists of its prefixes: best score, tokens of that, begin of the last piece."""
-        get, longest, unknown = self.scores.get, self.longest, self.unknown
+        endings, unknown, nothing = self.endings, self.unknown, object()
         path = ""  # the prefix whose nodes the lists hold, from the root on
         total, tokens, back = [0.0], [0], [0]
         for word in words:
@@ -48,15 +49,17 @@ class UnigramCounter:
             del total[same + 1 :], tokens[same + 1 :], back[same + 1 :]
             for end in range(same + 1, len(text) + 1):
                 char = text[end - 1]
-                best = get(char)
+                best = endings.get(char)
                 n, at = 1, end - 1
                 if best is None:
                     n = len(char.encode("utf-8", "surrogatepass"))
                     best = unknown * n
                 best += total[end - 1]
                 n += tokens[end - 1]
-                for start in range(max(0, end - longest), end - 1):
-                    own = get(text[start:end])
+                for start in range(end - 2, -1, -1) if char in endings else ():
+                    own = endings.get(text[start:end], nothing)
+                    if own is nothing:
+                        break
                     if own is not None:
                         own += total[start]
                         if own > best or own == best and tokens[start] + 1 < n:
