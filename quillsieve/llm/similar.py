@@ -89,7 +89,8 @@ def similar_components(
     whose fingerprints differ in ``budget`` bits at most, where their sets are that similar.
     Most pairs at the limit differ in more bits, so the others follow by shingles: each such
     pair must share one of both prefixes. The order of shingles comes from a sample; it
-    moves frequent ones out of the prefixes and has no part in the result. Texts that share
+    moves frequent ones out of the prefixes and has no part in the result. Shingles that the
+    same texts share, as those of a quoted passage, count as one. Texts that share
     one are first compared with one of them (``stars`` times with another), so that a large
     group is linked by few pairs; then all pairs that are not connected yet. Null ids link
     nothing; null, empty and blank texts are copies of each other; a text of fewer words is
@@ -134,8 +135,14 @@ def similar_components(
     # n and pos in one number: the rows that are dealt by probe are the widest step
     probes = single.select("id", F.posexplode("probes").alias("pos", "probe"), "n").select("probe", "id", (F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("at"))
     by_probe = Window.partitionBy("probe")
-    shared = probes.withColumns({"hub": F.min("id").over(by_probe), "last": F.max("id").over(by_probe)}).where("hub <> last")
-    shared = materialised(shared.select("probe", "id", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")))
+    members = [F.sum(F.shiftright(F.xxhash64(F.lit(k), "id"), 31)).over(by_probe).alias(f"m{k}") for k in (0, 1)]
+    shared = probes.select("*", F.min("id").over(by_probe).alias("hub"), F.max("id").over(by_probe).alias("last"), *members).where("hub <> last")
+    pos = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")
+    shared = materialised(shared.select("probe", "id", F.shiftright("at", 32).cast("int").alias("n"), pos, "hub", "m0", "m1"))
+    # of the probes that the same texts share, as those of a quoted passage, the first in the order stands for all
+    firsts = shared.where("id = hub").groupBy("hub", "m0", "m1").agg(F.min(F.struct("pos", "probe")).alias("f")).select("f.probe")
+    every, shared = shared, materialised(shared.join(checkpointed(firsts.distinct()), "probe", "left_semi").select("probe", "id", "n", "pos"))
+    discard(every)
     discard(found)
     release_shuffles(spark)
     open_ = _still_open(shared, links)
