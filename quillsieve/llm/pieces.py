@@ -163,7 +163,7 @@ def piece_table(model_file: str) -> PieceTable:
 
 def _coded(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.RecordBatch]:
     table = piece_table(model_file)
-    for batch in batches:
+    for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
         coded = [table.encode_text(x.as_py() or "") for x in batch.column("_q_text")]
         decoded = [table.decode(array("i", x).tolist()) for x in coded]
         offsets = np.cumsum([0, *(len(x) // 4 for x in coded)], dtype=np.int32)

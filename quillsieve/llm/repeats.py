@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -263,46 +262,35 @@ def _single_windows(batches: Iterator[pa.RecordBatch], threshold: int, digit: in
                 )
 
 
-def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole_characters(parts: list[bytes]) -> str:
+    """The text of what stays between cuts: a character of which a part was removed goes whole, and parts of two never make a third."""
+    return "".join([p.decode("utf-8", "ignore") for p in parts])
+
+
+def _remaining(batches: Iterator[pa.RecordBatch], decode: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept, spans = [], []
+        kept, spans, texts = [], [], []
         for raw, found in zip(batch.column("_q_raw").to_pylist(), batch.column("_q_found").to_pylist(), strict=True):
             if not found:
                 kept.append(raw)
                 spans.append([])
+                texts.append(None)
                 continue
             packed = np.array(found, np.int64)
             _, a, b = _united(np.zeros(len(packed), np.int64), packed >> 32, packed & 0xFFFFFFFF)
             a, b = a.tolist(), b.tolist()
-            kept.append(b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)], strict=True)))
+            parts = [raw[x:y] for x, y in zip([0, *b], [*a, len(raw)], strict=True)]
+            kept.append(b"".join(parts))
+            texts.append(whole_characters(parts) if decode else None)
             spans.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
         names = [n for n in batch.schema.names if not n.startswith("_q_")]
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in names), pa.array(kept, pa.binary()), pa.array(spans, span)], [*names, "kept", "spans"]
-        )
-
-
-def kept_text(kept: str = "kept", spans: str = "spans") -> F.Column:
-    """What ``remove_repeats`` kept, as text: a character of which a part was removed goes whole, and parts of two never make a third."""
-
-    @F.pandas_udf("string")
-    def decoded(raws: pd.Series, cuts: pd.Series) -> pd.Series:
-        out = []
-        for raw, cut in zip(raws, cuts, strict=True):
-            places, gone = [0], 0
-            for s in cut:
-                places.append(s["start"] - gone)
-                gone += s["end"] - s["start"]
-            places.append(len(raw))
-            out.append("".join([bytes(raw[a:b]).decode("utf-8", "ignore") for a, b in zip(places, places[1:], strict=False)]))
-        return pd.Series(out, dtype="object")
-
-    return decoded(kept, spans)
+        made = {"kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, span)} | ({"kept_text": pa.array(texts, pa.string())} if decode else {})
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made.values()], [*names, *made])
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, digit: int = 32, keep: list[str] | None = None, crowd: int = 50_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100, digit: int = 32, keep: list[str] | None = None, crowd: int = 50_000, decode: bool = False
 ) -> DataFrame:
     """The columns ``keep`` (default: the id) of every document with ``kept`` (binary: the bytes that stay) and ``spans``.
 
@@ -311,13 +299,15 @@ def remove_repeats(
     occurrences count; matches never cross documents and are judged on the input.
     A null text is empty and a null id the smallest. Rows that share an id count as one
     document: strings that start at the same position of both are neither earlier.
+    With ``decode`` a column ``kept_text`` has what stays of a text in whole characters, and
+    null where nothing was removed.
     ``threshold`` must be under 250, so that a context's length fits a byte.
 
     Contexts of one digit meet in a task, up to ``crowd`` of them. Where more different
     contexts share a digit, as at the ends of a passage that very many texts quote, their
     windows are rows of their own, whose first place is found by a grouped minimum.
     """
-    keep = kept_columns(docs, [id_col] if keep is None else keep, ("kept", "spans"))
+    keep = kept_columns(docs, [id_col] if keep is None else keep, ("kept", "spans", "kept_text") if decode else ("kept", "spans"))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     twice = docs.groupBy(ident.alias("i")).count().where("count > 1").limit(1).count()
     tie = F.xxhash64(F.col(text_col)) if twice else F.lit(0).cast("long")
@@ -354,4 +344,4 @@ def remove_repeats(
     whole = whole.join(found.hint("shuffle_hash"), (F.col("_q_i") == F.col("_q_id")) & (F.col("_q_t") == F.col("_q_tie")), "left")
     whole = whole.select(*quoted(keep), "_q_raw", "_q_found")
     schema = ", ".join(f"`{n}` {t}" for n, t in whole.dtypes if not n.startswith("_q_"))
-    return whole.mapInArrow(_remaining, f"{schema}, kept binary, spans array<struct<start:long,end:long>>")
+    return whole.mapInArrow(lambda b: _remaining(b, decode), f"{schema}, kept binary, spans array<struct<start:long,end:long>>{', kept_text string' if decode else ''}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillsieve.llm import queries
 from quillsieve.llm.graph import connected_components
-from quillsieve.llm.repeats import kept_text, remove_repeats
+from quillsieve.llm.repeats import remove_repeats, whole_characters
 from quillsieve.llm.simhash import fingerprint_links, keep_one_per_component, simhash_components, trie_components
 
 WORDS = ["alpha", "beta", "gamma", "délta", "eps", "x", "the", "of", "\n", "日本"]
@@ -171,13 +171,18 @@ def test_registered_queries_have_a_row_for_each_document(spark, sf_dir):
     assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and found.count() == n
 
 
-def test_kept_text_drops_whole_characters_only(spark):
+def test_whole_characters_drops_characters_cut_in_part():
     raw = "aé€\ufffdb€z".encode()
-    rows = []
     for a in range(len(raw)):
         for b in range(a + 1, len(raw) + 1):
-            rows.append((raw[:a] + raw[b:], [(a, b)], raw[:a].decode("utf-8", "ignore") + raw[b:].decode("utf-8", "ignore")))
-    rows += [(raw, [], raw.decode()), (b"", [(0, 9)], ""), (raw[:2] + raw[5:6] + raw[9:], [(2, 5), (6, 9)], None)]
-    df = spark.createDataFrame(rows, "kept binary, spans array<struct<start:long,end:long>>, want string")
-    got = df.select(kept_text().alias("t"), "want").collect()
-    assert all(r.t == r.want for r in got if r.want is not None) and "\ufffd" in got[-3].t
+            assert whole_characters([raw[:a], raw[b:]]) == raw[:a].decode("utf-8", "ignore") + raw[b:].decode("utf-8", "ignore")
+    assert whole_characters([raw]) == raw.decode() and whole_characters([b"", b""]) == ""
+    assert "\ufffd" in whole_characters([raw[:2], raw[5:6], raw[6:]])
+
+
+def test_kept_text_is_the_decoded_rest(spark):
+    same = "é" * 120
+    docs = spark.createDataFrame([(1, same + "a"), (2, "b€" + same), (3, None), (4, "short")], "doc_id long, text string")
+    got = {r.doc_id: (r.kept_text, len(r.spans)) for r in remove_repeats(docs, decode=True).collect()}
+    assert got == {1: ("éa", 1), 2: ("b€", 1), 3: (None, 0), 4: (None, 0)}
+
