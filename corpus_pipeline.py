@@ -15,7 +15,7 @@ from quillsieve.llm.common import materialised, table
 from quillsieve.llm.contamination import find_leaks
 from quillsieve.llm.pieces import encode_pieces
 from quillsieve.llm.queries import piece_model
-from quillsieve.llm.repeats import kept_text, remove_repeats
+from quillsieve.llm.repeats import remove_repeats
 from quillsieve.llm.similar import keep_one_of_similar
 from quillsieve.llm.toxicity import toxicity_scores, train
 
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated 100-byte strings out of the texts; a character that is cut in part goes whole."""
-    kept = remove_repeats(docs, keep=COLUMNS).withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(kept_text()))
+    kept = remove_repeats(docs, keep=COLUMNS, decode=True).withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept_text")))
     return kept.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
 
 
