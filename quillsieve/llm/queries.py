@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm import licenses
+from quillsieve.llm import audit, centroids, language, licenses
 from quillsieve.llm.common import spread, table
 from quillsieve.llm.contamination import find_leaks
 from quillsieve.llm.lmscore import cross_entropy_difference
@@ -102,6 +102,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, scores, keep=["doc_id"])
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(spread(table(spark, sf_dir, "embeddings")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_interactions(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts beyond every radius still get their nearest language here, as each text with a letter must; ``rejected`` marks them."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
+    model = language.train(docs.where(~F.col("held_out")))
+    return language.identify(docs, model, keep=["doc_id", "held_out"], reject=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash_near_dedup,
@@ -114,9 +130,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_benchmark_decontamination,
         op9_license_scans,
         op10_token_counts,
+        op11_centroid_clustering,
+        op12_filter_audit,
+        op13_language_id,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scans": licenses.oracle()}
+    return {"op9_license_scans": licenses.oracle(), "op11_centroid_clustering": centroids.oracle(), "op12_filter_audit": audit.oracle()}
