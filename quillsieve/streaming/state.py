@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -51,20 +53,34 @@ def run_every(stream: DataFrame, write: Callable[[DataFrame, int], None], checkp
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def run_paced(stream: DataFrame, write: Callable[[DataFrame, int], bool], checkpoint: str, every: str = "2 seconds") -> None:
-    """A batch each ``every`` until ``write`` returns true, as for a rate limit, or the source has no more; a later call goes on from the checkpoint."""
-    stop = []
+class _Stopped(Exception):
+    """Raised in the batch after the one that asked for a stop, so that Spark does not commit it."""
+
+
+def run_paced(stream: DataFrame, write: Callable[[DataFrame, int], bool], checkpoint: str, every: float = 2.0) -> bool:
+    """Batches that begin at least ``every`` seconds apart, until ``write`` returns true, as for a rate limit, or the source has no more.
+
+    Tells whether it was stopped. The batch that asked for the stop is done and committed; the
+    next one fails before it writes, so it stays in the source's log and a later call begins
+    with it. A run that is killed repeats its last batch under the same id: a ``write`` that
+    keeps rows should go by ``runs.commit_once``.
+    """
+    began: list[float] = []
+    stop: list[int] = []
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        if not stop and write(batch, batch_id):
+        if stop:
+            raise _Stopped(f"stopped after batch {stop[0]}")
+        if began:
+            time.sleep(max(0.0, began[-1] + every - time.monotonic()))
+        began[:] = [time.monotonic()]
+        if write(batch, batch_id):
             stop.append(batch_id)
 
-    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        while query.isActive and not stop:
-            query.awaitTermination(0.1)
-            if query.lastProgress is not None and not query.status["isDataAvailable"] and not query.status["isTriggerActive"] and query.lastProgress["numInputRows"] == 0:
-                break
-    finally:
-        query.stop()
         query.awaitTermination()
+    except StreamingQueryException as e:
+        if not stop or _Stopped.__name__ not in str(e):
+            raise
+    return bool(stop)
