@@ -89,10 +89,10 @@ def function_word_language(text: Column | str, fallback: Column | str, least: in
     """
     tokens = F.filter(F.split(F.lower(_col(text)), r"(?U)\s+", -1), lambda w: w != "")
     bare = F.transform(tokens, lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    counted = lambda listed: F.size(F.filter(bare, lambda w: w.isin(*listed.split())))
-    hits = F.array(*[
-        F.struct(counted(v).alias("n"), (_col(fallback) == name).alias("own"), F.lit(-k).alias("k"), F.lit(name).alias("l")) for k, (name, v) in enumerate(FUNCTION_WORDS.items())
-    ])
+    # as the argument of a lambda the words are made once, not for each language
+    hits = F.transform(F.array(bare), lambda b: F.array(*[
+        F.struct(F.size(F.filter(b, lambda w: w.isin(*v.split()))).alias("n"), (_col(fallback) == name).alias("own"), F.lit(-k).alias("k"), F.lit(name).alias("l")) for k, (name, v) in enumerate(FUNCTION_WORDS.items())
+    ]))[0]
     best = F.array_max(hits)
     return F.when((F.size(tokens) < least) | (best["n"] == 0), _col(fallback)).otherwise(best["l"])
 

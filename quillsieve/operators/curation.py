@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillsieve.functions import lexicons as L
 from quillsieve.functions import text as T
+from quillsieve.operators.calls import RateLimit, in_flight
 
 PROMPT_VERSION = "curation-1"
 
@@ -87,25 +88,33 @@ def parse_reply(raw: Column | str) -> Column:
     )
 
 
-def ask(prompts: DataFrame, judges: list[Judge], prompt: str = "prompt", run: str = "run") -> DataFrame:
-    """``prompts`` with ``raw``, ``provider`` and ``model``: the first judge's answer, the next one's where it fails, null where all do."""
+def ask(
+    prompts: DataFrame, judges: list[Judge], prompt: str = "prompt", run: str = "run", window: int = 6, attempts: int = 1, rate: RateLimit | None = None
+) -> DataFrame:
+    """``prompts`` with ``raw``, ``provider`` and ``model``: the first judge's answer, the next one's where it fails, null where all do.
+
+    A task has ``window`` prompts in flight and keeps the order of its rows; a prompt that every judge fails is tried
+    ``attempts`` times; ``rate`` bounds the calls of all tasks.
+    """
     schema = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes) + ", raw string, provider string, model string"
+    limit = rate.shared(prompts) if rate else None
 
     def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [_first_answer(judges, p, r) for p, r in zip(batch[prompt], batch[run], strict=True)]
+            asked = zip(batch[prompt], batch[run], strict=True)
+            rows = [r or (None, None, None) for r in in_flight(asked, lambda pr: _first_answer(judges, *pr), window, attempts, limit)]
             yield batch.assign(**{k: [r[i] for r in rows] for i, k in enumerate(("raw", "provider", "model"))})
 
     return prompts.mapInPandas(answered, schema)
 
 
-def _first_answer(judges: list[Judge], prompt: str, run: int) -> tuple[str | None, str | None, str | None]:
+def _first_answer(judges: list[Judge], prompt: str, run: int) -> tuple[str, str, str]:
     for judge in judges:
         try:
             return judge(prompt, int(run)), judge.provider, judge.model
         except Exception:  # noqa: BLE001, S112  any provider error moves on to the next one
             continue
-    return None, None, None
+    raise RuntimeError("every judge failed")
 
 
 def aggregate_runs(parsed: DataFrame, keys: list[str], run: str = "run") -> DataFrame:

@@ -210,18 +210,44 @@ def paired_intervals(evaluated: DataFrame, id_col: str, resamples: int = RESAMPL
     return found.select("stratum", "metric", "ci_low", "ci_high", wilcoxon_p(zero("changed"), zero("rank_up"), zero("ties")).alias("p"))
 
 
-@F.pandas_udf(DoubleType())
-def sign_test(wins: pd.Series, losses: pd.Series) -> pd.Series:
-    """Two-sided exact binomial p-value of wins among wins and losses at even odds."""
+def _even_odds(k: int, n: int) -> float:
+    """The chance of exactly ``k`` heads in ``n`` throws, by deviations from Stirling's formula, which lose no digits for large ``n``."""
+    if k in (0, n):
+        return math.exp(-n * math.log(2))
+    rest = lambda x: math.lgamma(x + 1) - (x + 0.5) * math.log(x) + x - 0.5 * math.log(2 * math.pi) if x < 16 else (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
+    t = (2 * k - n) / n  # the throws part as (1 + t) / 2 and (1 - t) / 2
+    spread = n / 2 * ((1 + t) * math.log1p(t) + (1 - t) * math.log1p(-t))
+    return math.exp(rest(n) - rest(k) - rest(n - k) - spread) * math.sqrt(n / (2 * math.pi * k * (n - k)))
+
+
+def _tail(k: int, n: int) -> float:
+    """The chance of at most ``k`` < n / 2 heads: the incomplete beta function at 1/2 as a continued fraction, whose steps grow by the root of ``n`` at most."""
+    a, b, tiny = n - k, k + 1, 1e-300
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * 0.5 / (a + 1))
+    h, m = d, 0
+    while True:
+        m += 1
+        even = m * (b - m) * 0.5 / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1.0 / ((1.0 + even * d) or tiny), (1.0 + even / c) or tiny
+        h *= d * c
+        odd = -(a + m) * (a + b + m) * 0.5 / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1.0 / ((1.0 + odd * d) or tiny), (1.0 + odd / c) or tiny
+        h *= d * c
+        if abs(d * c - 1.0) < 1e-15 or m > 1_000_000:
+            break
+    return _even_odds(k, n) * h / 2
+
+
+def even_odds_p(wins: int, n: int) -> float:
+    """Two-sided exact binomial p-value at even odds; 1 without verdicts."""
+    k = min(wins, n - wins)
+    return 1.0 if not n or 2 * k == n else min(1.0, 2 * _tail(k, n))
 
-    def one(w: int, n: int) -> float:
-        if not n:
-            return 1.0
-        log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
-        limit = log(w) + 1e-7
-        return min(1.0, math.fsum(math.exp(log(k)) for k in range(n + 1) if log(k) <= limit))
 
-    return pd.Series([one(int(w), int(w + x)) for w, x in zip(wins, losses, strict=True)])
+@F.pandas_udf(DoubleType())
+def sign_test(wins: pd.Series, losses: pd.Series) -> pd.Series:
+    """``even_odds_p`` of wins among wins and losses."""
+    return pd.Series([even_odds_p(int(w), int(w + x)) for w, x in zip(wins, losses, strict=True)])
 
 
 def judge_table(verdicts: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import re
 import unicodedata
 from collections.abc import Callable
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.functions import text as T
+from quillsieve.operators.alignment import matching_words
+from quillsieve.operators.calls import RateLimit, in_flight
 
 #: Takes an excerpt and returns a proposal for it; raises where it has none.
 Completer = Callable[[str], str]
@@ -35,31 +36,6 @@ def _body_and_mark(token: str) -> tuple[str, str]:
     return (body, mark) if mark and body else (token, mark)
 
 
-def common_words(own: list[str], new: list[str]) -> list[tuple[int, int]]:
-    """Places (i, j) of a longest common subsequence; empty strings match nothing.
-
-    The chains of each length are kept by the place at which they can end first, so a word
-    costs a binary search for each of its places in ``new``.
-    """
-    places: dict[str, list[int]] = {}
-    for j, word in enumerate(new):
-        if word:
-            places.setdefault(word, []).append(j)
-    ends: list[int] = []
-    chains: list[tuple] = []
-    for i, word in enumerate(own):
-        for j in reversed(places.get(word, ())):
-            at = bisect.bisect_left(ends, j)
-            link = (i, j, chains[at - 1] if at else None)
-            ends[at : at + 1] = [j]
-            chains[at : at + 1] = [link]
-    found, link = [], chains[-1] if chains else None
-    while link:
-        found.append(link[:2])
-        link = link[2]
-    return found[::-1]
-
-
 def project(source: str, proposal: str) -> str:
     """The words of ``source`` with the marks and capitals that their counterparts in ``proposal`` have.
 
@@ -70,7 +46,7 @@ def project(source: str, proposal: str) -> str:
     own, new = source.split(), proposal.split()
     if not own:
         return source
-    pairs = common_words([_letters(t) for t in own], [_letters(t) for t in new])
+    pairs = matching_words([_letters(t) for t in own], [_letters(t) for t in new])
     bodies, marks = map(list, zip(*map(_body_and_mark, own), strict=True))
     changed = {i for i, _ in pairs}
     for i, j in pairs:
@@ -104,28 +80,29 @@ def word_chunks(text: Column | str, size: int = 250) -> Column:
     return F.transform(starts, lambda k: F.array_join(F.slice(tokens, k, size), " "))
 
 
-def restore_punctuation(docs: DataFrame, completer: Completer, text: str, attempts: int = 2, chunk_words: int = 250) -> DataFrame:
+def restore_punctuation(
+    docs: DataFrame, completer: Completer, text: str, attempts: int = 2, chunk_words: int = 250, window: int = 6, rate: RateLimit | None = None
+) -> DataFrame:
     """``docs`` with marks in texts that lack them and ``punctuation_restored``: whether any chunk of the row succeeded.
 
-    Chunks are proposed and aligned where their row is; one that fails ``attempts`` times stays as it was.
+    Chunks are proposed and aligned where their row is, ``window`` calls at a time in a task
+    and over the ends of rows; ``rate`` bounds the calls of all tasks. A chunk that
+    fails ``attempts`` times stays as it was.
     """
+    limit = rate.shared(docs) if rate else None
+
+    def proposed(chunk: str) -> str | None:
+        return project(chunk, completer(chunk))
 
     @F.pandas_udf("struct<text:string,good:int>")
     def completed(batch: pd.Series) -> pd.DataFrame:
+        rows = [list(chunks) if chunks is not None else [] for chunks in batch]
+        answers = in_flight((c for chunks in rows for c in chunks), proposed, window, attempts, limit)
         texts, good = [], []
-        for chunks in batch:
-            done, n = [], 0
-            for chunk in chunks if chunks is not None else ():
-                for _ in range(attempts):
-                    try:
-                        chunk = project(chunk, completer(chunk))
-                        n += 1
-                        break
-                    except Exception:  # noqa: BLE001, S112  a provider may fail in any way
-                        continue
-                done.append(chunk)
-            texts.append(" ".join(done))
-            good.append(n)
+        for chunks in rows:
+            done = [next(answers) for _ in chunks]
+            texts.append(" ".join(chunk if new is None else new for chunk, new in zip(chunks, done, strict=True)))
+            good.append(sum(new is not None for new in done))
         return pd.DataFrame({"text": texts, "good": good})
 
     lacking = T.needs_punctuation(text)
