@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quillsieve.functions import lexicons as L
@@ -15,7 +16,7 @@ from quillsieve.plans.registry import Registry, documents, table
 from quillsieve.plans.text_queries import _FOLDED, _SOUND, FILLERS_SQL, SPACE_SQL, WORDS_SQL, digest
 from quillsieve.sources import tables
 from quillsieve.sources.config import CurationConfig, shared_dir
-from quillsieve.streaming import state
+from quillsieve.streaming import blacklist, runs, state
 
 query = Registry()
 
@@ -385,32 +386,87 @@ def g14_playlists_by_url(spark, sf_dir):
 
 @query("select event_id, event_type from events where event_type <> 'error'")
 def st4_st7_resumed_run(spark, sf_dir):
-    """A run over files that ends, and a second one that goes on from its checkpoint: every row is handled once."""
+    """A run over files that ends, a second one that dies between its write and Spark's commit, and a third that repeats that batch: every row is kept once."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
     source, out, mark = _folder(spark), _folder(spark), _folder(spark)
+    write = runs.once(out, "resumed", lambda batch: batch.where("event_type <> 'error'"))
 
-    def write(batch, batch_id: int) -> None:
-        batch.where("event_type <> 'error'").write.mode("append").parquet(out)
+    def dies(batch, batch_id: int) -> None:
+        write(batch, batch_id)
+        raise InterruptedError("killed before the commit")
 
-    for part in (0, 1):
-        events.where(F.pmod("event_id", F.lit(2)) == part).write.mode("append").parquet(source)
+    for part, sink in enumerate((write, dies, write)):
+        if part < 2:
+            events.where(F.pmod("event_id", F.lit(2)) == part).write.mode("append").parquet(source)
         stream = spark.readStream.schema(events.schema).parquet(source)
-        state.run_available(stream, write, mark).awaitTermination()
-    return spark.read.schema(events.schema).parquet(out)
+        try:
+            state.run_available(stream, sink, mark).awaitTermination()
+        except StreamingQueryException:
+            if sink is not dies:
+                raise
+    return runs.committed(spark, out, events.schema)
 
 
-@query("select count(*)::bigint as handled from region where r_regionkey <= 2")
+@query("select o_orderkey as order_id, o_orderdate as updated_at, o_orderkey % 97 <> 5 as ok, case when o_orderkey % 97 <> 5 then o_totalprice end as price from orders")
+def st7_marked_backfill(spark, sf_dir):
+    """All orders by date and key, a third of them a step, each step from the mark that the one before left; what fails is kept as such."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("updated_at"), F.col("o_totalprice").alias("price"))
+    done = lambda step: step.where("order_id % 97 <> 5").select("order_id", F.lit(True).alias("ok"), "price")
+    fill = runs.Backfill(spark, _folder(spark), "orders", done, key="order_id", limit=orders.count() // 3 + 1)
+    while fill.step(orders).taken:
+        pass
+    return fill.results().select("order_id", "updated_at", "ok", "price")
+
+
+@query("""
+    select distinct o_custkey as playlist_id from orders where o_orderstatus = 'P'
+      and o_custkey not in (select user_id from events where event_type = 'view' and ts + interval 2 day > timestamp '2024-01-20') order by 1
+""")
+def st5_unclaimed_runs(spark, sf_dir):
+    """Interrupted runs that a restart may take up: no worker has a claim on them that has not run out."""
+    started = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("playlist_id"), F.lit("PROCESSING").alias("status")).distinct()
+    claims = table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("playlist_id"), (F.col("ts") + F.expr("interval 2 days")).alias("expires_at"))
+    return runs.unclaimed(started, claims, F.lit("2024-01-20").cast("timestamp_ntz"), "playlist_id").select("playlist_id")
+
+
+@query("""
+    with a as (select user_id as token, ts as at, ts + interval 30 minute as expires_at, event_type as reason from events where event_type in ('purchase', 'error')),
+    q as (select event_id, user_id as token, ts as at from events where event_type not in ('purchase', 'error'))
+    select q.token::varchar as token, q.at, coalesce(a.expires_at >= q.at, false) as blacklisted, case when a.expires_at >= q.at then a.reason end as reason from q asof left join a on q.token = a.token and q.at >= a.at
+""")
+def st1_token_answers(spark, sf_dir):
+    """Each user's look-ups, answered from keyed state of a stream whose entries expire after half an hour."""
+    rows = table(spark, sf_dir, "events")
+    adds = F.col("event_type").isin("purchase", "error")
+    at = F.col("ts").cast("timestamp")
+    entry = F.when(adds, at + F.expr("interval 30 minutes"))
+    events = rows.select(F.col("user_id").cast("string").alias("token"), F.when(adds, "add").otherwise("ask").alias("kind"), at.alias("at"), F.lit("u").alias("user_id"), entry.alias("expires_at"), F.when(adds, F.col("event_type")).alias("reason"))
+    source, out, mark = _folder(spark), _folder(spark), _folder(spark)
+    events.write.parquet(source)
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        answers = blacklist.token_answers(spark.readStream.schema(events.schema).parquet(source))
+        state.run_available(answers, runs.once(out, "answers"), mark).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+    found = runs.committed(spark, out, blacklist.ANSWERS).where("kind = 'answer'")
+    return found.select("token", F.col("at").cast("timestamp_ntz").alias("at"), "blacklisted", "reason")
+
+
+@query("select r_regionkey from region")
 def st6_paced_run(spark, sf_dir):
-    """One file a batch at a fixed pace; the run stops by itself after the batch that met a rate limit."""
+    """One file a batch at a fixed pace; the run stops after each batch that met a rate limit, and the next call goes on with the batch after it."""
     rows = table(spark, sf_dir, "region").select("r_regionkey")
     source, out, mark = _folder(spark), _folder(spark), _folder(spark)
-    for r in sorted(x.r_regionkey for x in rows.collect()):  # five regions
-        rows.where(F.col("r_regionkey") == r).coalesce(1).write.mode("append").parquet(source)
+    rows.repartition(5, "r_regionkey").write.option("maxRecordsPerFile", 1).parquet(source)
 
     def write(batch, batch_id: int) -> bool:
-        batch.write.mode("append").parquet(out)
-        return bool(batch.where("r_regionkey = 2").limit(1).count())
-
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    state.run_paced(stream, write, mark, "100 milliseconds")
-    return spark.read.schema(rows.schema).parquet(out).agg(F.count("*").alias("handled"))
+        runs.commit_once(batch, out, "paced", batch_id)
+        return bool(batch.where("r_regionkey in (1, 2)").limit(1).count())
+
+    stopped = True
+    while stopped:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stopped = state.run_paced(stream, write, mark, every=0.1)
+    return runs.committed(spark, out, rows.schema)
