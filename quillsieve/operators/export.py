@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsieve.functions.text import blank_to_null
+from quillsieve.sources.dataset_files import DatasetSink
 
 # The fields of a dataset record in their order, those that are texts, and the MIME types.
 FIELDS = """
@@ -141,7 +142,7 @@ _RECORD = {"json": record_json, "csv": record_csv, "txt": record_txt, "md": reco
 _BETWEEN = {"json": ",\n", "csv": "\n", "txt": "\n\n", "md": "\n\n", "xml": "\n"}
 
 
-def envelope(fmt: str, stage: str, n: int) -> tuple[str, str]:
+def envelope(fmt: str, stage: str, n: int | str) -> tuple[str, str]:
     """What stands before the first and after the last record."""
     if fmt == "json":
         return ("[\n", "\n]") if n else ("[", "]")
@@ -161,8 +162,23 @@ def serialize(df: DataFrame, fmt: str, order: list[str]) -> DataFrame:
     return df.select(*order, _RECORD[fmt](df).alias("record")).orderBy(*order)
 
 
-def write_dataset(df: DataFrame, fmt: str, stage: str, order: list[str], path: str) -> dict[str, str]:
-    """Writes a folder of text parts; returns the envelope, separator and MIME type that join them to one file."""
-    serialize(df, fmt, order).select("record").write.option("lineSep", _BETWEEN[fmt]).text(path)
-    head, tail = envelope(fmt, stage, df.count())
-    return {"head": head, "tail": tail, "between": _BETWEEN[fmt], "mime_type": MIME_TYPES[fmt]}
+def write_dataset(df: DataFrame, fmt: str, stage: str, order: list[str], path: str, overwrite: bool = False) -> str:
+    """Writes a folder whose files, joined in the order of their names, are the whole dataset; returns its MIME type.
+
+    The plan runs once: the number of records comes with the tasks' commits. An empty table gives a valid file too, and a
+    job that fails leaves no file.
+    """
+    spark = df.sparkSession
+    spark.dataSource.register(DatasetSink)
+    options = {"path": path, "between": _BETWEEN[fmt]}
+    for name, n in (("", "{n}"), ("_empty", 0)):
+        options[f"head{name}"], options[f"tail{name}"] = envelope(fmt, stage, n)
+    rows = serialize(df, fmt, order).select("record")
+    rows.write.format(DatasetSink.name()).mode("overwrite" if overwrite else "append").options(**options).save()
+    return MIME_TYPES[fmt]
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """The written files as (name, text), for checks of small datasets; a reader of a large one joins the files themselves."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), F.decode("content", "UTF-8").alias("text"))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.functions import lexicons as L
 from quillsieve.functions import metrics as M
 from quillsieve.functions import text as T
-from quillsieve.operators import clean, curation, dedup, evaluate, export, playlists, punctuation
+from quillsieve.operators import clean, curation, dedup, detect, evaluate, export, playlists, punctuation
 from quillsieve.plans.registry import Registry, documents, table
 from quillsieve.plans.text_queries import _FOLDED, _SOUND, FILLERS_SQL, SPACE_SQL, WORDS_SQL, digest
-from quillsieve.sources import tables
+from quillsieve.sources import listings, tables
 from quillsieve.sources.config import CurationConfig, shared_dir
 from quillsieve.streaming import blacklist, runs, state
 
@@ -44,6 +46,33 @@ def s2_fetched_captions(spark, sf_dir):
     return tables.fetch_captions(wanted, tracks)
 
 
+def _caption(video: str) -> dict | None:
+    """A stand-in for a caption service: one id in ten has none, another fails."""
+    if video.endswith("8"):
+        raise ConnectionError("no answer")
+    return None if video.endswith("7") else {"language_code": "en", "raw_text": video.upper()}
+
+
+@query("""
+    with v as (select s_suppkey, case when s_suppkey % 10 = 0 then 'short' else 'video-' || lpad(s_suppkey::varchar, 6, '0') end as v from supplier)
+    select s_suppkey, s_suppkey % 10 not in (0, 7, 8) as success, case when s_suppkey % 10 not in (0, 7, 8) then 'en' end as language_code, case when s_suppkey % 10 not in (0, 7, 8) then upper(v) end as raw_text,
+      case s_suppkey % 10 when 0 then 'invalid_video_id' when 7 then 'no_transcript' when 8 then 'api_error' end as error_type from v
+""")
+def s2_captions_in_flight(spark, sf_dir):
+    """Captions asked of a service from the tasks, six calls at a time, with what is missing or fails."""
+    video = F.when(F.col("s_suppkey") % 10 == 0, "short").otherwise(F.concat(F.lit("video-"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")))
+    return listings.fetched_captions(table(spark, sf_dir, "supplier").select("s_suppkey", video.alias("video_id")), _caption).drop("video_id")
+
+
+@query()
+def t6_profile_language(spark, sf_dir):
+    """Languages of all documents by profiles of those whose id is not 1 modulo 3."""
+    docs = documents(spark, sf_dir)
+    profiles = detect.fit_profiles(docs.where("doc_id % 3 <> 1"))
+    found = detect.detected_language("text", T.normalize_language("lang"), profiles)
+    return docs.select("doc_id", found.alias("d")).select("doc_id", "d.language", F.round("d.chance", 6).alias("chance"))
+
+
 @query("select conv_id, list(distinct role order by role)::varchar as ids from conversations where role <> 'system' group by conv_id")
 def s4_playlist_ids(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("role <> 'system'")
@@ -83,21 +112,25 @@ _MIMES = "[('json', 'application/json;charset=utf-8'), ('csv', 'text/csv;charset
 
 
 @query(f"""
-    with f as (select unnest({_MIMES}) as f), n as (select count(*) as n from nation)
-    select f[1] as format, f[2] as mime_type, n::bigint as records, case f[1] when 'json' then '[' when 'csv' then 'id,title,youtubeId' when 'txt' then '# dataset: raw' when 'md' then '# Dataset' else '<?xml version="1.0" encoding="UTF-8"?>' end as head from f, n
+    with f as (select unnest({_MIMES}) as f), n as (select count(*) as n from customer)
+    select f[1] as format, f[2] as mime_type, n::bigint as records, case f[1] when 'json' then '[' when 'csv' then 'id,title,youtubeId' when 'txt' then '# dataset: raw' when 'md' then '# Dataset' else '<?xml version="1.0" encoding="UTF-8"?>' end as head,
+      case f[1] when 'json' then ']' when 'xml' then '</dataset>' when 'txt' then '<<<END>>>' else '' end as last from f, n
 """)
 def k6_p4_g18_datasets_by_format(spark, sf_dir):
-    """Each format's writer by name, with its MIME type, the records in its files and the begin of its envelope."""
+    """Each format's files by name, with the MIME type, the records found in them, and how the first begins and the last ends."""
     export.check_scope("playlist", playlist_id="p")
     none = {f: F.lit(None).cast("string") for f in export.FIELDS}
-    rows = table(spark, sf_dir, "nation").select(*[(none | {"id": F.col("n_nationkey").cast("string"), "text": F.col("n_name")})[f].alias(f) for f in export.FIELDS])
-    found = []
-    for fmt in export.MIME_TYPES:
+    rows = table(spark, sf_dir, "customer").select(*[(none | {"id": F.col("c_custkey").cast("string"), "text": F.col("c_name")})[f].alias(f) for f in export.FIELDS])
+    made = []
+    for fmt in export.MIME_TYPES:  # five formats
         path = _folder(spark)
-        made = export.write_dataset(rows, fmt, "raw", ["id"], path)
-        n = spark.read.text(path).where(F.col("value").rlike(_BEGINS[fmt])).count()
-        found.append((fmt, made["mime_type"], n, made["head"].split("\n")[0][:38] if fmt != "csv" else made["head"][:18]))
-    return spark.createDataFrame(found, "format string, mime_type string, records long, head string")
+        mime = export.write_dataset(rows, fmt, "raw", ["id"], path)
+        lines = export.read_dataset(spark, path).select("name", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+        begun, cut = F.min_by("line", F.struct("name", "at")), {"csv": 18}.get(fmt, 38)
+        ended = F.max_by("line", F.when(F.col("line") != "", F.struct("name", "at")))
+        last = F.when(F.lit(fmt in ("json", "xml", "txt")), ended).otherwise("")
+        made.append(lines.agg(F.lit(fmt).alias("format"), F.lit(mime).alias("mime_type"), F.count_if(F.col("line").rlike(_BEGINS[fmt])).alias("records"), F.substring(begun, 1, cut).alias("head"), last.alias("last")))
+    return functools.reduce(DataFrame.unionByName, made)
 
 
 # predicates and payloads

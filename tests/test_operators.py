@@ -180,10 +180,6 @@ def test_formats(spark, tmp_path):
     assert one["txt"].endswith("text<<<\na\n\\>>>\nb\n>>>\n<<<END>>>") and "title: say \"hi\" next" in one["txt"]
     assert 'title: "say \\"hi\\" next"' in one["md"] and "mattrScore: null" in one["md"]
     assert "<curationRationale>it&apos;s &lt;ok&gt; &amp;</curationRationale>" in one["xml"]
-    info = export.write_dataset(df, "json", "processed", ["id"], f"{tmp_path}/out")
-    body = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
-    whole = info["head"] + body.removesuffix(info["between"]) + info["tail"]
-    assert json.loads(whole)[0]["text"] == "a\n>>>\nb"
     assert export.envelope("txt", "raw", 0) == ("# dataset: raw\n# records: 0", "")
     with pytest.raises(ValueError):
         export.serialize(df, "pdf", ["id"])
