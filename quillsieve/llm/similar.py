@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm.common import checkpointed, discard, materialised, release_shuffles, text_bytes
@@ -29,31 +29,40 @@ def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a:b], seed) for a, b in spans), np.uint64, many))
 
 
-def _frequent(docs: DataFrame, words: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample hold, sorted, and how many do."""
+_BUCKETS = 1 << 20
+_PIECE = 1 << 16
+
+
+def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
+    """How often the shingles of all texts (id, raw) fall in each of ``_BUCKETS`` buckets: a table of fixed size from every task, summed in pieces on Spark."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(_BUCKETS, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                grams, n = np.unique(np.concatenate([shingles(x.as_py(), words) for x in batch.column(1)[k : k + 500]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
-
-    share = min(1.0, sample / max(docs.count(), 1))
-    drawn = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    counts = drawn.mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    got = counts.orderBy(F.desc("n"), "gram").limit(most).toArrow()
-    grams = got.column("gram").to_numpy().view(np.uint64)
-    order = np.argsort(grams)
-    return grams[order], got.column("n").to_numpy()[order]
-
-
-def prefix(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first shingles in one order of all (rare ones of the sample first): texts of ``similarity`` share one of these."""
-    known, times = frequent
-    n = np.zeros(len(grams), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        n = np.where(known[at] == grams, times[at], 0)
+                grams = np.concatenate([shingles(x.as_py(), words) for x in batch.column(1)[k : k + 500]])
+                np.add.at(held, (grams % np.uint64(_BUCKETS)).astype(np.int64), 1)
+        for k in range(0, _BUCKETS, _PIECE):
+            if held[k : k + _PIECE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([held[k : k + _PIECE].tobytes()], pa.binary())], ["at", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+        for at, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["at", "counts"])
+
+    found = np.zeros(_BUCKETS, np.int64)
+    for r in docs.mapInArrow(counted, "at int, counts binary").repartition("at").mapInArrow(summed, "at int, counts binary").collect():
+        found[r["at"] : r["at"] + _PIECE] = np.frombuffer(r["counts"], np.int64)
+    return found
+
+
+def prefix(grams: np.ndarray, sketch: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in one order of all (those of rare buckets first): texts of ``similarity`` share one of these."""
+    n = sketch[(grams % np.uint64(len(sketch))).astype(np.int64)]
     return grams[np.lexsort((grams, n))][: len(grams) - math.ceil(len(grams) * similarity - 1e-9) + 1]
 
 
@@ -79,8 +88,8 @@ def _alike(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, mos
 
 
 def similar_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, budget: int = 4, sample: int = 20_000, most: int = 200_000,
-    stars: int = 2, most_broadcast: int = 500_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, budget: int = 4, most_stars: int = 8,
+    most_pairs: int = 2, most_broadcast: int = 500_000,
 ) -> DataFrame:
     """``(node, root)`` of every id that is linked to another one; the root is the smallest id that links reach.
 
@@ -88,17 +97,20 @@ def similar_components(
     sets have a Jaccard similarity of ``similarity`` or more. The SimHash trie links texts
     whose fingerprints differ in ``budget`` bits at most, where their sets are that similar.
     Most pairs at the limit differ in more bits, so the others follow by shingles: each such
-    pair must share one of both prefixes. The order of shingles comes from a sample; it
-    moves frequent ones out of the prefixes and has no part in the result. Shingles that the
-    same texts share, as those of a quoted passage, count as one. Texts that share
-    one are first compared with one of them (``stars`` times with another), so that a large
-    group is linked by few pairs; then all pairs that are not connected yet. Null ids link
-    nothing; null, empty and blank texts are copies of each other; a text of fewer words is
-    one shingle. Ids of up to ``most_broadcast`` rows are broadcast, after a count.
+    pair must share one of both prefixes. The order of shingles comes from counts of the
+    whole corpus in a table of fixed size; it moves frequent ones out of the prefixes and has
+    no part in the result. Shingles that the same texts share, as those of a quoted passage,
+    count as one. While the texts that share one make more than ``most_pairs`` pairs for each
+    text, and the last turn connected half of these, all are compared with one of them, so
+    that a large group is linked by few pairs; then all pairs that are not connected yet.
+    No group of a shingle meets in one task: its rows are counted before they are dealt, and
+    joins split them. Null ids link nothing; null, empty and blank texts are copies of each
+    other; a text of fewer words is one shingle. Ids of up to ``most_broadcast`` rows are
+    broadcast, after a count. Ids must be whole numbers or texts of such; others raise.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("raw"))
-    frequent = spark.sparkContext.broadcast(_frequent(rows, words, sample, most))
+    frequent = spark.sparkContext.broadcast(shingle_sketch(rows, words))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,21 +144,25 @@ def similar_components(
     pairs = pairs.unionByName(same).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     links = links.unionByName(_alike(pairs, rows, words, similarity, most_broadcast))
 
-    # n and pos in one number: the rows that are dealt by probe are the widest step
-    probes = single.select("id", F.posexplode("probes").alias("pos", "probe"), "n").select("probe", "id", (F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("at"))
-    by_probe = Window.partitionBy("probe")
-    members = [F.sum(F.shiftright(F.xxhash64(F.lit(k), "id"), 31)).over(by_probe).alias(f"m{k}") for k in (0, 1)]
-    shared = probes.select("*", F.min("id").over(by_probe).alias("hub"), F.max("id").over(by_probe).alias("last"), *members).where("hub <> last")
-    pos = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")
-    shared = materialised(shared.select("probe", "id", F.shiftright("at", 32).cast("int").alias("n"), pos, "hub", "m0", "m1"))
+    probes = single.select("id", "n", F.posexplode("probes").alias("pos", "probe"))
+    members = [F.sum(F.shiftright(F.xxhash64(F.lit(k), "id"), 31)).alias(f"m{k}") for k in (0, 1)]
+    first = F.min(F.struct("id", "pos")).alias("first")
+    several = probes.groupBy("probe").agg(first, F.max("id").alias("last"), F.count("*").alias("many"), *members).where("first.id <> last")
     # of the probes that the same texts share, as those of a quoted passage, the first in the order stands for all
-    firsts = shared.where("id = hub").groupBy("hub", "m0", "m1").agg(F.min(F.struct("pos", "probe")).alias("f")).select("f.probe")
-    every, shared = shared, materialised(shared.join(checkpointed(firsts.distinct()), "probe", "left_semi").select("probe", "id", "n", "pos"))
-    discard(every)
+    alone = several.groupBy("first.id", "m0", "m1").agg(F.min(F.struct("first.pos", "probe", "many")).alias("p"))
+    alone = checkpointed(alone.select("p.probe", "p.many"))
+    pairs_left = alone.agg(F.sum(F.col("many").cast("double") * (F.col("many") - 1) / 2)).first()[0] or 0
+    alone = F.broadcast(alone.select("probe")) if alone.count() <= most_broadcast else alone.select("probe")
+    shared = materialised(probes.join(alone, "probe", "left_semi").select("probe", "id", "n", "pos"))
+    enough_pairs = most_pairs * max(single.count(), 1)
     discard(found)
     release_shuffles(spark)
     open_ = _still_open(shared, links)
-    for turn in range(stars):
+    for turn in range(most_stars):
+        sizes = open_.groupBy("probe").agg(F.count("*").cast("double").alias("many"))
+        before, pairs_left = pairs_left, sizes.agg(F.sum(F.col("many") * (F.col("many") - 1) / 2)).first()[0] or 0
+        if pairs_left <= enough_pairs or (turn and pairs_left > before / 2):
+            break
         hub = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "pos", "root")
         hubs = open_.groupBy("probe").agg(F.min(hub).alias("b")).select("probe", "b.*")
         pairs = open_.alias("a").join(hubs.alias("b"), "probe").where(_may_be_alike(similarity)).select(F.col("a.id").alias("id"), F.col("b.id").alias("hub"))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from quillsieve.llm.similar import similar_components
+from quillsieve.llm.similar import shingle_sketch, shingles, similar_components
 
 
 def plain_sets(text):
@@ -44,7 +44,7 @@ def texts():
     return [*rows, (300, None), (301, " \n"), (302, "a b"), (303, "A  b"), (304, "a c"), (None, rows[1][1]), (305, rows[1][1].upper())]
 
 
-@pytest.mark.parametrize("options", [{}, {"sample": 40, "most": 10, "stars": 0}])
+@pytest.mark.parametrize("options", [{}, {"most_stars": 0}, {"most_pairs": 0, "most_broadcast": 0}])
 def test_components_equal_all_pairs(spark, texts, options):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     want = plain_roots(texts)
@@ -53,6 +53,13 @@ def test_components_equal_all_pairs(spark, texts, options):
     assert similar_components(docs.limit(0)).count() == 0
 
 
+def test_sketch_counts_every_text(spark, texts):
+    rows = spark.createDataFrame([(i, (t or "").encode()) for i, t in texts], "id long, raw binary").repartition(4)
+    want = sum((list(shingles((t or "").encode())) for _, t in texts), [])
+    got = shingle_sketch(rows, 5)
+    assert got.sum() == len(want) and all(got[int(g) % len(got)] for g in want)
+
+
 def test_stage_drops_every_copy_of_similarity_08(spark):
     """Copies of Jaccard 0.8 to 0.9 mostly differ in more than 4 bits of SimHash."""
     rng = random.Random(12)
