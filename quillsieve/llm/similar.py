@@ -42,6 +42,7 @@ def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
             for k in range(0, batch.num_rows, 500):
                 grams = np.concatenate([shingles(x.as_py(), words) for x in batch.column(1)[k : k + 500]])
                 np.add.at(held, (grams % np.uint64(_BUCKETS)).astype(np.int64), 1)
+            pa.default_memory_pool().release_unused()
         for k in range(0, _BUCKETS, _PIECE):
             if held[k : k + _PIECE].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([held[k : k + _PIECE].tobytes()], pa.binary())], ["at", "counts"])
@@ -88,7 +89,7 @@ def _alike(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, mos
 
 
 def similar_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, budget: int = 4, most_stars: int = 8,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, budget: int = 4, most_stars: int = 12,
     most_pairs: int = 2, most_broadcast: int = 500_000,
 ) -> DataFrame:
     """``(node, root)`` of every id that is linked to another one; the root is the smallest id that links reach.
@@ -101,8 +102,8 @@ def similar_components(
     whole corpus in a table of fixed size; it moves frequent ones out of the prefixes and has
     no part in the result. Shingles that the same texts share, as those of a quoted passage,
     count as one. While the texts that share one make more than ``most_pairs`` pairs for each
-    text, and the last turn connected half of these, all are compared with one of them, so
-    that a large group is linked by few pairs; then all pairs that are not connected yet.
+    text, and turns still connect some, all are compared with one of them that has few rarer
+    shingles, so that a large group is linked by few pairs; then all pairs that are not connected yet.
     No group of a shingle meets in one task: its rows are counted before they are dealt, and
     joins split them. Null ids link nothing; null, empty and blank texts are copies of each
     other; a text of fewer words is one shingle. Ids of up to ``most_broadcast`` rows are
@@ -128,6 +129,7 @@ def similar_components(
                     [some.column(0), pa.array(copy, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(probes, pa.list_(pa.int64()))],
                     ["id", "copy", "fp", "n", "probes"],
                 )
+            pa.default_memory_pool().release_unused()
 
     found = materialised(rows.mapInArrow(prefixes, "id long, copy binary, fp long, n int, probes array<long>"))
     first = found.groupBy("copy").agg(F.min("id").alias("node"))
@@ -159,12 +161,15 @@ def similar_components(
     release_shuffles(spark)
     open_ = _still_open(shared, links)
     for turn in range(most_stars):
-        sizes = open_.groupBy("probe").agg(F.count("*").cast("double").alias("many"))
-        before, pairs_left = pairs_left, sizes.agg(F.sum(F.col("many") * (F.col("many") - 1) / 2)).first()[0] or 0
-        if pairs_left <= enough_pairs or (turn and pairs_left > before / 2):
+        parts = open_.where(_early(similarity)).groupBy("probe", "root").agg(F.count("*").cast("double").alias("m"))
+        apart = parts.groupBy("probe").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
+        before, pairs_left = pairs_left, apart.agg(F.sum("pairs")).first()[0] or 0
+        if pairs_left <= enough_pairs or (turn > 1 and pairs_left > 0.9 * before):
             break
-        hub = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "pos", "root")
-        hubs = open_.groupBy("probe").agg(F.min(hub).alias("b")).select("probe", "b.*")
+        # a text with few rarer shingles is close to most of its group; every turn looks in another quarter of them
+        turned = F.xxhash64(F.lit(turn), "id")
+        hub = F.struct((turned.bitwiseAND(F.lit(3)) != (0 if turn else -1)).alias("later"), "pos", turned.alias("h"), "id", "n", "root")
+        hubs = open_.groupBy("probe").agg(F.min(hub).alias("b")).select("probe", "b.id", "b.n", "b.pos", "b.root")
         pairs = open_.alias("a").join(hubs.alias("b"), "probe").where(_may_be_alike(similarity)).select(F.col("a.id").alias("id"), F.col("b.id").alias("hub"))
         pairs = pairs.select(F.least("id", "hub").alias("src"), F.greatest("id", "hub").alias("dst"))
         links = links.unionByName(_alike(pairs, rows, words, similarity, most_broadcast))
@@ -172,8 +177,10 @@ def similar_components(
         open_ = _still_open(shared, links)
         release_shuffles(spark)
     discard(shared)
-    pairs = open_.alias("a").join(open_.alias("b"), "probe").where((F.col("a.id") < F.col("b.id")) & _may_be_alike(similarity))
-    pairs = pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+    # the one of fewer shingles, by id if equal, stands first; it must share an early one
+    before = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
+    pairs = open_.where(_early(similarity)).alias("a").join(open_.alias("b"), "probe").where(before & _may_be_alike(similarity))
+    pairs = pairs.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"))
     last = _alike(pairs, rows, words, similarity, most_broadcast)
     discard(open_)
     return connected_components(links.unionByName(last))
@@ -187,6 +194,11 @@ def _still_open(shared: DataFrame, links: DataFrame) -> DataFrame:
     return materialised(rooted.join(still, "probe", "left_semi"))
 
 
+def _early(similarity: float) -> F.Column:
+    """Whether a shingle stands so early in a text's order that one of no fewer shingles can be similar and have it as the first that both share."""
+    return F.col("pos") <= (1 - similarity) / (1 + similarity) * F.col("n") + 1e-9
+
+
 def _may_be_alike(similarity: float) -> F.Column:
     """Whether a and b are not connected and their sizes, and what both have from a shared shingle on, allow that similarity.
 
