@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillsieve.functions import lexicons as L
+from quillsieve.functions import text as T
 from quillsieve.operators import curation, dedup, evaluate, export, outcomes, playlists
 from quillsieve.operators.punctuation import project, restore_punctuation, rule_completer, word_chunks
 from quillsieve.sources import tables
@@ -352,3 +353,11 @@ def test_streams_resume_and_expire(spark, tmp_path):
     assert tuple(state.blacklist_stats(rows, now).first()) == (2, 1, 1)
     once = state.tokens_stream(stream().withColumnRenamed("ts", "blacklisted_at"))
     state.run_available(once, lambda df, _: df.count(), f"{tmp_path}/cp3").awaitTermination()
+
+
+def test_ngrams_cut_a_text_once(spark):
+    rows = spark.createDataFrame([("a b c d",), ("a b",), ("",), (None,)], "text string")
+    found = rows.select(dedup.ngrams(T.lower_words("text")).alias("g"))
+    assert [r.g for r in found.collect()] == [["a b c", "b c d"], ["a", "b"], [], None]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
