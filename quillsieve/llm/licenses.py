@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,11 +46,11 @@ _COPYRIGHT_LINE = (
 _SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 #: A list mark such as 1. or (b), wherever it stands, as line ends don't count.
 _LIST_MARK = r"(^| )\(?[0-9a-z]{1,2}[.)]( |$)"
-_MARKS = r"[^\p{L}\p{N}]+"
 _TITLE = "^(?:the )?(?:" + "|".join(sorted(TITLES, key=lambda t: (-len(t), t))) + ")( |$)"
+_APART = r"[^\p{L}\p{N}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One after the other, what each pattern becomes; spaces are doubled so that each list mark has its own two.
-_STEPS = ((_COPYRIGHT_LINE, "\n"), (_SPACE, "  "), (_LIST_MARK, " "), (_MARKS, " "))
+_STEPS = ((_COPYRIGHT_LINE, "\n"), (_SPACE, "  "), (_LIST_MARK, " "), (_APART, " "))
 
 # Short licences of public use in full, without title and copyright line.
 _GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
@@ -102,12 +103,52 @@ KNOWN_DIGESTS: tuple[tuple[str, str], ...] = (
     ("LGPL-3.0", "1ac7e0cd0c7ebfa17768b6a458b0ea69f68c8871f6d49b752212f9fab17b136a"),
     ("MPL-1.1", "1ef22d19314f456d8db84e31fdae641014e0e3cea3ccb967f91d42aadcf37123"),
     ("MPL-2.0", "89813fb41c80fb575f61472b752d600b0a889098466ee4e7ffe3a3f2d5bd3695"),
+    # the same texts joined to one line, where notices inside are no lines of their own
+    ("Apache-2.0", "d9141e44669266bdd78bbfc82208c8c258059ea96c78e692ca48b7dd49d697a6"),
+    ("GFDL-1.2", "811e67a1c5f1677ff1e2cbef7290a703f8802007202ac844df643475b65bf541"),
+    ("GFDL-1.3", "fabd73b24d5bb479015ee8e685aa972f1527d3c6231f38ddfe6f978334cc824d"),
+    ("GPL-1.0", "4b868f9487ece89d587f6687d03da0a3ac461cea80ace517b847ba711015ec73"),
+    ("GPL-1.0", "92ca3acc2c0d5900604964460398bb690c392df3f3d3a55065f71aa9e4e3d1c5"),
+    ("GPL-1.0", "fb33e7b9d43e3c16100a2bec6db7c119200a234c7bbe0156c523ae8349b84191"),
+    ("GPL-2.0", "337e2434d5d89daada354559c4965bea586f45534eb6ee5cf978908ae759c160"),
+    ("GPL-2.0", "66ca62f13728ad6fc4c93362bcf2640c14dab0177ff274c8f5abacbdf586d05e"),
+    ("GPL-2.0", "ef082089dff28a4f29ceff824f8c5bd1ec2d666d6a049dfb01d173fea3cd4447"),
+    ("GPL-3.0", "a3534c34d00111ec747f0a3a7b3cd40bff04ff4bc4497aa3f8486bd4ba35282f"),
+    ("GPL-3.0", "fb61822e63097d0355c56ccfaec357daf86b1f5a85440776908e32340c74093d"),
+    ("GPL-3.0", "fee2393fa7972192c1d27f601a5ebe9c2fa81f991fe60042f1905bb178ffcc35"),
+    ("LGPL-2.0", "47b4a37933c0d1a84e76b7a1afc49c6ef7f97ea58dde2c45b1fc8293eee04481"),
+    ("LGPL-2.0", "57cf14a61edbd9cc42f0f5905686a007e0793930fe83c964162b1c2962bc3933"),
+    ("LGPL-2.0", "f59df7c49aa61b4825ef7eb340e87ffd91c049f8908c0a8d0bbdd4fa1c1da6d7"),
+    ("LGPL-2.1", "7751855912bf1457647820cad7218e5dc1cebb0bbc29e0d99698e3b9841b24b9"),
+    ("LGPL-2.1", "e15de6494eb86c862bf3fed00d3cffde0201694cfa0b3623926fa85c27a49061"),
+    ("LGPL-2.1", "e55106adc3a220b7ce4af61be3760a72e6d05160dfc2285f24c55a07e562fe87"),
+    ("LGPL-3.0", "2408da74cde6f739a071b49769e31ca16e59bf356ad46e543ee8cc537a27927b"),
 )
 
 
-def canonical(text: F.Column) -> F.Column:
-    """The canonical form: copyright lines out, A-Z in lower case, white space, list marks and punctuation as single spaces, equal spellings, no title."""
+def openings(known: tuple[tuple[str, str], ...], words: int = 5) -> tuple[str, ...]:
+    """The first words of every known text, in lower case with single spaces."""
+    found = {" ".join(re.findall(r"[^\W_]+", text.lower())[:words]) for _, text in known}
+    return tuple(sorted(found - {""}))
+
+
+def _head(openers: tuple[str, ...]) -> str:
+    """A leading notice of up to 400 characters, on one line or several, with or without a year, up to one of the opening words, which are group 1."""
+    loose = [("|".join(re.escape(t).replace(r"\ ", _APART) for t in some)) for some in (TITLES, openers)]
+    title = f"(?:(?:the{_APART})?(?:{loose[0]}){_APART})?"
+    return rf"(?s)^[^\p{{L}}\p{{N}}]*{title}(?:portions )?(?:copyright|copr|\(c\)|©).{{0,400}}?[^\p{{L}}\p{{N}}]((?:{loose[1]})(?:[^\p{{L}}\p{{N}}]|$))"
+
+
+def _firsts(openers: tuple[str, ...]) -> tuple[tuple[str, ...], ...]:
+    """What may follow a leading notice: the first words of a known text, else a title."""
+    return (openers, TITLES) if openers else ()
+
+
+def canonical(text: F.Column, openers: tuple[str, ...] = ()) -> F.Column:
+    """The canonical form: a leading notice before one of ``openers`` or a title and copyright lines out, A-Z in lower case, white space, list marks and punctuation as single spaces, equal spellings, no title."""
     text = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    for first in _firsts(openers):
+        text = F.regexp_replace(text, _head(first), "$1")
     for pattern, new in _STEPS:
         text = F.regexp_replace(text, pattern, new)
     for old, new in EQUIVALENT:
@@ -116,9 +157,11 @@ def canonical(text: F.Column) -> F.Column:
     return F.regexp_replace(text, _TITLE, "")
 
 
-def oracle_text(text: str) -> str:
+def oracle_text(text: str, openers: tuple[str, ...] = ()) -> str:
     """The same form as a DuckDB expression of an expression."""
     text = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
+    for first in _firsts(openers):
+        text = f"regexp_replace({text}, {_sql(_head(first))}, '\\1')"
     for pattern, new in _STEPS:
         text = f"regexp_replace({text}, {_sql(pattern)}, {'chr(10)' if new == chr(10) else _sql(new)}, 'g')"
     for old, new in EQUIVALENT:
@@ -146,13 +189,16 @@ def scan_licenses(
     """One row per document: id, ``digest`` of the canonical text and ``license_id`` or null.
 
     Only a whole text that equals a known one is a licence, whatever its line ends, title,
-    copyright lines, quotes and list marks are. Null and empty texts have the digest of an
+    copyright lines, quotes and list marks are. A notice that leads the text goes up to the
+    first words of a known text or else a title, also without a year, over several lines or on the text's own
+    line, if it has at most 400 characters; notices inside must be lines. Long licences are
+    known in lines and joined to one line. Null and empty texts have the digest of an
     empty text and no licence, as has a text of copyright lines alone. ``known`` gives
     licences as texts, ``digests`` as (id, digest). The registry is broadcast up to
     ``most_broadcast`` entries and joined by hash beyond that. Repeated rows keep a row each.
     """
     registry = known_digests(docs.sparkSession, known, digests)
-    rows = docs.select(F.col(id_col), F.sha2(canonical(F.col(text_col)).cast("binary"), 256).alias("digest"))
+    rows = docs.select(F.col(id_col), F.sha2(canonical(F.col(text_col), openings(known)).cast("binary"), 256).alias("digest"))
     registry = F.broadcast(registry) if len(known) + len(digests) <= most_broadcast else registry
     return rows.join(registry, F.col("digest") == F.col("known_digest"), "left").select(id_col, "digest", "license_id")
 
@@ -165,6 +211,6 @@ def oracle(docs: str = "documents") -> str:
         with texts(license_id, known_text) as (values {texts}),
         every(known_digest, license_id) as (select sha256({oracle_text('known_text')}), license_id from texts{given}),
         known as (select known_digest, min(license_id) as license_id from every group by known_digest),
-        digested as (select doc_id, sha256({oracle_text('text')}) as digest from {docs})
+        digested as (select doc_id, sha256({oracle_text('text', openings(KNOWN_LICENSES))}) as digest from {docs})
         select doc_id, digest, license_id from digested left join known on digest = known_digest
     """

@@ -34,6 +34,10 @@ def varied(name, text):
     yield f"{title}\n\nCopyright (c) 2020-2024 A. Holder <a@b.org>\nAll rights reserved.\n\n{text}"
     yield f"Copyright 1999 B\n  (c) 2021 C\n\u00a9 D\n\n{text}".replace('"', "\u201c").replace("'", "\u2019")
     yield "\n".join(f" * {line}" for line in f"Portions Copyright \u00a9 2001 E\n\n{text}".split("\n"))
+    yield f"{title}\n\nCopyright Foo Bar\n\n{text}"
+    yield f"Copyright (c) 2020 A. Holder and\n    others, see the list of authors <x@y.org>\n\n{text}" if len(text) < 3000 else text
+    yield " ".join(f"{title} Copyright (c) 2020 A. Holder. All rights reserved. {text}".split()) if len(text) < 3000 else text
+    yield " ".join(text.split())
     yield text.upper().replace(",", " ;").replace("SUBLICENSE", "sub-licence").replace("\n", "\r\n")
     yield text.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "- ") if "1. " in text and len(text) < 3000 else text
     for width in range(60, 101, 4):
@@ -83,6 +87,22 @@ def test_what_is_no_licence_or_another_one(spark, tmp_path):
     assert licenses.scan_licenses(docs, known=(), digests=(("own", hashlib.sha256(b"x").hexdigest()),)).where("license_id is not null").count() == 0
 
 
+def test_a_notice_is_short_and_leads(spark, tmp_path):
+    mit = dict(licenses.KNOWN_LICENSES)["MIT"]
+    rows = [
+        (1, f"Copyright Foo {mit}", "MIT"), (2, f"Copyright {'x ' * 300}{mit}", None), (3, f"Our terms. Copyright Foo {mit}", None),
+        (4, f"Copyright Foo {mit[10:]}", None), (5, "copyright permission is hereby granted", None), (6, f"Copyright Foo {mit}\n\nCopyright Bar", None),
+        (7, "copyright " * 50_000 + mit, None), (8, f"\n # The MIT License:\n # (c) Foo\n # {mit}", "MIT"), (9, "© 2020 Foo. Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0-notice"),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = [tuple(r) for r in licenses.scan_licenses(docs).collect()]
+    assert {k: name for k, _, name in got} == {k: name for k, _, name in rows}
+    docs.write.parquet(f"{tmp_path}/docs")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/docs/*.parquet'")
+    assert sorted(con.execute(licenses.oracle()).fetchall()) == sorted(got)
+
+
 def test_a_registry_of_ones_own(spark):
     docs = spark.createDataFrame([(1, "Use it,\n freely!"), (2, "use it")], "doc_id long, text string")
     got = licenses.scan_licenses(docs, known=(("own", "USE IT freely"),), digests=(("short", hashlib.sha256(b"use it").hexdigest()),))
