@@ -1,5 +1,8 @@
 import random
+import tracemalloc
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillsieve.llm.contamination import ItemIndex, Walks, cut_item, edited, find_leaks, gram_size, least_edits, normalised, walks_for
@@ -82,6 +85,38 @@ def test_templates_of_many_items():
         assert (k in [x["item_id"] for x in index.leaks([doc])[0]]) == (plain_distance(items[k], doc) <= budget)  # white space that edits leave may cost more
 
 
+@pytest.mark.parametrize("most", [1, 7, 1 << 19])
+def test_hits_by_diagonal_equal_a_plain_count(most):
+    """Counts of (text, item, diagonal), whatever the size of the pieces."""
+    rng = random.Random(13)
+    index = ItemIndex([1, 2], ["ha ha ha", "ah ah"])
+    item_of, offset_of = np.array([0, 0, 1, 0, 1]), np.array([0, 3, 0, 6, 2])
+    runs = [(0, 3), (3, 1), (4, 1), (1, 4)]
+    for _ in range(20):
+        places = sorted((rng.randrange(3), rng.randrange(50), rng.choice(runs)) for _ in range(rng.randint(1, 40)))
+        doc, at = (np.array([p[k] for p in places]) for k in (0, 1))
+        lo, n = (np.array([p[2][k] for p in places]) for k in (0, 1))
+        want = Counter((d * 2 + int(item_of[j])) * 100 + a - int(offset_of[j]) + index.longest for d, a, (f, m) in places for j in range(f, f + m))
+        keys, hits = index._diagonals(at, doc, lo, n, item_of, offset_of, 100, most)
+        assert dict(zip(keys.tolist(), hits.tolist(), strict=True)) == want and keys.tolist() == sorted(want)
+
+
+def test_chants_take_bounded_memory():
+    """40 million pairs of equal runs; the memory follows the diagonals."""
+    index = ItemIndex([1, 2], [normalised("ha " * 660), normalised("la la " * 10 + TEXT)])
+    tracemalloc.start()
+    got = index.leaks([normalised("ha " * 20_000 + TEXT), normalised("hu " * 2000)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [[(x["item_id"], x["distance"]) for x in g] for g in got] == [[(1, 0)], []]
+    assert peak < 200_000_000
+
+
+def test_a_target_beyond_the_walks_is_reported():
+    with pytest.warns(UserWarning, match="less than the target"):
+        assert walks_for([TEXT * 3], 0.9, 1.0, 2.0) == 32
+
+
 def test_keys_do_not_depend_on_the_other_windows():
     own = Walks(4)
     windows = [("abcdefgh ijk" * 5, 40), ("x", 7), (TEXT, 90)]
