@@ -118,28 +118,46 @@ def test_cross_entropy_difference_equals_a_plain_model(spark, options):
     targets = spark.createDataFrame([(1, "x"), (6, "y"), (6, "z"), (None, "n")], "doc_id long, text string")
     every = [(i, words_of((t or "").encode())) for i, t in [*texts.items(), (6, texts[6]), (None, "dog")]]
     size = len({w for _, ws in every for w in ws}) + 1
-    pairs, words = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
-    for i, ws in every:
-        for kind in (False, True):
-            if ws and (not kind or i in (1, 6)):
-                pairs[kind].update(zip([b"", *ws], [*ws, b""], strict=True))
-                words[kind].update([*ws, b""])
-
-    def p(kind, u, v):
-        return (pairs[kind][u, v] + 50 * (words[kind][v] + 1) / (words[kind].total() + size)) / (words[kind][u] + 50)
+    raw = [*texts.values(), texts[6], "dog"]
+
+    def models(text):
+        """Pairs, words and the weight of both models, counted without the rows of ``text``."""
+        pairs, words = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
+        for (i, ws), other in zip(every, raw, strict=True):
+            for kind in (False, True):
+                if ws and other != text and (not kind or i in (1, 6)):
+                    pairs[kind].update(zip([b"", *ws], [*ws, b""], strict=True))
+                    words[kind].update([*ws, b""])
+        return pairs, words, {True: 1, False: words[True].total() / words[False].total()}
+
+    def p(model, kind, u, v):
+        pairs, words, weight = model
+        w = weight[kind]
+        return (w * pairs[kind][u, v] + 50 * (w * words[kind][v] + 1) / (words[True].total() + size)) / (w * words[kind][u] + 50)
 
     want = sorted(
-        (i or 0, len(ws), *(-sum(math.log(p(k, u, v)) for u, v in zip([b"", *ws], [*ws, b""], strict=True)) / (len(ws) + 1) for k in (True, False)))
-        for i, ws in every
+        (i or 0, len(ws), *(-sum(math.log(p(models(text), k, u, v)) for u, v in zip([b"", *ws], [*ws, b""], strict=True)) / (len(ws) + 1) for k in (True, False)))
+        for (i, ws), text in zip(every, raw, strict=True)
         if ws
     )
     found = cross_entropy_difference(docs, targets, **options)
     got = sorted((r.doc_id or 0, r.n_tokens, r.target_loss, r.background_loss) for r in found.collect() if r.n_tokens)
     assert np.allclose(got, want)
-    assert math.isclose(sum(p(True, b"the", v) for v in {w for _, ws in every for w in ws} | {b""}), 1)
+    assert all(math.isclose(sum(p(models("a dog ran"), k, b"the", v) for v in {w for _, ws in every for w in ws} | {b""}), 1) for k in (True, False))
     assert cross_entropy_difference(docs.limit(0), targets.limit(0), **options).count() == 0
     blank = {r.doc_id: (r.n_tokens, r.score) for r in cross_entropy_difference(docs, targets.limit(0), **options).collect()}
-    assert blank[3] == blank[4] == blank[7] == (0, None) and blank[1][1] is not None
+    assert blank[3] == blank[4] == blank[7] == (0, None) and blank[1][1] == 0
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_a_targets_copy_scores_like_its_unlabelled_twin(spark, most):
+    texts = ["red green blue", "red green blue", "red green grey", "one two three", "one two three four", "red green blue"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    targets = spark.createDataFrame([(0,), (2,)], "doc_id long")
+    got = {r.doc_id: r.score for r in cross_entropy_difference(docs, targets, most_broadcast=most).collect()}
+    assert got[0] == got[1] == got[5] and got[0] < got[3] < got[4] + 1
+    alone = cross_entropy_difference(docs.where("doc_id = 3"), docs.where("doc_id = 3"), most_broadcast=most).first()
+    assert alone.score == 0 and math.isclose(alone.target_loss, math.log(4))
 
 
 def test_planes_are_packed_and_unpacked():
