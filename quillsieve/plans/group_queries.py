@@ -137,7 +137,18 @@ def a11_x7_chunk_aggregates(spark, sf_dir):
     return got.select("l_orderkey", "coherence", "richness", "factuality", "overall", "chunk_count", "rationale", "provider")
 
 
-@query()
+@query(rf"""
+    with t as (select doc_id, nullif(regexp_replace(text, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g'), '') as text from documents),
+    s as (select doc_id, text, list_reduce(list_transform({_SPLIT_SQL}, lambda x: {{'done': []::varchar[], 'open': '', 's': x}}),
+      lambda a, b: case when len(case when a.open = '' then b.s else a.open || ' ' || b.s end) <= 600 then {{'done': a.done, 'open': case when a.open = '' then b.s else a.open || ' ' || b.s end, 's': ''}}
+        when len(b.s) > 600 then {{'done': list_concat(case when a.open = '' then a.done else list_append(a.done, a.open) end,
+          list_filter(list_transform(range(0, len(b.s), 600), lambda k: trim(substring(b.s, k + 1, 600), ' ')), lambda x: x <> '')), 'open': '', 's': ''}}
+        else {{'done': case when a.open = '' then a.done else list_append(a.done, a.open) end, 'open': b.s, 's': ''}} end,
+      {{'done': []::varchar[], 'open': '', 's': ''}}) as f from t),
+    c as (select doc_id, case when text is null then []::varchar[] when len(text) <= 600 then [text] when f.open = '' then f.done else list_append(f.done, f.open) end as c from s),
+    k as (select doc_id, c, case when len(c) <= 10 then c else list_transform(range(0, 10), lambda i: c[round_even(i * (len(c) - 1) / 9.0::double, 0)::bigint + 1]) end as chosen from c)
+    select doc_id, len(c)::int as chunks, len(chosen)::int as chosen, sha256(array_to_string(chosen, chr(10))) as chosen_sha from k
+""")
 def x1_x2_w6_chunks(spark, sf_dir):
     chunks = curation.split_chunks("text", 600)
     rows = documents(spark, sf_dir).select("doc_id", chunks.alias("c")).withColumn("chosen", curation.select_chunks("c"))

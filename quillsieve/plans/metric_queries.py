@@ -54,7 +54,18 @@ def m12_analyze_documents(spark, sf_dir):
     return clean.analyze(rows, "cut", reference="text").select(*columns.split())
 
 
-@query()
+@query(f"""
+    with w as (select doc_id, list_transform({WORDS_SQL}, lambda x: lower(x)) as w from documents),
+    d as (select doc_id, w from w union all select doc_id, list_reverse(w) as w from w),
+    s as (select doc_id, len(w) as k, list_reduce(list_transform(w, lambda x: {{'w': x, 'seen': []::varchar[], 'n': 0::int, 'f': 0.0::double}}),
+      lambda a, b: case when len(a.seen) + case when list_contains(a.seen, b.w) then 0 else 1 end <= 0.72::double * (a.n + 1) then {{'w': b.w, 'seen': []::varchar[], 'n': 0::int, 'f': (a.f + 1)::double}}
+        when list_contains(a.seen, b.w) then {{'w': b.w, 'seen': a.seen, 'n': (a.n + 1)::int, 'f': a.f}}
+        else {{'w': b.w, 'seen': list_append(a.seen, b.w), 'n': (a.n + 1)::int, 'f': a.f}} end,
+      {{'w': '', 'seen': []::varchar[], 'n': 0::int, 'f': 0.0::double}}) as s from d),
+    f as (select doc_id, k, s.f + case when s.n > 0 and len(s.seen) < s.n then (1 - len(s.seen)::double / s.n) / (1 - 0.72::double) else 0 end as f from s),
+    m as (select doc_id, max(k) as k, sum(case when f > 0 then k / f else k end) / 2 as mtld from f group by doc_id)
+    select doc_id, case when k >= 10 then round(mtld, 4) end as mtld from m
+""")
 def m1_m2_mtld(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.round(M.mtld(T.words("text")), 4).alias("mtld"))
 

@@ -123,7 +123,23 @@ def t10_t11_t12_fillers(spark, sf_dir):
     return rows.select("doc_id", T.filler_count("w", "lang").cast("long").alias("fillers"), digest(T.remove_fillers("text", "lang")).alias("text_sha"))
 
 
-@query()
+@query(rf"""
+    with s as (select doc_id, text, regexp_replace(regexp_replace(text, '{SPACE_SQL}+', ' ', 'g'), '^ | $', '', 'g') as spaced from documents),
+    k as (select doc_id, unnest(p) as w, generate_subscripts(p, 1)::bigint as i from (select doc_id, string_split(spaced, ' ') as p from s)),
+    e as (select *, regexp_matches(w, '[.!?]["''”’)\]]*$') as c1, lower(w) = lead(lower(w), 1) over d as e1, lower(w) = lead(lower(w), 2) over d as e2, lower(w) = lead(lower(w), 3) over d as e3
+      from k window d as (partition by doc_id order by i)),
+    r as (select doc_id, i, c1, c1 or coalesce(lead(c1, 1) over d, true) as c2, c1 or coalesce(lead(c1, 1) over d, true) or coalesce(lead(c1, 2) over d, true) as c3,
+      (min(case when not coalesce(e1, false) then i end) over f - i) as r1, (min(case when not coalesce(e2, false) then i end) over f - i) // 2 as r2, (min(case when not coalesce(e3, false) then i end) over f - i) // 3 as r3
+      from e window d as (partition by doc_id order by i), f as (partition by doc_id order by i rows between current row and unbounded following)),
+    n as (select doc_id, i, case when r3 > 0 and not c3 then 3 when r2 > 0 and not c2 then 2 when r1 > 0 and not c1 then 1 else 0 end as n, r1, r2, r3 from r),
+    b as (select doc_id, {{'i': i, 'own': i + n, 'stop': i + n * (1 + case n when 3 then r3 when 2 then r2 else r1 end), 'gone': []::bigint[]}} as b from n where n > 0),
+    g as (select doc_id, list_reduce(list(b order by b.i), lambda x, y: case when y.i < x.stop then x else {{'i': y.i, 'own': y.own, 'stop': y.stop, 'gone': list_concat(x.gone, range(y.own, y.stop))}} end,
+      {{'i': 0::bigint, 'own': 0::bigint, 'stop': 0::bigint, 'gone': []::bigint[]}}) as g from b group by doc_id),
+    o as (select doc_id, unnest(g.gone) as i from g),
+    f as (select doc_id, string_agg(w, ' ' order by i) as folded, count(*) as kept from k anti join o using (doc_id, i) group by doc_id),
+    a as (select doc_id, count(*) as tokens from k group by doc_id)
+    select doc_id, (tokens - kept)::bigint as removed, sha256(case when spaced = '' then text else folded end) as text_sha from s join f using (doc_id) join a using (doc_id)
+""")
 def t13_collapse_repetitions(spark, sf_dir):
     text, removed = T.collapse_repetitions("text")
     return documents(spark, sf_dir).select("doc_id", removed.cast("long").alias("removed"), digest(text).alias("text_sha"))
@@ -145,7 +161,31 @@ def t14_t15_t16_orphan_commas(spark, sf_dir):
     return rows.select("doc_id", T.residual_commas("text").cast("long").alias("residual"), digest(T.strip_orphan_commas("text")).alias("text_sha"))
 
 
-@query()
+_STEPS_SQL = (
+    (r"\.{2,}", "..."),
+    (r"[ \t]+", " "),
+    (rf"([.!?]){SPACE_SQL}+[.!?]+({SPACE_SQL}|$)", r"\1\2"),
+    (r"\n{3,}", "\n\n"),
+    (rf"{SPACE_SQL}+([,.;:!?])", r"\1"),
+    (rf"([.!?])([^\d{SPACE_SQL[1:-1]}])", r"\1 \2"),
+    (rf"^{SPACE_SQL}+|{SPACE_SQL}+$", ""),
+    (rf"([.!?]+){SPACE_SQL}+", "\x01\\1\x01"),
+)
+
+
+def _steps_sql(text: str) -> str:
+    for pattern, new in _STEPS_SQL:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+@query(rf"""
+    with t as (select doc_id, string_split({_steps_sql("replace(text, chr(160), ' ')")}, chr(1)) as p from documents),
+    c as (select doc_id, list_filter(list_transform(list_transform(p, lambda x, i: case when i % 2 = 1 then regexp_replace(x, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g') else x end),
+      lambda x, i: case when i % 2 = 1 then upper(x[1]) || x[2:] else x end), lambda x: x <> '') as p from t),
+    g as (select doc_id, array_to_string(list_transform(p, lambda x, i: case when i = 1 or regexp_full_match(x, '[.!?]+') then x else ' ' || x end), '') as t from c)
+    select doc_id, sha256(case when t = '' or regexp_matches(t, '[.!?]$') then t else t || '.' end) as text_sha from g
+""")
 def t17_normalize_sentences(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", digest(T.normalize_sentences("text")).alias("text_sha"))
 

@@ -46,6 +46,25 @@ def test_query(spark, duck, sf_dir, name):
     assert got == want
 
 
+HARD = [
+    "a a a b", "the cat the cat the cat sat", "go on now go on now. Go Go", "no. no. no", "x y z x y z x y z x", "  ", "", "Uh uh  uh a b A B", "Wait... what!what ? ok",
+    "a b a b a b a b a", "one two three one two three four four four", "é É è", " . , ; ", "3.5 and 4,5 .. .", "word " * 200, "no sentence mark " * 50, "First one. " * 90, "x" * 1300 + ". Then.",
+    "a b c d e f g h i j", "the the the a a a b b b c c c d d d e", " ".join(f"w{k % 17}" for k in range(400)), "line\n\n\n\nline two\t\tend\u00a0!", '"Yes!" "Yes!" yes yes',
+]
+
+
+@pytest.mark.parametrize("name", ["t13_collapse_repetitions", "t17_normalize_sentences", "m1_m2_mtld", "x1_x2_w6_chunks"])
+def test_folds_equal_their_sql_on_hard_texts(spark, tmp_path, name):
+    rows = [(k, t, ["en", "pt", "fr"][k % 3], "web", len(t)) for k, t in enumerate(HARD)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    got = sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=repr)
+    assert got == sorted((tuple(map(plain, r)) for r in con.execute(f"select {', '.join(columns)} from ({catalog.oracle_sql()[name]})").fetchall()), key=repr)
+
+
 def test_entry_points(spark):
     import __spark_entry__
 
