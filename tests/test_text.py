@@ -117,6 +117,12 @@ def test_normalize_sentences(run, text, clean_):
     assert run([text], T.normalize_sentences("x")) == [clean_]
 
 
+def test_capitals_are_one_character(run):
+    """ß at a sentence start became SS, where SQL has ẞ; letters without a single capital stay."""
+    assert run(["ßer da. ßau. ﬁn"], T.normalize_sentences("x")) == ["ẞer da. ẞau. ﬁn."]
+    assert run(["ßa.ᾳb@x"], T.name_from_email("x")) == ["ẞa ᾼb"]
+
+
 def test_sentences(run):
     assert run(["Uma frase. Outra! E outra? Fim."], T.split_sentences("x")) == [["Uma frase.", "Outra!", "E outra?", "Fim."]]
 
