@@ -259,3 +259,18 @@ def test_a_speller_that_fails_is_left_out(spark):
     rows = spark.createDataFrame([("teh bad word", "en"), ("teh word", "en"), (None, "en")], "text string, lang string")
     got = [(r.processed_text, r.spelling_failed) for r in clean.process(rows, speller=speller).collect()]
     assert got == [("Teh bad word.", True), ("The word.", False), ("", False)]
+
+
+def test_accents_beyond_a_broadcast_send_no_table_to_tasks(spark, monkeypatch):
+    """The changes of a large corpus were broadcast in parts that one task held all at once."""
+    words = [a + b + "ção" for a in "bcdfg" for b in "aeiou"]
+    dictionary = spark.createDataFrame([("pt", w, 1) for w in words], "lang string, word string, n int")
+    plain = [w.replace("ção", "cao") for w in words]
+    rows = spark.createDataFrame([(k, "pt", w.capitalize() + " " + w) for k, w in enumerate(plain)] + [(90, "pt", plain[0].capitalize() + " " + plain[0]), (91, "en", plain[0]), (92, "pt", None)], "id int, lang string, text string")
+
+    def refused(*_):
+        raise AssertionError("broadcast")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    got = {r.id: r.text for r in clean.restore_accents(rows, dictionary, "text", "lang", F.lit(True), most_rows=10).collect()}
+    assert got == {k: w.capitalize() + " " + w for k, w in enumerate(words)} | {90: words[0].capitalize() + " " + words[0], 91: plain[0], 92: None}
