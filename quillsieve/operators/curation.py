@@ -52,9 +52,9 @@ def split_chunks(text: Column | str, most: int = 6000) -> Column:
             .otherwise(F.struct(closed.alias("done"), sentence.alias("open")))
         )
 
-    packed = F.aggregate(T.split_sentences(t), empty, pack)
-    chunks = F.when(packed["open"] == "", packed["done"]).otherwise(F.array_append(packed["done"], packed["open"]))
-    return F.when(t.isNull(), F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(chunks)
+    ended = lambda packed: F.when(packed["open"] == "", packed["done"]).otherwise(F.array_append(packed["done"], packed["open"]))
+    chunks = lambda t: T.once(F.aggregate(T.split_sentences(t), empty, pack), ended)
+    return T.once(t, lambda t: F.when(t.isNull(), F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(chunks(t)))
 
 
 def select_chunks(chunks: Column | str, most: int = 10) -> Column:
@@ -62,30 +62,43 @@ def select_chunks(chunks: Column | str, most: int = 10) -> Column:
     c = F.col(chunks) if isinstance(chunks, str) else chunks
     if most <= 1:
         return F.slice(c, 1, 1)
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda s: F.bround(s * (F.size(c) - 1) / (most - 1)).cast("int")))
-    return F.when(F.size(c) <= most, c).otherwise(F.transform(places, lambda k: F.get(c, k)))
+
+    def chosen(c: Column) -> Column:
+        places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda s: F.bround(s * (F.size(c) - 1) / (most - 1)).cast("int")))
+        return F.when(F.size(c) <= most, c).otherwise(F.transform(places, lambda k: F.get(c, k)))
+
+    # the chunks are bound: a lambda that names an expression works it out for each place
+    return T.once(c, chosen)
 
 
 def parse_reply(raw: Column | str) -> Column:
     """Three scores, their mean, the rationale and its parts by criterion; null if a score is missing or no number."""
-    body = T.json_object(raw)
-    value = lambda name: F.get_json_object(body, f"$.{name}")
-    scores = {c: T.score(value(c)) for c in L.CRITERIA}
-    parts = F.map_filter(F.create_map(*[x for c in L.CRITERIA for x in (F.lit(c), F.coalesce(F.trim(value(f"rationale.{c}")), F.lit("")))]), lambda _, v: v != "")
-    is_map = F.coalesce(value("rationale").startswith("{"), F.lit(False))
-    whole = F.array_join(F.filter(F.transform(F.array(*[F.lit(c) for c in L.CRITERIA]), lambda c: F.element_at(parts, c)), lambda x: x.isNotNull()), " ")
-    good = F.lit(True)
-    for s in scores.values():
-        good = good & s.isNotNull()
-    return F.when(
-        good,
-        F.struct(
-            *[s.alias(c) for c, s in scores.items()],
-            F.round(sum(scores.values(), F.lit(0.0)) / 3, 2).alias("overall"),
-            F.when(is_map, whole).otherwise(F.coalesce(F.trim(value("rationale")), F.lit(""))).alias("rationale"),
+    value = lambda body, name: F.get_json_object(body, f"$.{name}")
+
+    def fields(body: Column) -> Column:
+        return F.struct(
+            *[T.score(value(body, c)).alias(c) for c in L.CRITERIA],
+            value(body, "rationale").alias("told"),
+            *[F.coalesce(F.trim(value(body, f"rationale.{c}")), F.lit("")).alias(f"told_{c}") for c in L.CRITERIA],
+        )
+
+    def result(f: Column) -> Column:
+        parts = F.map_filter(F.create_map(*[x for c in L.CRITERIA for x in (F.lit(c), f[f"told_{c}"])]), lambda _, v: v != "")
+        is_map = F.coalesce(f["told"].startswith("{"), F.lit(False))
+        whole = F.array_join(F.filter(F.array(*[f[f"told_{c}"] for c in L.CRITERIA]), lambda x: x != ""), " ")
+        good = F.lit(True)
+        for c in L.CRITERIA:
+            good = good & f[c].isNotNull()
+        found = F.struct(
+            *[f[c].alias(c) for c in L.CRITERIA],
+            F.round(sum((f[c] for c in L.CRITERIA), F.lit(0.0)) / 3, 2).alias("overall"),
+            F.when(is_map, whole).otherwise(F.coalesce(F.trim(f["told"]), F.lit(""))).alias("rationale"),
             F.when(is_map, parts).otherwise(F.create_map().cast("map<string,string>")).alias("criteria_rationale"),
-        ),
-    )
+        )
+        return F.when(good, found)
+
+    # the object and its fields are bound, so a reply is parsed once for each field, not for each mention
+    return T.once(T.once(T.json_object(raw), fields), result)
 
 
 def ask(
