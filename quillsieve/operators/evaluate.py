@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
+from quillsieve.functions import lexicons as L
 from quillsieve.functions import metrics as M
 from quillsieve.functions import text as T
 from quillsieve.sources.config import checkpointed
@@ -52,15 +54,36 @@ def text_metrics(docs: DataFrame, text: str, language: str, prefix: str) -> Data
     return df.withColumns({f"{prefix}_{k}": v for k, v in found.items()}).drop(w, *counts, *own)
 
 
+_FOLDS = str.maketrans(*L.accent_folds())
+_FILLER_KEYS = {k: frozenset(w.translate(_FOLDS) for w in v) for k, v in L.FILLERS.items()}
+
+
+@F.pandas_udf(DoubleType())
+def _kept_share(raw: pd.Series, processed: pd.Series, langs: pd.Series) -> pd.Series:
+    def one(a: str | None, b: str | None, lang: str | None) -> float:
+        listed = _FILLER_KEYS.get(lang, _FILLER_KEYS["en"])
+        own, new = Counter(w for w in a.split(" ") if w not in listed) if a else Counter(), Counter(b.split(" ") if b else ())
+        total = own.total()
+        return (own & new).total() / total if total else 1.0
+
+    return pd.Series([one(*x) for x in zip(raw, processed, langs, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(LongType())
+def shared_words(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many words two texts of single spaces share, counted with repeats; null counts as empty."""
+    split = lambda x: Counter(x.split(" ") if x else ())
+    return pd.Series([(split(x) & split(y)).total() for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+def retained(raw: Column | str, processed: Column | str, language: Column | str) -> Column:
+    """The share of the raw words, hesitations aside, that the processed text has as often; 1 for none. Counted where the row is: no word is shuffled."""
+    return _kept_share(T.joined_keys(raw), T.joined_keys(processed), language)
+
+
 def content_retention(docs: DataFrame, id_col: str, raw: str, processed: str, language: str) -> DataFrame:
-    """(id, retention): the share of the raw words, hesitations aside, that the processed text has as often; 1 for none."""
-    listed = F.transform(T.fillers(language), T.fold)
-    source = docs.select(id_col, F.explode(F.filter(T.word_keys(raw), lambda w: ~F.array_contains(listed, w))).alias("w"))
-    target = docs.select(id_col, F.explode(T.word_keys(processed)).alias("w"))
-    a = source.groupBy(id_col, "w").agg(F.count("*").alias("n"))
-    b = target.groupBy(id_col, "w").agg(F.count("*").alias("m"))
-    kept = a.join(b, [id_col, "w"], "left").groupBy(id_col).agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("retention"))
-    return docs.select(id_col).join(kept, id_col, "left").select(id_col, F.coalesce("retention", F.lit(1.0)).alias("retention"))
+    """(id, retention) by ``retained``."""
+    return docs.select(id_col, retained(raw, processed, language).alias("retention"))
 
 
 def paired_texts(raw: DataFrame, processed: DataFrame, id_col: str) -> DataFrame:
@@ -73,7 +96,7 @@ def evaluate_documents(docs: DataFrame, id_col: str, raw: str, processed: str, l
     """One row a document: its group (auto where the raw text lacks punctuation), words, retention and both metric sets."""
     df = text_metrics(text_metrics(docs, raw, language, "raw"), processed, language, "processed")
     df = df.withColumns({"group": F.when(T.needs_punctuation(raw), "auto").otherwise("punctuated"), "words": F.size(T.words(raw))})
-    return df.join(content_retention(docs, id_col, raw, processed, language), id_col)
+    return df.withColumn("retention", retained(raw, processed, language))
 
 
 RESAMPLES = 2000
