@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,15 +28,20 @@ def _factors(words, threshold: float) -> float:
     return len(words) / factors if factors else float(len(words))
 
 
+def _lowered(words: Column | str) -> Column:
+    """The words in lower case as one string: a batch of strings reaches Python far faster than one of arrays."""
+    return F.lower(F.array_join(_col(words), " "))
+
+
 def mtld(words: Column | str, threshold: float = 0.72) -> Column:
     """Mean of both directions; null under ten words. A sequential fold, so it runs over Arrow batches."""
 
     @F.pandas_udf("double")
     def both(batch: pd.Series) -> pd.Series:
-        lowered = ([w.lower() for w in x] if x is not None else [] for x in batch)
-        return pd.Series([(_factors(x, threshold) + _factors(x[::-1], threshold)) / 2 if len(x) >= 10 else None for x in lowered], dtype="float64")
+        split = (x.split(" ") if x else [] for x in batch)
+        return pd.Series([(_factors(x, threshold) + _factors(x[::-1], threshold)) / 2 if len(x) >= 10 else None for x in split], dtype="float64")
 
-    return both(_col(words))
+    return both(_lowered(words))
 
 
 def lexical_diversity(words: Column | str) -> Column:
@@ -44,23 +50,18 @@ def lexical_diversity(words: Column | str) -> Column:
 
 
 def _moving_diversity(words: list[str], window: int) -> float:
-    """Kinds in all full windows, counted as words enter and leave."""
+    """Kinds in all full windows: a word counts in those windows that start after its last occurrence before it."""
     n = len(words)
     if n < window:
         return len(set(words)) / n if n else 0.0
-    inside: dict[str, int] = {}
-    total = 0
+    last: dict[str, int] = {}
+    before = np.empty(n, np.int64)
     for k, w in enumerate(words):
-        inside[w] = inside.get(w, 0) + 1
-        if k >= window:
-            left = words[k - window]
-            if inside[left] == 1:
-                del inside[left]
-            else:
-                inside[left] -= 1
-        if k >= window - 1:
-            total += len(inside)
-    return total / (window * (n - window + 1))
+        before[k] = last.get(w, -1)
+        last[w] = k
+    k = np.arange(n)
+    total = np.maximum(0, np.minimum(k, n - window) - np.maximum(before, np.maximum(k - window, -1))).sum()
+    return int(total) / (window * (n - window + 1))
 
 
 def mattr(words: Column | str, window: int = 50) -> Column:
@@ -71,9 +72,9 @@ def mattr(words: Column | str, window: int = 50) -> Column:
 
     @F.pandas_udf("double")
     def moving(batch: pd.Series) -> pd.Series:
-        return pd.Series([_moving_diversity([w.lower() for w in x] if x is not None else [], window) for x in batch], dtype="float64")
+        return pd.Series([_moving_diversity(x.split(" ") if x else [], window) for x in batch], dtype="float64")
 
-    return moving(_col(words))
+    return moving(_lowered(words))
 
 
 def sentence_length_score(average: Column) -> Column:
@@ -90,8 +91,8 @@ def sentence_count(text: Column | str) -> Column:
 
 
 def immediate_repetitions(words: Column | str) -> Column:
-    low = F.transform(_col(words), F.lower)
-    return F.size(F.filter(F.zip_with(F.slice(low, F.lit(2), F.greatest(F.size(low) - 1, F.lit(0))), low, lambda a, b: a.isNotNull() & (a == b)), lambda x: x))
+    after = lambda low: F.slice(low, F.lit(2), F.greatest(F.size(low) - 1, F.lit(0)))
+    return T.once(F.transform(_col(words), F.lower), lambda low: F.size(F.filter(F.zip_with(after(low), low, lambda a, b: a.isNotNull() & (a == b)), lambda x: x)))
 
 
 def quality(average_length: Column, artifact_rate: Column, residue_rate: Column, noise: Column) -> Column:
@@ -136,15 +137,21 @@ def quality_columns(prefix: str = "_") -> dict[str, Column]:
 
 def flesch(text: Column | str, language: Column | str) -> Column:
     """Reading ease, with the base for Portuguese where that is the language; 0 for no words."""
-    w, sentences = T.words(text), F.size(T.sentence_words(text))
-    syllables = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + T.syllables(x))
     base = F.when(_col(language) == "pt", 248.835).otherwise(206.835)
-    ease = base - 1.015 * (F.size(w) / sentences) - 84.6 * (syllables / F.size(w))
-    return F.when((F.size(w) > 0) & (sentences > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease))).otherwise(0.0)
+    syllables = lambda w: F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + T.syllables(x))
+    counts = T.once(T.words(text), lambda w: F.struct(F.size(w).alias("n"), syllables(w).alias("syllables")))
+    counts = F.struct(counts.alias("w"), F.size(T.sentence_words(text)).alias("sentences"))
+
+    def ease(c: Column) -> Column:
+        n, sentences = c["w"]["n"], c["sentences"]
+        found = base - 1.015 * (n / sentences) - 84.6 * (c["w"]["syllables"] / n)
+        return F.when((n > 0) & (sentences > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), found))).otherwise(0.0)
+
+    return T.once(counts, ease)
 
 
 def run_on_rate(text: Column | str, longest: int = 40) -> Column:
     """Share of words in sentences of more than ``longest`` words; 1 for no words."""
     sizes = F.transform(T.sentence_words(text), F.size)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.when(F.size(sizes) > 0, total(F.filter(sizes, lambda n: n > longest)) / total(sizes)).otherwise(1.0)
+    return T.once(sizes, lambda a: F.when(F.size(a) > 0, total(F.filter(a, lambda n: n > longest)) / total(a)).otherwise(1.0))
