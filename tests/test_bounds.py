@@ -63,6 +63,38 @@ def test_a_hot_probe_is_linked_by_stars(spark):
         assert len({k for r in links for k in r}) == 300 and len(links) < 8 * 350  # all pairs are 44,850
 
 
+def test_marks_never_part_similar_sets_and_tell_most_others():
+    rng = np.random.default_rng(9)
+    told = 0
+    for size in (1, 3, 17, 200, 3000):
+        for other in (size, max(1, size // 2), 2 * size):
+            for share in (0.0, 0.3, 0.5, 0.8, 1.0):
+                both = int(min(size, other) * share)
+                x = rng.integers(-(2**63), 2**63 - 1, size + other - both)
+                a, b = x[:size], x[size - both :]
+                least = dedup.least_apart(dedup.parity_bits(a), dedup.parity_bits(b))
+                assert least <= size + other - 2 * both and least == dedup.least_apart(dedup.parity_bits(b), dedup.parity_bits(a))
+                told += size == other >= 17 and share < 0.5 and least > (size + other) / 3
+    assert told >= 6 and len(dedup.parity_bits(x)) <= 8 * len(x)
+
+
+def test_only_sets_of_pairs_are_shuffled(spark):
+    sets = spark.range(5000).select(F.col("id").alias("key"), F.array("id").alias("grams"))
+    keys = spark.range(0, 5000, 100).select(F.col("id").alias("key"))
+    left = {r.key for r in dedup._of_keys(sets, keys, 50).collect()}
+    assert set(range(0, 5000, 100)) <= left and len(left) < 500
+    assert not dedup._of_keys(sets, keys.limit(0), 0).count()
+
+
+def test_copies_are_one_node_and_scopes_stay_apart(spark):
+    base = " ".join(a + b for a in "abcdef" for b in "vwxyz")
+    rows = [(k, "x" if k % 2 else "y", base) for k in range(200)] + [(k, "x", base + " more") for k in (500, 501)] + [(900, "x", "!!")]
+    docs = spark.createDataFrame(rows, "id long, source string, text string")
+    found = dedup.text_groups(docs, "id", "text", ["source"])
+    assert dedup.gram_sets(found.dropDuplicates(["key"]).select("key", F.col("_s_source").alias("scope"), F.array(F.lit("a")).alias("words")), 3).count() == 3
+    assert sorted(r["count"] for r in found.groupBy("root").count().collect()) == [100, 102]
+
+
 def test_blocks_equal_the_plain_rule(monkeypatch):
     rng = random.Random(0)
     for turn in range(600):
