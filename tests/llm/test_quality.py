@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillsieve.llm import queries
+from quillsieve.llm import quality, queries
 from quillsieve.llm.quality import _join_arrays, _model_arrays, base_counts, exact_quantiles, kneser_ney, quality_rules, scored_texts, text_grams
 from quillsieve.llm.toxicity import held_out
 
@@ -143,3 +143,36 @@ def test_held_out_junk_goes_and_good_texts_stay(spark):
     own = queries.op2_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where(held_out("doc_id") & ~queries.F.col("base_failed")).collect()
     junk, good = ([r.kept for r in own if r.quality == q] for q in (0, 1))
     assert sum(good) >= 0.95 * len(good) and sum(junk) <= 0.25 * len(junk)
+
+
+def test_packed_grams_come_back_and_are_few_bytes():
+    text = "a quarrel of sparrows in the ßtraße, \U0001f426 again and again. " * 50
+    first, rest, _, n = quality._distinct(*quality.text_grams([text, "b"]))
+    packed = quality.packed_grams(first, rest, n)
+    got = {(a, b): c for a, b, c in zip(*(x.tolist() for x in quality.unpacked_grams(packed)), strict=True)}
+    assert got == {(a, b): c for a, b, c in zip(first.tolist(), rest.tolist(), n.tolist(), strict=True)} and sum(got.values()) == len(text) + 1
+
+
+def test_grams_of_all_tasks_are_counted_in_packed_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "_MOST_HELD", 40)
+    texts = [f"some words {k} and other words" for k in range(60)]
+    batch = quality.pa.RecordBatch.from_pydict({"lang": ["en"] * 60, "text": texts})
+    sent = list(quality._counted(iter([batch.slice(0, 20), batch.slice(20, 40)])))
+    assert all(b.schema.names == ["lang", "part", "grams"] for b in sent)
+    got = Counter()
+    for b in sent:
+        for packed in b.column("grams").to_pylist():
+            for a, r, c in zip(*quality.unpacked_grams(packed), strict=True):
+                got[int(a), int(r)] += int(c)
+    first, rest = quality.text_grams(texts)
+    assert got == Counter(zip(first.tolist(), rest.tolist(), strict=True))
+
+
+def test_rows_are_picked_by_id_without_a_shuffle_of_texts(spark):
+    ids = [-40_000, -1, 0, 5, 32_767, 32_768, 10**12, None]
+    docs = spark.createDataFrame([(k, "t") for k in [*ids, 1, 6, 32_769, -2, 10**12 + 1]], "id long, text string")
+    wanted = spark.createDataFrame([(k,) for k in ids], "w long")
+    for picked in (quality.rows_among(docs, "id", wanted), quality.rows_among(docs, "id", wanted, most_parts=2)):
+        assert {r.id for r in picked.collect()} == set(ids) - {None}
+    assert "Exchange" not in quality.rows_among(docs, "id", wanted)._jdf.queryExecution().toString()
+    assert not quality.rows_among(docs, "id", wanted.limit(0)).count()
