@@ -87,7 +87,7 @@ def sentence_length_score(average: Column) -> Column:
 
 
 def sentence_count(text: Column | str) -> Column:
-    return F.size(F.filter(F.split(_col(text), "[.!?]+", -1), lambda s: T.blank_to_null(s).isNotNull()))
+    return F.size(F.filter(F.split(_col(text), "[.!?]+", -1), lambda s: s.rlike(r"(?U)\S")))
 
 
 def immediate_repetitions(words: Column | str) -> Column:
