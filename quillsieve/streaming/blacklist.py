@@ -34,20 +34,24 @@ class _Tokens(StatefulProcessor):
         return (expires // self.sweep + 1) * self.sweep
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        # state and timers are calls to the JVM: one reading and one writing a token and batch
+        before = found = self.entry.get() if self.entry.exists() else None
         for row in sorted(rows, key=lambda r: (r.at, r.kind)):
             if row.kind == "add" and row.expires_at is not None:
-                if self.entry.exists():
-                    self.handle.deleteTimer(self._swept_at(self.entry.get()[0]))
-                expires = _millis(row.expires_at)
-                self.entry.update((expires, row.user_id, row.reason))
-                self.handle.registerTimer(self._swept_at(expires))
+                found = (_millis(row.expires_at), row.user_id, row.reason)
             elif row.kind == "ask":
-                found = self.entry.get() if self.entry.exists() else None
                 if found is not None and found[0] < _millis(row.at):
-                    self.handle.deleteTimer(self._swept_at(found[0]))
-                    self.entry.clear()
                     found = None
                 yield Row(token=key[0], kind="answer", at=row.at, blacklisted=found is not None, user_id=found and found[1], reason=found and found[2])
+        if found == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(self._swept_at(before[0]))
+        if found is None:
+            self.entry.clear()
+        else:
+            self.entry.update(found)
+            self.handle.registerTimer(self._swept_at(found[0]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
         if self.entry.exists():
